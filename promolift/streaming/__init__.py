@@ -1,0 +1 @@
+"""Intentionally empty: campaign measurement is batch work and has no streams."""
