@@ -15,11 +15,16 @@ def magnitude_bucket(value: Column) -> Column:
     thousands of buckets at most, whatever its size and without looking at data.
     """
     steps = 1 << PRECISION_BITS
-    size = F.abs(value)
-    exponent = F.length(F.bin(size)) - 1
-    shift = F.greatest(exponent - PRECISION_BITS, F.lit(0))
-    bucket = shift * steps + F.floor(size / F.pow(F.lit(2.0), shift))
-    return F.when(value < 0, -bucket).otherwise(bucket).cast("bigint")
+
+    def bucket(number: Column) -> Column:
+        size = F.abs(number)
+        shift = F.greatest(F.length(F.bin(size)) - 1 - PRECISION_BITS, F.lit(0))
+        unsigned = shift * steps + F.floor(size / F.pow(F.lit(2.0), shift))
+        return (F.signum(number) * unsigned).cast("bigint")
+
+    # The lambda names the column once. Joins on a bucket infer filters from its
+    # definition, in a number that doubles with each mention of the column.
+    return F.transform(F.array(value), bucket)[0]
 
 
 def with_position(df: DataFrame, group: list[str], order: str, key: str) -> DataFrame:

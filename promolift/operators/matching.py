@@ -29,13 +29,12 @@ def cluster_input(pivot: DataFrame, base: DataFrame) -> DataFrame:
     return pivot.join(allocated, "id").na.fill({"event_control_flag": V.CONTROL_FLAG})
 
 
-def matching_candidates(inputs: DataFrame, weeks: Sequence[str]) -> DataFrame:
-    """One row per customer and arm, with the weekly spend and its total as ``score``."""
-    score = sum((F.col(week) for week in weeks[1:]), F.col(weeks[0]))
-    return (
-        inputs.select("id", "event_control_flag", *weeks).distinct()
-        .withColumn("score", score.cast("bigint"))
-    )
+def matching_candidates(items: DataFrame, base: DataFrame) -> DataFrame:
+    """Allocated customers with spend: arm (missing is control) and total spend as ``score``."""
+    score = items.groupBy("id").agg(F.sum("spend").alias("score"))
+    arm = F.coalesce("event_control_flag", F.lit(V.CONTROL_FLAG)).alias("event_control_flag")
+    arms = base.filter(stage_is(V.ALLOCATED)).select("id", arm).distinct()
+    return score.join(arms, "id").select("id", "event_control_flag", "score")
 
 
 def one_cluster(candidates: DataFrame) -> DataFrame:
@@ -44,13 +43,16 @@ def one_cluster(candidates: DataFrame) -> DataFrame:
 
 def cluster_customers(
     candidates: DataFrame,
-    features: Sequence[str],
+    pivot: DataFrame,
     clusters: int = 100,
     max_iterations: int = 100,
     seed: int = 1,
 ) -> DataFrame:
-    """K-means on scaled features. Fitting runs Spark jobs when this is called."""
-    vector = VectorAssembler(inputCols=list(features), outputCol="_raw").transform(candidates)
+    """K-means on the scaled weekly spend. Fitting runs Spark jobs when this is called."""
+    weeks = [name for name in pivot.columns if name != "id"]
+    vector = VectorAssembler(inputCols=weeks, outputCol="_raw").transform(
+        candidates.join(pivot, "id")
+    ).drop(*weeks)
     scaler = StandardScaler(inputCol="_raw", outputCol="_features", withMean=True).fit(vector)
     scaled = scaler.transform(vector)
     means = KMeans(

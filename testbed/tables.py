@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Mapping
+from functools import cache
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promolift.operators.modules import CampaignFrames
@@ -21,180 +24,158 @@ CAMPAIGN = Campaign(
 PRE_WEEKS = [f"{year}{week:02d}" for year in (1998, 1999) for week in range(1, 54)]
 
 
-def week(day: str) -> Column:
-    number = F.year(day) * 100 + F.floor((F.dayofyear(day) - 1) / 7) + 1
-    return number.cast("int").cast("string")
-
-
-def card(key: str) -> Column:
-    return F.concat(F.lit("0"), (F.col(key) * 37 + 100000).cast("string"))
+def week(day: str) -> str:
+    return f"string(int(year({day}) * 100 + floor((dayofyear({day}) - 1) / 7) + 1))"
 
 
-def yes_when(condition: Column) -> Column:
-    return F.when(condition, "Y").otherwise("N")
+def card(key: str) -> str:
+    return f"concat('0', {key} * 37 + 100000)"
 
 
 def _reader(spark: SparkSession, folder: str):
-    return lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+    """Each file is opened once, however many tables are derived from it."""
+    return cache(lambda name: spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def _lines(read) -> DataFrame:
-    lines = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return lines.join(
-        read("customer").select(F.col("c_custkey")), F.col("c_custkey") == F.col("o_custkey")
-    )
+    lines = read("lineitem").join(read("orders"), F.expr("l_orderkey = o_orderkey"))
+    return lines.join(read("customer").select("c_custkey"), F.expr("c_custkey = o_custkey"))
 
 
 def contact_detail(read) -> DataFrame:
-    number = F.col("l_linenumber")
-    stage = (
-        F.when(number == 1, "ALC").when(number == 2, "DLV").when(number.isin(3, 4), "EXP")
-        .when(number.isin(5, 6), "RDM").otherwise("ACT")
-    )
-    redeemed = number.isin(5, 6)
-    order = F.col("l_orderkey")
-    return _lines(read).select(
-        F.when(redeemed & (order % 97 == 0), F.lit(None))
-        .when(redeemed & (order % 89 == 0), "")
-        .when(redeemed & (order % 83 == 0), "null")
-        .otherwise(card("o_custkey")).alias("id"),
-        stage.alias("contact_stage_code"),
-        F.concat(F.lit("OF"), (F.col("l_partkey") % 40).cast("string")).alias("offer_code"),
-        F.concat(F.lit("P"), (F.col("l_partkey") % 50).cast("string")).alias("prod_code"),
-        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("store_code"),
-        F.when(F.col("l_returnflag") == "A", "DIGITAL_APP")
-        .when(F.col("l_returnflag") == "R", "PAPER_DM").otherwise("EMAIL").alias("channel_code"),
-        F.col("l_quantity").alias("offer_rank_num"),
-        (F.col("l_extendedprice") * F.col("l_discount") + 0.0).alias("offer_discount_amt"),
-        F.col("o_orderdate").alias("contact_cust_detail_dttm"),
-        F.year("o_orderdate").cast("string").alias("fis_year_id"),
-        week("o_orderdate").alias("fis_week_id"),
-        F.concat(F.lit("EV"), (order % 4).cast("string")).alias("event_code"),
+    return _lines(read).selectExpr(
+        f"""case when l_linenumber in (5, 6) and l_orderkey % 97 = 0 then null
+          when l_linenumber in (5, 6) and l_orderkey % 89 = 0 then ''
+          when l_linenumber in (5, 6) and l_orderkey % 83 = 0 then 'null'
+          else {card('o_custkey')} end as id""",
+        """case l_linenumber when 1 then 'ALC' when 2 then 'DLV' when 3 then 'EXP'
+          when 4 then 'EXP' when 5 then 'RDM' when 6 then 'RDM' else 'ACT' end
+          as contact_stage_code""",
+        "concat('OF', l_partkey % 40) as offer_code",
+        "concat('P', l_partkey % 50) as prod_code",
+        "concat('S', l_suppkey) as store_code",
+        """case l_returnflag when 'A' then 'DIGITAL_APP' when 'R' then 'PAPER_DM'
+          else 'EMAIL' end as channel_code""",
+        "l_quantity as offer_rank_num",
+        "l_extendedprice * l_discount + 0.0d as offer_discount_amt",
+        "o_orderdate as contact_cust_detail_dttm",
+        "string(year(o_orderdate)) as fis_year_id",
+        f"{week('o_orderdate')} as fis_week_id",
+        "concat('EV', l_orderkey % 4) as event_code",
     )
 
 
 def contact_header(read) -> DataFrame:
-    key = F.col("c_custkey")
-    return read("customer").select(
-        card("c_custkey").alias("id"),
-        F.lit("ALC").alias("contact_stage_code"),
-        yes_when(key % 5 == 0).alias("event_control_flag"),
-        F.when(key % 4 == 0, "Y").when(key % 4 == 1, F.lit(None)).otherwise("N")
-        .alias("less_loyal_flag"),
-        F.concat(F.lit("EV"), (key % 4).cast("string")).alias("event_code"),
+    return read("customer").selectExpr(
+        f"{card('c_custkey')} as id",
+        "'ALC' as contact_stage_code",
+        "if(c_custkey % 5 = 0, 'Y', 'N') as event_control_flag",
+        "case when c_custkey % 4 = 0 then 'Y' when c_custkey % 4 = 1 then null else 'N' end"
+        " as less_loyal_flag",
+        "concat('EV', c_custkey % 4) as event_code",
     )
 
 
 def offer_product(read) -> DataFrame:
-    part = F.col("p_partkey")
-    return read("part").filter((part % 200) % 7 != 0).select(
-        F.concat(F.lit("OF"), (part % 40).cast("string")).alias("offer_code"),
-        F.concat(F.lit("P"), (part % 50).cast("string")).alias("prod_code"),
+    return read("part").filter("(p_partkey % 200) % 7 <> 0").selectExpr(
+        "concat('OF', p_partkey % 40) as offer_code", "concat('P', p_partkey % 50) as prod_code"
     ).distinct()
 
 
 def offer_dim(read) -> DataFrame:
-    offer = F.concat(F.lit("OF"), (F.col("p_partkey") % 40).cast("string"))
-    return read("part").groupBy(
-        offer.alias("offer_code"), F.col("p_brand").alias("supplier_name")
-    ).agg(
-        F.max(F.col("p_retailprice") * 0.05).alias("offer_discount_amt"),
-        F.max("p_size").cast("double").alias("offer_amount"),
+    terms = read("part").selectExpr(
+        "concat('OF', p_partkey % 40) as offer_code", "p_brand as supplier_name",
+        "p_retailprice * 0.05d as discount", "double(p_size) as amount",
+    )
+    return terms.groupBy("offer_code", "supplier_name").agg(
+        F.max("discount").alias("offer_discount_amt"), F.max("amount").alias("offer_amount")
     )
 
 
-def _snapshots(table: DataFrame, level: str) -> DataFrame:
+def _snapshots(read, level: str, sql: str) -> DataFrame:
     """The used snapshot, and an older one that must be filtered out."""
-    used = table.withColumn("seg_week", F.lit(SEG_WEEK))
-    older = table.withColumn("seg_week", F.lit("199925")).withColumn(level, F.lit("OLD"))
+    used = read("customer").selectExpr(
+        f"{card('c_custkey')} as id", f"{sql} as {level}", f"'{SEG_WEEK}' as seg_week"
+    )
+    older = used.selectExpr("id", f"'OLD' as {level}", "'199925' as seg_week")
     return used.unionByName(older)
 
 
 def seg_lifestyle(read) -> DataFrame:
-    level = F.when(F.col("c_custkey") % 13 == 0, F.lit(None)).otherwise(F.col("c_mktsegment"))
-    table = read("customer").select(card("c_custkey").alias("id"), level.alias("lifestyle_level"))
-    return _snapshots(table, "lifestyle_level")
+    return _snapshots(read, "lifestyle_level", "if(c_custkey % 13 = 0, null, c_mktsegment)")
 
 
 def seg_loyalty(read) -> DataFrame:
-    balance = F.col("c_acctbal")
-    level = (
-        F.when(F.col("c_custkey") % 11 == 0, F.lit(None)).when(balance < 500, "GO")
-        .when(balance < 2000, "LP").when(balance < 5000, "OC").when(balance < 7500, "VL")
-        .otherwise("PR")
+    return _snapshots(
+        read, "loyalty_level",
+        """case when c_custkey % 11 = 0 then null when c_acctbal < 500 then 'GO'
+          when c_acctbal < 2000 then 'LP' when c_acctbal < 5000 then 'OC'
+          when c_acctbal < 7500 then 'VL' else 'PR' end""",
     )
-    table = read("customer").select(card("c_custkey").alias("id"), level.alias("loyalty_level"))
-    return _snapshots(table, "loyalty_level")
 
 
 def seg_pricesense(read) -> DataFrame:
-    nation = F.col("c_nationkey") % 3
-    level = F.when(nation == 0, "LA").when(nation == 1, "MM").otherwise("UM")
-    table = read("customer").select(card("c_custkey").alias("id"), level.alias("pricesense_code"))
-    return _snapshots(table, "pricesense_code")
+    return _snapshots(
+        read, "pricesense_code",
+        "case c_nationkey % 3 when 0 then 'LA' when 1 then 'MM' else 'UM' end",
+    )
 
 
 def cards(read) -> DataFrame:
-    key = F.col("c_custkey")
-    birth = F.date_add(F.to_date(F.lit("1930-01-01")), ((key * 53) % 33000).cast("int"))
-    return read("customer").select(
-        card("c_custkey").alias("card_code"),
-        key.cast("string").alias("card_id"),
-        F.when(key % 17 == 0, F.lit(None)).otherwise(birth).alias("card_birth_date"),
-        F.when(key % 10 == 0, F.to_date(F.lit("2000-01-01"))).alias("card_termination_date"),
-        yes_when(key % 6 == 0).alias("card_address_valid_flag"),
-        F.when(F.col("c_nationkey") % 4 == 0, "SE").otherwise("NO")
-        .alias("card_address_country_code"),
-        F.when(key % 9 == 0, "Y").otherwise("").alias("card_analyse_now_suppress_flag"),
-        yes_when(key % 8 == 0).alias("card_suppress_flag"),
+    return read("customer").selectExpr(
+        f"{card('c_custkey')} as card_code",
+        "string(c_custkey) as card_id",
+        "if(c_custkey % 17 = 0, null, date_add(date'1930-01-01', int(c_custkey * 53 % 33000)))"
+        " as card_birth_date",
+        "if(c_custkey % 10 = 0, date'2000-01-01', null) as card_termination_date",
+        "if(c_custkey % 6 = 0, 'Y', 'N') as card_address_valid_flag",
+        "if(c_nationkey % 4 = 0, 'SE', 'NO') as card_address_country_code",
+        "if(c_custkey % 9 = 0, 'Y', '') as card_analyse_now_suppress_flag",
+        "if(c_custkey % 8 = 0, 'Y', 'N') as card_suppress_flag",
     )
 
 
 def members(read) -> DataFrame:
-    key = F.col("c_custkey")
-    return read("customer").select(
-        (key * 37 + 100000).cast("string").alias("member_id"),
-        F.when(key % 14 == 0, "19991231").when(key % 3 == 0, F.lit(None)).otherwise("00000000")
-        .alias("deceased_date"),
+    return read("customer").selectExpr(
+        "string(c_custkey * 37 + 100000) as member_id",
+        """case when c_custkey % 14 = 0 then '19991231' when c_custkey % 3 = 0 then null
+          else '00000000' end as deceased_date""",
     )
 
 
 def products(read) -> DataFrame:
-    number = F.col("p_partkey") % 50
-    return read("part").groupBy(number.alias("n")).agg(F.min("p_name").alias("prod_desc")).select(
-        F.concat(F.lit("P"), F.col("n").cast("string")).alias("prod_code"),
-        F.concat(F.lit("C"), (F.col("n") % 8).cast("string")).alias("prod_hier_l20_code"),
-        "prod_desc",
+    numbered = read("part").selectExpr("p_partkey % 50 as n", "p_name")
+    return numbered.groupBy("n").agg(F.min("p_name").alias("prod_desc")).selectExpr(
+        "concat('P', n) as prod_code", "concat('C', n % 8) as prod_hier_l20_code", "prod_desc"
     )
 
 
 def stores(read) -> DataFrame:
     """Stores are suppliers and the banner is their nation."""
-    return read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
-        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("store_code"),
-        F.col("n_name").alias("banner_name"),
-    )
+    placed = read("supplier").join(read("nation"), F.expr("s_nationkey = n_nationkey"))
+    return placed.selectExpr("concat('S', s_suppkey) as store_code", "n_name as banner_name")
 
 
 def calendar(spark: SparkSession) -> DataFrame:
-    days = spark.range(1).select(
-        F.explode(F.expr("sequence(date'1995-01-01', date'2001-12-31')")).alias("date")
+    days = spark.range(1).selectExpr(
+        "explode(sequence(date'1995-01-01', date'2001-12-31')) as date"
+    )
+    return days.selectExpr(
+        "date", f"{week('date')} as fis_week_id",
+        "string((dayofyear(date) - 1) % 7 + 1) as fis_day_of_week_num",
     )
-    number = F.floor((F.dayofyear("date") - 1) % 7 + 1).cast("int").cast("string")
-    return days.select("date", week("date").alias("fis_week_id"), number.alias("fis_day_of_week_num"))
 
 
 def items(read) -> DataFrame:
-    order = F.col("l_orderkey")
-    return _lines(read).select(
-        F.when(order % 101 == 0, "").when(order % 103 == 0, F.lit(None))
-        .otherwise(card("o_custkey")).alias("card_code"),
-        F.concat(F.lit("P"), (F.col("l_partkey") % 50).cast("string")).alias("prod_code"),
-        order.cast("string").alias("transaction_code"),
-        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net_spend_amt"),
-        F.col("l_quantity").alias("quantity"),
-        F.col("o_orderdate").alias("transaction_dttm"),
-        week("o_orderdate").alias("fis_week_id"),
+    return _lines(read).selectExpr(
+        f"""case when l_orderkey % 101 = 0 then '' when l_orderkey % 103 = 0 then null
+          else {card('o_custkey')} end as card_code""",
+        "concat('P', l_partkey % 50) as prod_code",
+        "string(l_orderkey) as transaction_code",
+        "l_extendedprice * (1 - l_discount) as net_spend_amt",
+        "l_quantity as quantity",
+        "o_orderdate as transaction_dttm",
+        f"{week('o_orderdate')} as fis_week_id",
     )
 
 
@@ -209,31 +190,51 @@ def baskets(read) -> DataFrame:
 
 
 def panel(read) -> DataFrame:
-    return read("customer").select(
-        card("c_custkey").alias("card_code"),
-        F.when(F.col("c_custkey") % 5 == 0, "0").otherwise("1").alias("test_panel"),
+    return read("customer").selectExpr(
+        f"{card('c_custkey')} as card_code", "if(c_custkey % 5 = 0, '0', '1') as test_panel"
     )
 
 
-def raw_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    read = _reader(spark, folder)
-    return {
-        "contact_header": contact_header(read),
-        "contact_detail": contact_detail(read),
-        "offer_product": offer_product(read),
-        "offer_dim": offer_dim(read),
-        "seg_lifestyle": seg_lifestyle(read),
-        "seg_loyalty": seg_loyalty(read),
-        "seg_pricesense": seg_pricesense(read),
-        "cards": cards(read),
-        "members": members(read),
-        "products": products(read),
-        "stores": stores(read),
-        "calendar": calendar(spark),
-        "items": items(read),
-        "baskets": baskets(read),
-        "panel": panel(read),
-    }
+BUILDERS = {
+    "contact_header": contact_header,
+    "contact_detail": contact_detail,
+    "offer_product": offer_product,
+    "offer_dim": offer_dim,
+    "seg_lifestyle": seg_lifestyle,
+    "seg_loyalty": seg_loyalty,
+    "seg_pricesense": seg_pricesense,
+    "cards": cards,
+    "members": members,
+    "products": products,
+    "stores": stores,
+    "items": items,
+    "baskets": baskets,
+    "panel": panel,
+}
+
+
+class RawTables(Mapping):
+    """The derived tables, each built when first asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self._spark, self._read, self._built = spark, _reader(spark, folder), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = (
+                calendar(self._spark) if name == "calendar" else BUILDERS[name](self._read)
+            )
+        return self._built[name]
+
+    def __iter__(self):
+        return iter([*BUILDERS, "calendar"])
+
+    def __len__(self) -> int:
+        return len(BUILDERS) + 1
+
+
+def raw_tables(spark: SparkSession, folder: str) -> RawTables:
+    return RawTables(spark, folder)
 
 
 def frames(spark: SparkSession, folder: str, with_products: bool = False) -> CampaignFrames:
