@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promolift.functions import levels as L
@@ -28,6 +28,9 @@ from promolift.functions import vocabulary as V
 from promolift.functions.columns import any_of
 
 
+TOTAL_BUCKETS = 200
+
+
 @dataclass(frozen=True, eq=False)
 class Rows:
     """The rows of ``frame`` that satisfy ``where``; ``label`` names them in plans.
@@ -228,7 +231,7 @@ def report(measures: Sequence[Measure], levels: Sequence) -> DataFrame:
     ]
     if overall in sets:
         # An empty input must still give its overall row.
-        spine = spark.range(1).select(F.lit(overall).cast("bigint").alias("_mask"))
+        spine = spark.range(0, 1, 1, 1).select(F.lit(overall).cast("bigint").alias("_mask"))
         steps.append(spine)
 
     partial = steps[0]
@@ -245,12 +248,9 @@ def report(measures: Sequence[Measure], levels: Sequence) -> DataFrame:
     )
 
     is_overall = F.col("_mask") == overall
-    if any(m.totals for m in measures):
-        # Asking for every column keeps both uses of the groups identical, so the
-        # shuffle behind them is written once and read twice. One row is broadcast.
-        everything = F.struct(*[part.name for part in parts], *seen)
-        totals = groups.agg(F.max(F.when(is_overall, everything)).alias("_totals"))
-        groups = groups.crossJoin(F.broadcast(totals))
+    totals = list({p.name: p for m in measures for p in m.totals}.values())
+    if totals:
+        groups = _with_totals(groups, totals, is_overall, key_names)
 
     carried = [m.carried() for m in measures if not m.overall_only]
     shown = any_of(carried) if carried else F.lit(False)
@@ -262,6 +262,27 @@ def report(measures: Sequence[Measure], levels: Sequence) -> DataFrame:
     )
 
 
+def _total(part: Part) -> str:
+    return f"{part.name}__total"
+
+
+def _with_totals(
+    groups: DataFrame, totals: list[Part], is_overall: Column, key_names: list[str]
+) -> DataFrame:
+    """Put the overall values beside every group.
+
+    The groups are dealt into buckets with a copy of the overall row in each, so
+    neither the groups are computed twice nor all of them meet in one task.
+    """
+    dealt = F.array(F.pmod(F.hash("_mask", *key_names), F.lit(TOTAL_BUCKETS)))
+    everywhere = F.sequence(F.lit(0), F.lit(TOTAL_BUCKETS - 1))
+    bucket = Window.partitionBy("_bucket")
+    overall_value = lambda part: F.max(F.when(is_overall, F.col(part.name))).over(bucket)
+    spread = groups.withColumn("_bucket", F.explode(F.when(is_overall, everywhere).otherwise(dealt)))
+    spread = spread.select("*", *[overall_value(part).alias(_total(part)) for part in totals])
+    return spread.filter(~is_overall | (F.col("_bucket") == 0))
+
+
 def _level_names(levels: list[L.Level], keys: list[str], show_overall: bool) -> Column:
     """Level names by mask; the same columns in two orders give a row for each name."""
     names: dict[int, list[str]] = {}
@@ -280,7 +301,7 @@ def _level_names(levels: list[L.Level], keys: list[str], show_overall: bool) ->
 
 def _value(measure: Measure, is_overall: Column, overall_asked: bool) -> Column:
     values = [F.col(part.name) for part in measure.parts]
-    values += [F.col("_totals")[part.name] for part in measure.totals]
+    values += [F.col(_total(part)) for part in measure.totals]
     value = measure.value(*values)
     if measure.overall_only:
         shown = is_overall

@@ -157,7 +157,7 @@ def stores(read) -> DataFrame:
 
 
 def calendar(spark: SparkSession) -> DataFrame:
-    days = spark.range(1).selectExpr(
+    days = spark.range(0, 1, 1, 1).selectExpr(
         "explode(sequence(date'1995-01-01', date'2001-12-31')) as date"
     )
     return days.selectExpr(
@@ -237,5 +237,14 @@ def raw_tables(spark: SparkSession, folder: str) -> RawTables:
     return RawTables(spark, folder)
 
 
+def written_tables(spark: SparkSession, folder: str, target: str) -> dict[str, DataFrame]:
+    """The derived tables as files, as a real campaign would find them."""
+    written = {}
+    for name, table in raw_tables(spark, folder).items():
+        table.write.parquet(f"{target}/{name}")
+        written[name] = spark.read.parquet(f"{target}/{name}")
+    return written
+
+
 def frames(spark: SparkSession, folder: str, with_products: bool = False) -> CampaignFrames:
     return prepare(raw_tables(spark, folder), CAMPAIGN, with_products)

@@ -16,6 +16,7 @@ def make_session() -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="promolift-warehouse-"))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="promolift-shared-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
