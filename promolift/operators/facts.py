@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from promolift.functions import vocabulary as V
 from promolift.functions.columns import stage_is
 from promolift.functions.joins import even_join
+from promolift.operators.modules import CampaignFrames
 
 PERIODS = ("pre", "dur", "post")
 
@@ -32,10 +33,18 @@ def purchase_counts(items: DataFrame) -> DataFrame:
     return items.groupBy("id", "prod_code").agg(*lines)
 
 
-def featured_buyers(items: DataFrame, offer_product: DataFrame) -> DataFrame:
+def purchases_of(frames: CampaignFrames) -> DataFrame:
+    """The purchase counts, read back if they were written."""
+    return purchase_counts(frames.items) if frames.purchases is None else frames.purchases
+
+
+def featured_buyers(frames: CampaignFrames) -> DataFrame:
     """Customers who bought a product of any offer during the campaign."""
-    bought = items.filter("in_dur").select("id", "prod_code").distinct()
-    featured = offer_product.select("prod_code").distinct()
+    if frames.purchases is None:
+        bought = frames.items.filter("in_dur").select("id", "prod_code").distinct()
+    else:
+        bought = frames.purchases.filter("n_dur > 0").select("id", "prod_code")
+    featured = frames.offer_product.select("prod_code").distinct()
     buyers = even_join(bought, featured, ["prod_code"], "left_semi").select("id").distinct()
     return buyers.withColumn("bought_featured", F.lit(True))
 
@@ -127,24 +136,34 @@ def transaction_owners(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     is in, so its number is a fact of the customer (``own_<period>``) and no
     (group, transaction) pair has to be made. Transactions that several
     customers share are returned as (transaction, id) rows, to be counted as
-    distinct values. ``any_<period>`` covers both.
+    distinct values. ``any_<period>`` covers both, and lines without a number.
     """
     flags = [f"in_{period}" for period in PERIODS]
-    held = items.groupBy("transaction_fid", "id").agg(*[F.bool_or(flag).alias(flag) for flag in flags])
-    known = held.filter(F.col("transaction_fid").isNotNull())
-    owners = known.groupBy("transaction_fid").agg(
+    # A line without a number belongs to its customer alone and is never counted.
+    numbered = items.select(
+        F.coalesce("transaction_fid", F.concat(F.lit("\0"), "id")).alias("transaction_fid"),
+        "id", *flags, F.col("transaction_fid").isNotNull().alias("numbered"),
+    )
+    flags = [*flags, "numbered"]
+    held = numbered.groupBy("transaction_fid", "id").agg(
+        *[F.bool_or(flag).alias(flag) for flag in flags]
+    )
+    owners = held.groupBy("transaction_fid").agg(
         F.count("*").alias("owners"),
         F.min("id").alias("id"),
         *[F.bool_or(flag).alias(flag) for flag in flags],
     )
-    own = owners.filter("owners = 1").groupBy("id").agg(
-        *[F.count_if(f"in_{period}").alias(f"own_{period}") for period in PERIODS]
-    )
-    seen = held.groupBy("id").agg(*[F.bool_or(f"in_{p}").alias(f"any_{p}") for p in PERIODS])
-    shared = even_join(
-        known, owners.filter("owners > 1").select("transaction_fid"), ["transaction_fid"], "left_semi"
+    several = owners.filter("owners > 1").select("transaction_fid")
+    shared = even_join(held, several, ["transaction_fid"], "left_semi").filter("numbered")
+
+    single = owners.filter("owners = 1").select("id", *flags, F.lit(True).alias("own"))
+    either = single.union(shared.select("id", *flags, F.lit(False)))
+    counted = {p: F.count_if(F.col(f"in_{p}") & F.col("own") & F.col("numbered")) for p in PERIODS}
+    facts = either.groupBy("id").agg(
+        *[count.alias(f"own_{p}") for p, count in counted.items()],
+        *[F.bool_or(f"in_{p}").alias(f"any_{p}") for p in PERIODS],
     )
-    return seen.join(own, "id", "left"), shared
+    return facts, shared
 
 
 def customer_outcomes(lines: DataFrame, units: str) -> DataFrame:

@@ -103,7 +103,7 @@ def fraud_measures(
 
     def control_participation() -> Measure:
         in_control = stage_is(V.ALLOCATED) & (F.col("event_control_flag") == V.CONTROL_FLAG)
-        buyers = featured_buyers(frames.items, frames.offer_product)
+        buyers = featured_buyers(frames)
         shoppers = Rows("control_shoppers", frames.base, in_control, facts=buyers)
         return Measure("control_participation", (shoppers.ids_with("bought_featured"),))
 

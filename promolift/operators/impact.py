@@ -16,7 +16,7 @@ from promolift.operators.facts import (
     category_without_product,
     coupon_outcomes,
     exposed_pairs,
-    purchase_counts,
+    purchases_of,
     transaction_owners,
 )
 from promolift.operators.modules import CampaignFrames, pick
@@ -51,7 +51,7 @@ def impact_measures(
 
     @cache
     def purchases() -> DataFrame:
-        return purchase_counts(frames.items)
+        return purchases_of(frames)
 
     @cache
     def exposures() -> DataFrame:

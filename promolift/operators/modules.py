@@ -15,7 +15,8 @@ class CampaignFrames:
     """Everything the measures read.
 
     ``items`` and ``baskets`` carry ``in_pre``, ``in_dur`` and ``in_post``.
-    Only ``base`` is needed by every module.
+    Only ``base`` is needed by every module. ``purchases`` holds the purchase
+    counts where they were written once for several reports.
     """
 
     base: DataFrame
@@ -26,6 +27,7 @@ class CampaignFrames:
     members: DataFrame | None = None
     products: DataFrame | None = None
     panel: DataFrame | None = None
+    purchases: DataFrame | None = None
 
 
 def pick(

@@ -55,7 +55,7 @@ def redemption_measures(
 
     @cache
     def buyers() -> DataFrame:
-        return featured_buyers(frames.items, frames.offer_product)
+        return featured_buyers(frames)
 
     redeemed = Rows("redeemed", base, stage_is(V.REDEEMED))
     exposed = Rows("exposed", base, stage_is(V.EXPOSED))

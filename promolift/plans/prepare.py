@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 
 from promolift.operators.enrich import enrich
+from promolift.operators.facts import purchase_counts
 from promolift.operators.modules import CampaignFrames
 from promolift.sources import sinks, tables
 from promolift.sources.tables import Period
@@ -66,14 +67,19 @@ def prepare(
     )
 
 
-def stage_base(frames: CampaignFrames, folder: str | None = None) -> CampaignFrames:
-    """Write the enriched contacts once, for several reports over them.
+def stage_frames(frames: CampaignFrames, folder: str | None = None) -> CampaignFrames:
+    """Write what several reports share: the enriched contacts and the purchase counts.
 
     A report reads ``base`` once per kind of row it needs, and every read of a
     lazy ``base`` repeats its joins. The written table is partitioned by stage,
-    so each measure only reads its own stages and columns.
+    so each measure only reads its own stages and columns. The purchase counts
+    are what is left of the transaction lines for all measures but visits.
     """
     folder = folder or sinks.shared_folder(frames.base.sparkSession)
-    return replace(
+    staged = replace(
         frames, base=sinks.stage(frames.base, f"{folder}/base", ["contact_stage_code"])
     )
+    if frames.items is not None:
+        counts = purchase_counts(frames.items)
+        staged = replace(staged, purchases=sinks.stage(counts, f"{folder}/purchases"))
+    return staged

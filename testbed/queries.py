@@ -14,7 +14,7 @@ from promolift.operators import enrich as E
 from promolift.operators import facts, matching
 from promolift.operators.uplift import uplift_report, uplift_statistics
 from promolift.operators.rollup import report
-from promolift.plans.prepare import stage_base
+from promolift.plans.prepare import stage_frames
 from promolift.plans.reports import final_report, module_report
 from promolift.sources import sinks, tables, text
 from testbed import oracle as O
@@ -647,8 +647,8 @@ UPLIFT_NAMES = ["units_uplift", "sales_uplift", "visits_uplift"]
 
 
 def _final(spark: SparkSession, folder: str) -> DataFrame:
-    # Seven reports read the enriched contacts, so they are written once.
-    frames = stage_base(T.frames(spark, folder))
+    # Six reports read the enriched contacts, so they are written once.
+    frames = stage_frames(T.frames(spark, folder))
     reports = {module: module_report(module, frames, LEVELS) for module in MODULES}
     reports["uplift"] = module_report("uplift", frames, UPLIFT_LEVELS, UPLIFT_NAMES)
     return rounded(final_report(reports))
