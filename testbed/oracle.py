@@ -266,7 +266,7 @@ def joined(left: str, right: str, keys: list[str], measure: str, sql: str) -> st
 
 
 def num(sql: str, digits: int = 4) -> str:
-    return f"round(coalesce({sql}, 0), {digits}) + 0.0"
+    return f"round(coalesce({sql}, 0) + 1e-{digits + 3}, {digits}) + 0.0"
 
 
 def ratio(a: str, b: str) -> str:

@@ -38,8 +38,10 @@ ORACLES: dict[str, str] = {}
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Doubles as both engines print them; the small shift keeps halves off the edge."""
+    shift = 10.0 ** -(digits + 3)
     return df.select(*[
-        (F.round(name, digits) + 0.0).alias(name) if kind == "double" else F.col(name)
+        (F.round(F.col(name) + shift, digits) + 0.0).alias(name) if kind == "double" else F.col(name)
         for name, kind in df.dtypes
     ])
 
@@ -74,7 +76,7 @@ add("src_event_scope",
     on_raw("contact_detail", lambda d: tables.event_scope(d, "EV1,EV3").withColumn(
         "contact_cust_detail_dttm", F.to_date("contact_cust_detail_dttm"))),
     """select * exclude (event_code, contact_cust_detail_dttm, offer_discount_amt),
-    round(offer_discount_amt, 4) + 0.0 as offer_discount_amt,
+    round(offer_discount_amt + 1e-7, 4) + 0.0 as offer_discount_amt,
     cast(contact_cust_detail_dttm as date) as contact_cust_detail_dttm
     from detail where event_code in ('EV1', 'EV3')""")
 add("src_segment_snapshot",
@@ -281,7 +283,7 @@ def _aged(raw: dict) -> DataFrame:
 
 
 PLAIN = "cast(contact_cust_detail_dttm as date) as contact_cust_detail_dttm"
-MONEY = "round(offer_discount_amt, 4) + 0.0 as offer_discount_amt"
+MONEY = "round(offer_discount_amt + 1e-7, 4) + 0.0 as offer_discount_amt"
 SWAP = f"* exclude (contact_cust_detail_dttm, offer_discount_amt), {PLAIN}, {MONEY}"
 add("enrich_header", _enriched(_headed), f"select {SWAP} from headed")
 add("enrich_slot_segment", _enriched(lambda raw: E.with_slot_segment(_headed(raw))),
@@ -295,7 +297,7 @@ add("enrich_age_band", _enriched(_aged),
     """select d.id, d.offer_code, k.* exclude (id, years)
     from detail d left join aged k on d.id = k.id""")
 add("enrich_offer_dim", _enriched(lambda raw: E.offer_terms(raw["offer_dim"])),
-    """select offer_code, supplier_name, round(dim_discount, 4) + 0.0 as dim_discount_amt,
+    """select offer_code, supplier_name, round(dim_discount + 1e-7, 4) + 0.0 as dim_discount_amt,
     offer_amount from terms""")
 add("enrich_offer_discount", on_base(_no_time), f"select {SWAP} from base")
 add("enrich_product",
@@ -533,13 +535,13 @@ def _model_sql(source: str, method: str) -> str:
     selects = []
     for metric in ("units", "spend", "visits"):
         shared = f"""select {keys}, n_t as total_test_cust, n_c as total_control_cust,
-          '{metric}' as metric, round(expected, 4) + 0.0 as expected"""
+          '{metric}' as metric, round(expected + 1e-7, 4) + 0.0 as expected"""
         if method == "ratio":
-            fields = "round(y_t - expected, 4) + 0.0 as total_uplift"
+            fields = "round(y_t - expected + 1e-7, 4) + 0.0 as total_uplift"
         else:
-            fields = """round(slope, 4) + 0.0 as slope,
-              round(tau, 4) + 0.0 as uplift_per_test_customer,
-              round(tau * n_t, 4) + 0.0 as total_uplift, round(se, 4) + 0.0 as standard_error,
+            fields = """round(slope + 1e-7, 4) + 0.0 as slope,
+              round(tau + 1e-7, 4) + 0.0 as uplift_per_test_customer,
+              round(tau * n_t + 1e-7, 4) + 0.0 as total_uplift, round(se + 1e-7, 4) + 0.0 as standard_error,
               case when abs(tau) > 1.959964 * se then 'significant'
                 when abs(tau) > 1.281552 * se then 'directional' else 'not significant' end as verdict"""
         selects.append(f"""{shared}, {fields} from (select *,
@@ -561,7 +563,7 @@ def _expected(spark: SparkSession, folder: str) -> DataFrame:
 
 
 add("uplift_expected", _expected, " union all ".join(
-    f"""select {', '.join(UPLIFT_KEYS)}, '{metric}' as metric, round(expected, 4) + 0.0 as expected
+    f"""select {', '.join(UPLIFT_KEYS)}, '{metric}' as metric, round(expected + 1e-7, 4) + 0.0 as expected
     from ({_stats_sql('basket_panel', UPLIFT_LEVELS, metric)})"""
     for metric in ("units", "spend", "visits")))
 
