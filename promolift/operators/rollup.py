@@ -257,7 +257,7 @@ def report(measures: Sequence[Measure], levels: Sequence) -> DataFrame:
     shown = (is_overall & F.lit(show_overall)) | (~is_overall & shown)
     return groups.filter(shown).select(
         *[L.total_labelled(F.col(key_name(key))).alias(key) for key in keys],
-        _level_names(levels, keys, show_overall).alias("grouping_level"),
+        level_names(levels, keys, show_overall).alias("grouping_level"),
         *[_value(m, is_overall, () in levels).alias(m.name) for m in measures],
     )
 
@@ -283,7 +283,7 @@ def _with_totals(
     return spread.filter(~is_overall | (F.col("_bucket") == 0))
 
 
-def _level_names(levels: list[L.Level], keys: list[str], show_overall: bool) -> Column:
+def level_names(levels: list[L.Level], keys: list[str], show_overall: bool = False) -> Column:
     """Level names by mask; the same columns in two orders give a row for each name."""
     names: dict[int, list[str]] = {}
     for level in [*levels, *([()] if show_overall and () not in levels else [])]:

@@ -14,7 +14,7 @@ from promolift.functions.stats import ancova, arm_aggregates, expected, ratio_up
 from promolift.operators.cost import cost_measures
 from promolift.operators.facts import customer_outcomes, uplift_panel
 from promolift.operators.modules import CampaignFrames
-from promolift.operators.rollup import group_by_levels, key_name, report
+from promolift.operators.rollup import group_by_levels, key_name, level_names, report
 
 METRICS = ("units", "spend", "visits")
 
@@ -78,12 +78,9 @@ def arm_statistics(
         )
     rows = members[0] if len(members) == 1 else members[0].unionByName(members[1])
     statistics = rows.groupBy("_mask", *names).agg(*arm_aggregates(list(metrics)))
-    level = F
-    for item in levels:
-        level = level.when(F.col("_mask") == L.level_mask(item, keys), L.level_name(item))
     return statistics.select(
         *[L.total_labelled(F.col(key_name(key))).alias(key) for key in keys],
-        level.alias("grouping_level"),
+        level_names(levels, keys).alias("grouping_level"),
         *[name for name in statistics.columns if name not in ("_mask", *names)],
     )
 

@@ -117,6 +117,7 @@ def _item_columns() -> list[Column]:
     return [
         F.col("card_code").alias("id"),
         F.col("prod_code"),
+        F.col("prod_id"),
         F.col("transaction_code").alias("transaction_fid"),
         F.col("net_spend_amt").cast("int").alias("spend"),
         F.col("transaction_dttm"),

@@ -81,11 +81,12 @@ CTES = {
         interval 1 day)) as d)""",
     "raw_items": f"""select case when l_orderkey % 101 = 0 then ''
         when l_orderkey % 103 = 0 then null else {card('o_custkey')} end as id,
-      concat('P', l_partkey % 50) as prod_code, cast(l_orderkey as varchar) as transaction_fid,
+      concat('P', l_partkey % 50) as prod_code, cast(l_partkey as varchar) as prod_id,
+      cast(l_orderkey as varchar) as transaction_fid,
       l_extendedprice * (1 - l_discount) as net_spend_amt, l_quantity as quantity,
       cast(o_orderdate as date) as transaction_day, {week('o_orderdate')} as fis_week_id
       from lines""",
-    "items": """select id, prod_code, transaction_fid, cast(trunc(net_spend_amt) as int) as spend,
+    "items": """select id, prod_code, prod_id, transaction_fid, cast(trunc(net_spend_amt) as int) as spend,
       transaction_day, fis_week_id from raw_items
       where id is not null and trim(id) <> '' and trim(prod_code) <> ''""",
     "items_pre": "select * from items where fis_week_id between '199801' and '199953'",

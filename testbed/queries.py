@@ -645,6 +645,20 @@ for _module_name in MODULES:
     add(f"report_{_module_name}", _module(_module_name), _module_sql(_module_name))
 add("report_module", _module("redemption"), _module_sql("redemption"))
 
+
+
+def _by_category(spark: SparkSession, folder: str) -> DataFrame:
+    frames = T.frames(spark, folder, with_products=True)
+    names = ["coupon_value", "coupons_exposed", "exposed_households"]
+    return rounded(module_report("allocation", frames, CATEGORY_LEVELS, names))
+
+
+add("report_allocation_by_category", _by_category, leveled(
+    "(select exposed.*, prod_hier_l20_code from exposed left join products using (prod_code))",
+    CATEGORY_LEVELS,
+    {"coupon_value": num(f"sum({DISC})"), "coupons_exposed": "count(offer_code)",
+     "exposed_households": IDS}))
+
 UPLIFT_NAMES = ["units_uplift", "sales_uplift", "visits_uplift"]
 
 

@@ -171,6 +171,7 @@ def items(read) -> DataFrame:
         f"""case when l_orderkey % 101 = 0 then '' when l_orderkey % 103 = 0 then null
           else {card('o_custkey')} end as card_code""",
         "concat('P', l_partkey % 50) as prod_code",
+        "string(l_partkey) as prod_id",
         "string(l_orderkey) as transaction_code",
         "l_extendedprice * (1 - l_discount) as net_spend_amt",
         "l_quantity as quantity",

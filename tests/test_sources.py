@@ -28,7 +28,7 @@ def test_periods_by_start_or_by_number_of_weeks(spark):
         [("1", "P", "t", 2.9, "200003"), ("1", "P", "t", -2.9, "200004"), ("1", "P", "t", 1.0, "200006"),
          ("", "P", "t", 1.0, "200004"), (None, "P", "t", 1.0, "200004"), ("1", " ", "t", 1.0, "200004")],
         "card_code string, prod_code string, transaction_code string, net_spend_amt double, fis_week_id string",
-    ).withColumn("transaction_dttm", F.current_timestamp())
+    ).withColumns({"transaction_dttm": F.current_timestamp(), "prod_id": F.lit("7")})
     by_start = tables.items_in(rows, Period(start="200003", end="200005"))
     assert [r.spend for r in by_start.collect()] == [2, -2]
     by_weeks = tables.items_in(rows, Period(end="200005", weeks=2), calendar)
@@ -42,7 +42,7 @@ def test_filters_and_columns_reach_the_scan(spark):
         F.col("l_linestatus").alias("card_code"), F.col("l_returnflag").alias("prod_code"),
         F.col("l_orderkey").alias("transaction_code"), F.col("l_tax").alias("net_spend_amt"),
         F.col("l_shipdate").alias("transaction_dttm"), F.col("l_returnflag").alias("fis_week_id"),
-        "l_suppkey",
+        F.col("l_partkey").alias("prod_id"), "l_suppkey",
     )
     plan = (
         tables.items_in(items, Period(start="A", end="N")).select("id", "spend")
