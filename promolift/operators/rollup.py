@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promolift.functions import levels as L
-from promolift.functions import vocabulary as V
 from promolift.functions.columns import any_of
 
 

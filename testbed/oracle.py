@@ -6,6 +6,8 @@ operation is spelled out, so that it shares no method with the Spark side.
 
 from __future__ import annotations
 
+import re
+
 from promolift.functions import levels as L
 from testbed.tables import PRE_WEEKS
 
@@ -224,8 +226,6 @@ ORDER = list(CTES)
 
 def statement(body: str) -> str:
     """A query with the tables it needs, in order of definition."""
-    import re
-
     words = lambda text: set(re.findall(r"[a-z_0-9]+", text))
     needed, open_names = set(), words(body) & CTES.keys()
     while open_names:
