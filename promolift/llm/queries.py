@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from promolift.llm.exact_dedup import exact_dedup
 from promolift.llm.line_dedup import line_dedup
+from promolift.llm.packing import pack
 from promolift.llm.quality import quality
 from promolift.llm.sharding import shard_documents
-from pyspark.sql import functions as F
+from promolift.llm.token_files import placed, read_files, write_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +22,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_wavelet_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    files = write_files(table(spark, folder, "documents"), path, "dropped", end_id=2)
+    # Checksums before the join: ids need not travel.
+    rows = read_files(files).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return placed(rows, files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op5_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return pack(table(spark, folder, "documents"), path, "kept", end_id=1).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset")
+
+
 def op6_label_propagation(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(table(spark, folder, "documents"))
 
@@ -39,7 +57,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     query.__name__: query
-    for query in (op6_label_propagation, op8_exact_dedup, op9_adaptive_quality, op10_line_dedup)
+    for query in (op3_wavelet_files, op5_mixture_packing, op6_label_propagation, op8_exact_dedup, op9_adaptive_quality, op10_line_dedup)
 }
 
 ORACLES: dict[str, str] = {
