@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promolift.llm.chat import as_trees, digests, format_trees
 from promolift.llm.exact_dedup import exact_dedup
 from promolift.llm.line_dedup import line_dedup
 from promolift.llm.packing import pack
@@ -22,6 +23,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_reply_trees(spark: SparkSession, folder: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", said), (-1, 1, "assistant", said)],
+        "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return digests(format_trees(as_trees(rows.unionByName(extra)), most_branches=1))
+
+
 def op3_wavelet_files(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     files = write_files(table(spark, folder, "documents"), path, "dropped", end_id=2)
@@ -57,10 +67,25 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     query.__name__: query
-    for query in (op3_wavelet_files, op5_mixture_packing, op6_label_propagation, op8_exact_dedup, op9_adaptive_quality, op10_line_dedup)
+    for query in (
+        op2_reply_trees, op3_wavelet_files, op5_mixture_packing, op6_label_propagation, op8_exact_dedup, op9_adaptive_quality, op10_line_dedup)
 }
 
 ORACLES: dict[str, str] = {
+    "op2_reply_trees": """
+        with t as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') s from conversations
+                   union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+                   union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e as (select *, length(r) + length(s)
+                  + len(regexp_extract_all(r, '</?s>|\\[/?INST\\]|\\[/?TURN\\]|\\[SAYS\\]'))
+                  + len(regexp_extract_all(s, '</?s>|\\[/?INST\\]|\\[/?TURN\\]|\\[SAYS\\]'))
+                  + 15 + case when r = 'assistant' then 6 else 9 end as n from t)
+        select conv_id, count(*) as n_turns,
+               sha256(string_agg(r || chr(10) || s || chr(10), '' order by turn)) as turns_sha256,
+               cast(coalesce(sum(length(s)) filter (r = 'assistant'), 0) as bigint) as loss_chars,
+               sha256(coalesce(string_agg(s, '' order by turn) filter (r = 'assistant'), '')) as loss_sha256,
+               cast(sum(n) as bigint) as formatted_chars
+        from e group by conv_id""",
     "op8_exact_dedup": """
         with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[ \\t-\\r]+', ' ', 'g')) s
                    from documents),
