@@ -135,30 +135,23 @@ def _limits(sketch: DataFrame, group: list[str]) -> DataFrame:
             'at', case when a.at is null and 4 * (a.seen + b.n) >= {share} * n then b.bin else a.at end)).at""")
     least = F.create_map(*[F.lit(x) for m, (_, _, s) in MEASURES.items() for x in (m, s)])
     spread = F.greatest(F.col("q3") - F.col("q1"), least[F.col("measure")])
-    limit = (F.col("q3") + FENCE * spread).cast("bigint")
-    return (
-        bins.withColumns({"q1": quantile(1), "q3": quantile(3)})
-        .groupBy(*group).agg(
-            F.max("n").alias("n"),
-            *[F.max(F.when(F.col("measure") == m, limit)).alias(m) for m in MEASURES])
-    )
+    return bins.withColumns({"q1": quantile(1), "q3": quantile(3)}).select(
+        *group, "measure", "n", (F.col("q3") + FENCE * spread).cast("bigint").alias("most"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """A row of cutoffs for each language and source, from the sketch that is large enough."""
-    own, by_lang = _limits(sketch, ["lang", "source"]), _limits(sketch, ["lang"])
-    rename = lambda frame, tag: frame.select(
-        *[F.col(c).alias(c if c == "lang" else f"{tag}_{c}") for c in frame.columns])
-    everything = rename(_limits(sketch.withColumn("all", F.lit(1)), ["all"]), "all").drop("all_all")
-    wide = own.withColumn("all", F.lit(1)).alias("own")
-    language = rename(by_lang, "lang")
-    wide = wide.join(
-        language, wide["lang"].eqNullSafe(language["lang"]), "left").drop(language["lang"])
-    wide = wide.join(everything.withColumn("all", F.lit(1)), "all")
-    choose = lambda m: (
-        F.when(F.col("n") >= LEAST_GROUP, F.col(m))
-        .when(F.col("lang_n") >= LEAST_GROUP, F.col(f"lang_{m}")).otherwise(F.col(f"all_{m}")))
-    return wide.select("lang", "source", *[choose(m).alias(f"max_{m}") for m in MEASURES])
+    own = _limits(sketch, ["lang", "source"])
+    language = _limits(sketch, ["lang"]).select(
+        F.col("lang").alias("of"), "measure", F.col("n").alias("lang_n"), F.col("most").alias("lang_most"))
+    everything = _limits(sketch, []).select("measure", F.col("most").alias("all_most"))
+    same = (own["measure"] == language["measure"]) & own["lang"].eqNullSafe(language["of"])
+    long = own.join(language, same).drop(language["measure"]).join(everything, "measure")
+    most = (
+        F.when(F.col("n") >= LEAST_GROUP, F.col("most"))
+        .when(F.col("lang_n") >= LEAST_GROUP, F.col("lang_most")).otherwise(F.col("all_most")))
+    return long.groupBy("lang", "source").agg(
+        *[F.max(F.when(F.col("measure") == m, most)).alias(f"max_{m}") for m in MEASURES])
 
 
 def judged(measures: DataFrame, limits: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from promolift.llm.chat import as_trees, digests, format_trees
 from promolift.llm.exact_dedup import exact_dedup
+from promolift.llm.jaccard import jaccard_classes
 from promolift.llm.line_dedup import line_dedup
 from promolift.llm.packing import pack
 from promolift.llm.quality import quality
@@ -40,6 +41,10 @@ def op3_wavelet_files(spark: SparkSession, folder: str) -> DataFrame:
     return placed(rows, files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_classes(table(spark, folder, "documents"), width=3, percent=90).drop("n_links")
+
+
 def op5_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return pack(table(spark, folder, "documents"), path, "kept", end_id=1).select(
@@ -68,7 +73,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
-        op2_reply_trees, op3_wavelet_files, op5_mixture_packing, op6_label_propagation, op8_exact_dedup, op9_adaptive_quality, op10_line_dedup)
+        op2_reply_trees, op3_wavelet_files, op4_jaccard_join, op5_mixture_packing, op6_label_propagation, op8_exact_dedup, op9_adaptive_quality, op10_line_dedup)
 }
 
 ORACLES: dict[str, str] = {
