@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from promolift.llm.chat import as_trees, digests, format_trees
 from promolift.llm.exact_dedup import exact_dedup
+from promolift.llm.html import extract
 from promolift.llm.jaccard import jaccard_classes
 from promolift.llm.line_dedup import line_dedup
 from promolift.llm.packing import pack
+from promolift.llm.pieces import decode_texts, encode_texts
 from promolift.llm.quality import quality
 from promolift.llm.sharding import shard_documents
 from promolift.llm.token_files import placed, read_files, write_files
@@ -24,6 +26,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_streaming_viterbi(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    decoded = decode_texts(encode_texts(table(spark, folder, "documents"), path), path)
+    return decoded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+        (F.crc32(F.col("text").cast("binary")) == F.col("text_crc32")).alias("round_trip"))
+
+
 def op2_reply_trees(spark: SparkSession, folder: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame(
@@ -56,6 +67,10 @@ def op6_label_propagation(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(table(spark, folder, "documents"))
 
 
+def op7_site_style_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(table(spark, folder, "pages"))
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents"))
 
@@ -73,7 +88,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
-        op2_reply_trees, op3_wavelet_files, op4_jaccard_join, op5_mixture_packing, op6_label_propagation, op8_exact_dedup, op9_adaptive_quality, op10_line_dedup)
+        op1_streaming_viterbi, op2_reply_trees, op3_wavelet_files, op4_jaccard_join, op5_mixture_packing, op6_label_propagation, op7_site_style_tree, op8_exact_dedup, op9_adaptive_quality, op10_line_dedup)
 }
 
 ORACLES: dict[str, str] = {
@@ -91,6 +106,17 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(s, '' order by turn) filter (r = 'assistant'), '')) as loss_sha256,
                cast(sum(n) as bigint) as formatted_chars
         from e group by conv_id""",
+    "op7_site_style_tree": """
+        with b as (
+            select page_id, url, generate_subscripts(l, 1) as i, unnest(l) as block
+            from (select page_id, url, string_split_regex(
+                      regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>') l from pages)),
+        c as (select page_id, url, i, trim(regexp_replace(replace(regexp_replace(
+                  regexp_replace(block, '<[^>]*>', ' ', 'g'), '&quot;?', '"', 'g'), '&amp;', '&'),
+                  '\\s+', ' ', 'g')) as said from b)
+        select page_id, url, coalesce(string_agg(said, chr(10) order by i) filter (said <> ''), '') as text,
+               length(coalesce(string_agg(said, chr(10) order by i) filter (said <> ''), '')) as n_chars
+        from c group by page_id, url""",
     "op8_exact_dedup": """
         with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[ \\t-\\r]+', ' ', 'g')) s
                    from documents),
