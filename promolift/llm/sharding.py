@@ -1,17 +1,19 @@
 """Shards of equal row counts that keep linked documents together.
 
-Balanced label propagation. Documents start in shards dealt evenly in hash
-order. In every round a group of linked documents (equal texts) elects the shard
-that holds most of it among those with room; its other members ask to move
-there. The room of a shard is its number of free documents, which have no link:
-a mover and a free document of its target swap places, so every shard keeps its
-size exactly through all rounds, and each swap only removes cut links. Movers
-beyond the room stay and elect another shard in the next round, so a group
-larger than a shard spreads over as few shards as it needs.
+Balanced label propagation. All documents are dealt to the shards evenly in hash
+order, which fixes the size of every shard. In every round a group of linked
+documents (equal texts) elects the shard that holds most of it among those with
+room; its other members ask to move there and are let in as far as the room goes.
+The room of a shard is its size less the linked documents in it. Those that were
+not let in stay and elect another shard in the next round, so a group larger
+than a shard spreads over as few shards as it needs. Only linked documents take
+part in the rounds; the others, which have no link to cut, then fill every shard
+up to its size.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,52 +44,65 @@ def start_labels(rows: DataFrame, shards: int) -> DataFrame:
 
 
 def elected(linked: DataFrame, room: DataFrame) -> DataFrame:
-    """Members that ask to move: ``row, shard, target``."""
+    """Members that ask to move: ``row, shard`` with the shard they ask for."""
     held = linked.groupBy(*GROUP, "shard").agg(F.count("*").alias("n"))
     # Ties go by hash, so that equal groups do not all elect one shard.
     weight = F.struct("n", F.xxhash64(*GROUP, "shard").alias("tie"), "shard").alias("weight")
-    weighed = held.join(room, "shard", "left").select(
-        *GROUP, "shard", weight, (F.coalesce("free", F.lit(0)) > 0).alias("open"))
+    weighed = held.join(room, "shard").select(*GROUP, "shard", weight, (F.col("room") > 0).alias("open"))
     best = weighed.where("open").groupBy(*GROUP).agg(F.max("weight").alias("best"))
     leaving = weighed.join(best, GROUP).where(F.col("weight") < F.col("best")).select(
         *GROUP, "shard", F.col("best.shard").alias("target"))
-    return even_join(linked, leaving, [*GROUP, "shard"], "inner").select("row", "shard", "target")
-
-
-def swapped(labels: DataFrame) -> tuple[DataFrame, int]:
-    """One round: the new labels and how many documents moved."""
-    linked, free = labels.where("linked"), labels.where(~F.col("linked"))
-    room = free.groupBy("shard").agg(F.count("*").alias("free"))
-    movers = numbered_in(
-        elected(linked, room).withColumnRenamed("shard", "source")
-        .withColumnRenamed("target", "shard"), ["shard"], "place")
-    frees = numbered_in(free.select("row", "shard"), ["shard"], "place").withColumnRenamed("row", "other")
-    pairs = staged(movers.join(frees, ["shard", "place"]).select(
-        F.col("shard").alias("target"), "source", "row", "other"), "swaps")
-    moves = pairs.select("row", F.col("target").alias("new")).unionByName(
-        pairs.select(F.col("other").alias("row"), F.col("source").alias("new")))
-    relabelled = labels.join(moves, "row", "left").withColumn(
-        "shard", F.coalesce("new", "shard")).drop("new")
-    return staged(relabelled, "labels"), pairs.count()
+    return even_join(linked, leaving, [*GROUP, "shard"], "inner").select(
+        "row", F.col("target").alias("shard"))
+
+
+def propagated(linked: DataFrame, sizes: DataFrame) -> tuple[DataFrame, bool]:
+    """One round: the new labels of the linked documents and whether any moved."""
+    taken = linked.groupBy("shard").agg(F.count("*").alias("taken"))
+    room = sizes.join(taken, "shard", "left").select(
+        "shard", (F.col("size") - F.coalesce("taken", F.lit(0))).alias("room"))
+    asking = numbered_in(elected(linked, room), ["shard"], "place")
+    moves = staged(asking.join(room, "shard").where(F.col("place") < F.col("room")).select(
+        "row", F.col("shard").alias("new")), "moves")
+    if moves.isEmpty():
+        return linked, False
+    relabelled = linked.join(moves, "row", "left").withColumn("shard", F.coalesce("new", "shard"))
+    return staged(relabelled.drop("new"), "labels"), True
 
 
 def label_propagation(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """``rows`` has ``row`` (unique) and the link group ``g1, g2``; adds ``linked, shard``.
+    """``row, shard`` for ``rows`` of ``row`` (unique) and the link group ``g1, g2``.
 
     Rounds end early when no document moves. An empty table stays empty.
     """
-    sizes = rows.groupBy(*GROUP).agg((F.count("*") > 1).alias("linked"))
-    labels = staged(start_labels(even_join(rows, sizes, GROUP, "inner"), shards), "labels")
+    groups = rows.groupBy(*GROUP).agg((F.count("*") > 1).alias("linked"))
+    dealt = staged(start_labels(even_join(rows, groups, GROUP, "inner"), shards), "dealt")
+    sizes = staged(dealt.groupBy("shard").agg(F.count("*").alias("size")), "sizes")
+    linked = dealt.where("linked").drop("linked")
     for _ in range(rounds):
-        labels, moved = swapped(labels)
+        linked, moved = propagated(linked, sizes)
         if not moved:
             break
-    return labels
+    return linked.select("row", "shard").unionByName(filled(dealt, linked, sizes))
+
+
+def filled(dealt: DataFrame, linked: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``row, shard`` of the documents without links: they fill the shards in order.
+
+    Only one number for each shard comes to the driver.
+    """
+    taken = linked.groupBy("shard").agg(F.count("*").alias("taken"))
+    left = {r["shard"]: r["size"] - r["taken"] for r in sizes.join(taken, "shard", "left").select(
+        "shard", "size", F.coalesce("taken", F.lit(0)).alias("taken")).collect()}
+    ends = np.cumsum([left[shard] for shard in sorted(left)]).tolist()
+    free = numbered_in(dealt.where(~F.col("linked")).select("row", F.lit(0).alias("all")), ["all"], "place")
+    ended = F.size(F.filter(F.array(*[F.lit(end) for end in ends]), lambda end: end <= F.col("place")))
+    return free.select("row", ended.cast("int").alias("shard"))
 
 
 def cut_links(labels: DataFrame) -> DataFrame:
-    """Links (a chain through each group) whose ends are in different shards."""
-    per_group = labels.where("linked").groupBy(*GROUP).agg(
+    """Links (a chain through each group) that the shards cut; ``labels`` has the groups."""
+    per_group = labels.groupBy(*GROUP).agg(
         (F.count_distinct("shard") - 1).alias("cut"))
     return per_group.agg(F.coalesce(F.sum("cut"), F.lit(0)).alias("cut"))
 
