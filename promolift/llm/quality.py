@@ -29,8 +29,8 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MEASURES = {
     "word_length": ("word_chars", 20, 20),
     "symbols": ("n_symbols", 200, 10),
-    "dup_lines": ("n_dup_lines", 400, 4),
-    "repeats": ("n_repeat_words", 100, 5),
+    "dup_lines": ("n_dup_lines", 400, 10),
+    "repeats": ("n_repeat_words", 100, 8),
 }
 MOST_BINS = 1000
 FENCE, LEAST_GROUP = 4, 50

@@ -145,8 +145,8 @@ ORACLES: dict[str, str] = {
         b as (select doc_id, lang, source, base_failed, unnest([
                 {'m': 'word_length', 'bin': least(20 * word_chars // greatest(n_words, 1), 1000), 'least': 20},
                 {'m': 'symbols', 'bin': least(200 * n_symbols // greatest(n_words, 1), 1000), 'least': 10},
-                {'m': 'dup_lines', 'bin': least(400 * n_dup_lines // greatest(n_words, 1), 1000), 'least': 4},
-                {'m': 'repeats', 'bin': least(100 * n_repeat_words // greatest(n_words, 1), 1000), 'least': 5}],
+                {'m': 'dup_lines', 'bin': least(400 * n_dup_lines // greatest(n_words, 1), 1000), 'least': 10},
+                {'m': 'repeats', 'bin': least(100 * n_repeat_words // greatest(n_words, 1), 1000), 'least': 8}],
                 recursive := true) from f),
         own as (select lang, source, m, any_value(least) s, count(*) n, quantile_disc(bin, 0.25) q1,
                        quantile_disc(bin, 0.75) q3 from b where not base_failed group by all),
