@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -18,7 +19,7 @@ from promolift.operators.uplift import uplift_statistics
 from promolift.plans.prepare import prepare, stage_frames
 from promolift.plans.reports import MODULES, final_report, module_report
 from promolift.sources.sinks import shared_folder
-from testbed.queries import LEVELS, UPLIFT_LEVELS, UPLIFT_NAMES
+from testbed.queries import LEVELS, UPLIFT_LEVELS
 from testbed.tables import CAMPAIGN, written_tables
 
 
@@ -34,6 +35,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="promolift-bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -62,7 +64,7 @@ def main() -> None:
     def final():
         reports = [module_report(module, frames, LEVELS) for module in MODULES]
         return final_report(
-            [*reports, module_report("uplift", frames, UPLIFT_LEVELS, UPLIFT_NAMES)]
+            [*reports, module_report("uplift", frames, UPLIFT_LEVELS)]
         )
 
     timed("report_final", written(final), runs=1)

@@ -74,3 +74,16 @@ def private_label(description: Column) -> Column:
 
 def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
+
+
+def panel_arm(flag: str) -> Column:
+    """Arm of a panel customer, 1 test and 0 control; a control flag Y or N does as well.
+
+    Any other value stops the job with a message that names it.
+    """
+    text = F.upper(F.trim(F.col(flag).cast("string")))
+    wrong = F.raise_error(F.concat(F.lit("panel flag must be 0, 1, Y or N, not "), text)).cast("int")
+    return (
+        F.when(text.isin("1", "N"), 1).when(text.isin("0", "Y"), 0)
+        .when(text.isNull(), F.lit(None).cast("int")).otherwise(wrong)
+    )

@@ -48,12 +48,9 @@ def customer_profile(*attributes: DataFrame) -> DataFrame:
     tables = [table.filter(F.col("id").isNotNull()) for table in attributes]
     if len(tables) == 1:
         return tables[0]
-    profile = tables[0].select("id")
+    profile = tables[0]
     for table in tables[1:]:
-        profile = profile.union(table.select("id"))
-    profile = profile.distinct()
-    for table in tables:
-        profile = profile.join(table, "id", "left")
+        profile = profile.join(table, "id", "full")
     return profile
 
 

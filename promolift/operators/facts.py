@@ -12,16 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promolift.functions import vocabulary as V
-from promolift.functions.columns import stage_is
+from promolift.functions.columns import panel_arm, stage_is
 from promolift.functions.joins import even_join
 from promolift.operators.modules import CampaignFrames
 
 PERIODS = ("pre", "dur", "post")
 
-# Products in more offers than this are matched from the exposed coupon's side.
-WIDE_PRODUCT_OFFERS = 64
-
-
 def exposed_pairs(base: DataFrame) -> DataFrame:
     """Distinct (id, offer) a customer was exposed to."""
     return base.filter(stage_is(V.EXPOSED)).select("id", "offer_code").distinct()
@@ -54,23 +50,16 @@ def bought_under_offer(
 ) -> DataFrame:
     """Purchases matched with the offers on them that the customer was exposed to.
 
-    ``bought`` is unique on (id, *on) and ``pairs`` on (id, offer_code). Neither
-    order of the two joins is safe alone: a store-wide offer multiplies every
-    exposure by all products, and a product found in thousands of offers
-    multiplies every purchase. So products in few offers go from the purchase to
-    the offer, the others from the exposed coupon to the product. Each offer row
-    takes exactly one of the two ways.
+    ``bought`` is unique on (id, *on) and ``pairs`` on (id, offer_code). Purchases
+    of customers without exposure and of products in no offer leave first; then
+    purchases and exposures meet by customer, so nothing multiplies beyond what
+    one customer bought and was exposed to, however wide an offer or popular a
+    product is; the list of offers decides which of these belong together.
     """
-    spread = offer_product.groupBy(*on).agg(F.count("*").alias("_offers"))
-    sized = offer_product.join(spread, on)
-    narrow = sized.filter(F.col("_offers") <= WIDE_PRODUCT_OFFERS).drop("_offers")
-    wide = sized.filter(F.col("_offers") > WIDE_PRODUCT_OFFERS).drop("_offers")
-
-    candidates = even_join(bought, narrow, on, "inner")
-    from_purchase = even_join(candidates, pairs, ["id", "offer_code"], "left_semi")
-    candidates = even_join(pairs, wide, ["offer_code"], "inner")
-    from_coupon = even_join(candidates, bought, ["id", *on], "inner")
-    return from_purchase.unionByName(from_coupon)
+    bought = even_join(bought, pairs.select("id").distinct(), ["id"], "left_semi")
+    bought = even_join(bought, offer_product.select(*on).distinct(), on, "left_semi")
+    candidates = even_join(bought, pairs, ["id"], "inner")
+    return even_join(candidates, offer_product, ["offer_code", *on], "left_semi")
 
 
 def coupon_outcomes(purchases: DataFrame, pairs: DataFrame, offer_product: DataFrame) -> DataFrame:
@@ -193,7 +182,7 @@ def customer_outcomes(lines: DataFrame, units: str) -> DataFrame:
 
 def uplift_panel(panel: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Every panel customer with outcomes, 0 where there were none; arm 1 is test."""
-    joined = panel.withColumn("event_control_flag", F.col("event_control_flag").cast("int")).join(
+    joined = panel.withColumn("event_control_flag", panel_arm("event_control_flag")).join(
         outcomes, "id", "left"
     )
     return joined.na.fill(0, [name for name in outcomes.columns if name != "id"])

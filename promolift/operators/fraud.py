@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import cache
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promolift.functions import vocabulary as V
@@ -29,12 +30,12 @@ NAMES = (
 
 
 def redemptions(frames: CampaignFrames, keys: Iterable[str]) -> DataFrame:
-    """Redemptions with their number ``n``, the customer's arm and what is wrong with them.
+    """Redemptions with their number ``n`` and the customer's arm.
 
     The arm is the one the customer was allocated to; a customer allocated to
     both has every redemption twice. Equal redemptions are collapsed before
-    anything is joined or ranked, so one coupon or one unknown card holding most
-    of the redemptions leaves few rows.
+    anything is joined, so one coupon or one unknown card holding most of the
+    redemptions leaves few rows.
     """
     base = frames.base
     arms = base.filter(stage_is(V.ALLOCATED)).select("id", "event_control_flag").distinct()
@@ -42,13 +43,22 @@ def redemptions(frames: CampaignFrames, keys: Iterable[str]) -> DataFrame:
     kept = dict.fromkeys(("id", "offer_code", "prod_code", "channel_code", *keys))
     kept.pop("event_control_flag", None)
     redeemed = redeemed.groupBy(*kept).agg(F.count("*").alias("n"))
-    redeemed = even_join(redeemed, arms, ["id"])
+    return even_join(redeemed, arms, ["id"])
 
-    listed = frames.offer_product.select("prod_code", "offer_code").distinct()
-    redeemed = even_join(
-        redeemed, listed.withColumn("listed", F.lit(True)), ["prod_code", "offer_code"]
+
+def coupons(rows: DataFrame) -> DataFrame:
+    """Redemptions per (id, offer): in all, digital and on paper; summed on the map side."""
+    count_of = lambda condition: F.sum(F.when(condition, F.col("n")))
+    return rows.groupBy("id", "offer_code").agg(
+        count_of(F.lit(True)).alias("n_coupon"),
+        count_of(is_digital()).alias("n_digital"),
+        count_of(is_paper()).alias("n_paper"),
     )
 
+
+def bad_coupons(rows: DataFrame, base: DataFrame) -> DataFrame:
+    """Coupons of known customers with ``n_bad``: 1 each for unexposed and for repeated."""
+    known = coupons(rows.filter(~is_unknown_id()))
     exposed = exposed_pairs(base).select(
         F.col("id").alias("exposed_id"), F.col("offer_code").alias("exposed_offer"),
         F.lit(True).alias("exposed"),
@@ -56,29 +66,9 @@ def redemptions(frames: CampaignFrames, keys: Iterable[str]) -> DataFrame:
     same_coupon = (F.col("id") == F.col("exposed_id")) & F.col("offer_code").eqNullSafe(
         F.col("exposed_offer")
     )
-    redeemed = redeemed.join(exposed, same_coupon, "left")
-
-    coupon = Window.partitionBy("id", "offer_code")
-    count_of = lambda condition: F.sum(F.when(condition, F.col("n"))).over(coupon)
-    return redeemed.select(
-        "*",
-        count_of(F.lit(True)).alias("n_coupon"),
-        count_of(is_digital()).alias("n_digital"),
-        count_of(is_paper()).alias("n_paper"),
-        F.row_number().over(coupon.orderBy("prod_code", "channel_code")).alias("nth"),
-    ).withColumn(
-        # A coupon both unexposed and repeated counts twice; count it on its first row.
-        "n_bad",
-        F.when(F.col("nth") == 1, _unexposed().cast("int") + _repeated().cast("int")).otherwise(0),
-    )
-
-
-def _unexposed():
-    return F.col("exposed").isNull()
-
-
-def _repeated():
-    return F.col("n_coupon") > 1
+    joined = known.join(exposed, same_coupon, "left")
+    unexposed, repeated = F.col("exposed").isNull(), F.col("n_coupon") > 1
+    return joined.withColumn("n_bad", unexposed.cast("int") + repeated.cast("int"))
 
 
 def fraud_measures(
@@ -89,17 +79,27 @@ def fraud_measures(
         rows = redemptions(frames, keys)
     else:
         rows = frames.base
-    known = ~is_unknown_id()
-    real_coupon = F.col("id").isNotNull() & F.col("offer_code").isNotNull()
     real_product = F.col("prod_code").isNotNull() & F.col("offer_code").isNotNull()
 
-    bad = Rows("bad", rows, known & (_unexposed() | _repeated()))
+    @cache
+    def bad() -> Rows:
+        return Rows("bad", bad_coupons(rows, frames.base), F.col("n_bad") > 0, overall=True)
+
+    @cache
+    def counted() -> DataFrame:
+        """Redemptions with the totals of their coupon; without id or offer they have none."""
+        return even_join(rows, coupons(rows.filter("id is not null")), ["id", "offer_code"])
+
+    def misplaced() -> Rows:
+        listed = frames.offer_product.select("prod_code", "offer_code").distinct()
+        marked = even_join(rows, listed.withColumn("listed", F.lit(True)), ["prod_code", "offer_code"])
+        return Rows("misplaced", marked, real_product & F.col("listed").isNull())
+
     control = Rows("control", rows, F.col("event_control_flag") == V.CONTROL_FLAG)
     unknown = Rows("unknown", rows, is_unknown_id())
-    misplaced = Rows("misplaced", rows, real_product & F.col("listed").isNull())
-    again_digital = Rows("again_digital", rows, real_coupon & is_digital() & (F.col("n_digital") > 1))
-    again_paper = Rows("again_paper", rows, real_coupon & is_paper() & (F.col("n_paper") > 1))
-    in_both = Rows("in_both", rows, real_coupon & (F.col("n_digital") > 0) & (F.col("n_paper") > 0))
+
+    def again(label: str, condition) -> Measure:
+        return Measure(label, (Rows(label, counted(), condition).ids(),))
 
     def control_participation() -> Measure:
         in_control = stage_is(V.ALLOCATED) & (F.col("event_control_flag") == V.CONTROL_FLAG)
@@ -108,13 +108,16 @@ def fraud_measures(
         return Measure("control_participation", (shoppers.ids_with("bought_featured"),))
 
     return pick("fraud", {
-        "bad_redeemers": lambda: scalar_row("bad_redeemers", (bad.ids(),)),
+        "bad_redeemers": lambda: scalar_row("bad_redeemers", (bad().ids(),)),
         "control_redeemers": lambda: Measure("control_redeemers", (control.ids(),)),
         "non_cc_malredemptions": lambda: scalar_row("non_cc_malredemptions", (unknown.sum("n"),)),
         "control_participation": control_participation,
-        "mis_redemptions": lambda: Measure("mis_redemptions", (misplaced.sum("n"),)),
-        "app_multi_redeemers": lambda: Measure("app_multi_redeemers", (again_digital.ids(),)),
-        "dm_multi_redeemers": lambda: Measure("dm_multi_redeemers", (again_paper.ids(),)),
-        "app_dm_multi_redeemers": lambda: Measure("app_dm_multi_redeemers", (in_both.ids(),)),
-        "mal_redemptions": lambda: scalar_row("mal_redemptions", (bad.sum("n_bad"),)),
+        "mis_redemptions": lambda: Measure("mis_redemptions", (misplaced().sum("n"),)),
+        "app_multi_redeemers": lambda: again(
+            "app_multi_redeemers", is_digital() & (F.col("n_digital") > 1)),
+        "dm_multi_redeemers": lambda: again(
+            "dm_multi_redeemers", is_paper() & (F.col("n_paper") > 1)),
+        "app_dm_multi_redeemers": lambda: again(
+            "app_dm_multi_redeemers", (F.col("n_digital") > 0) & (F.col("n_paper") > 0)),
+        "mal_redemptions": lambda: scalar_row("mal_redemptions", (bad().sum("n_bad"),)),
     }, names)

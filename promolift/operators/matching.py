@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promolift.functions import vocabulary as V
-from promolift.functions.columns import stage_is
+from promolift.functions.columns import panel_arm, stage_is
+from promolift.functions.joins import even_join
 from promolift.functions.ranks import with_position
 
 
@@ -62,38 +63,84 @@ def cluster_customers(
     return means.fit(scaled).transform(scaled).drop("_raw", "_features")
 
 
-def systematic_resample(candidates: DataFrame, threshold: int = 10) -> DataFrame:
-    """Equal arms in every cluster: every k-th customer by score of the larger arm.
+def _thinned(candidates: DataFrame) -> DataFrame:
+    """Every k-th customer by score of the larger arm, so that a cluster's arms are equal.
 
-    Clusters with fewer than ``threshold`` customers in an arm are left out.
+    Adds ``_kept``, the size of both arms, and ``_rank``, the new place from 1.
     """
     is_control = F.col("event_control_flag") == V.CONTROL_FLAG
     sizes = candidates.groupBy("cluster").agg(
         F.count_if(~is_control).alias("_test"), F.count_if(is_control).alias("_control")
     )
-    sizes = sizes.withColumn("_kept", F.least("_test", "_control")).filter(
-        F.col("_kept") >= threshold
-    )
-    placed = with_position(candidates, ["cluster", "event_control_flag"], "score", "id")
-    placed = placed.join(sizes, "cluster")
+    sizes = sizes.withColumn("_kept", F.least("_test", "_control"))
+    placed = even_join(
+        with_position(candidates, ["cluster", "event_control_flag"], "score", "id"), sizes,
+        ["cluster"], "inner")
     arm = F.when(is_control, F.col("_control")).otherwise(F.col("_test"))
-    quota = lambda position: F.floor(position * F.col("_kept") / arm)
-    chosen = quota(F.col("position")) > quota(F.col("position") - 1)
-    return placed.filter(chosen).select(
+    # Integer division: places reach beyond what a double holds exactly.
+    quota = placed.withColumn("_arm", arm).selectExpr(
+        "*", "(position * _kept) div _arm as _rank", "((position - 1) * _kept) div _arm as _last")
+    return quota.filter("_rank > _last").drop("_arm", "_last")
+
+
+def systematic_resample(candidates: DataFrame, threshold: int = 10) -> DataFrame:
+    """Equal arms in every cluster: every k-th customer by score of the larger arm.
+
+    Clusters with fewer than ``threshold`` customers in an arm are left out;
+    :func:`left_out` says how many customers that concerns.
+    """
+    is_control = F.col("event_control_flag") == V.CONTROL_FLAG
+    return _thinned(candidates).filter(F.col("_kept") >= threshold).select(
         "id", "event_control_flag", "cluster", "score",
         F.when(is_control, V.CONTROL_ARM).otherwise(V.TEST_ARM).alias("test_panel"),
     )
 
 
+def left_out(candidates: DataFrame, threshold: int = 10) -> DataFrame:
+    """``cluster, customers`` of the clusters that are too small to resample."""
+    is_control = F.col("event_control_flag") == V.CONTROL_FLAG
+    sizes = candidates.groupBy("cluster").agg(
+        F.count("*").alias("customers"), F.count_if(is_control).alias("_control"))
+    smaller = F.least(F.col("customers") - F.col("_control"), F.col("_control"))
+    return sizes.filter(smaller < threshold).select("cluster", "customers")
+
+
 def one_to_one_match(candidates: DataFrame) -> DataFrame:
-    """Pairs of a test and a control customer at the same place by score in a cluster."""
-    placed = with_position(candidates, ["cluster", "event_control_flag"], "score", "id")
+    """Pairs of a test and a control customer at the same place by score in a cluster.
+
+    The larger arm is thinned evenly first, so both arms are used over their
+    whole range and their scores are alike. A cluster with one arm has no pairs.
+    """
+    placed = _thinned(candidates)
     is_control = F.col("event_control_flag") == V.CONTROL_FLAG
 
     def arm(condition, name: str) -> DataFrame:
         return placed.filter(condition).select(
-            "cluster", "position", F.col("id").alias(f"{name}_id"),
+            "cluster", F.col("_rank").alias("position"), F.col("id").alias(f"{name}_id"),
             F.col("score").alias(f"{name}_score"),
         )
 
     return arm(~is_control, "test").join(arm(is_control, "control"), ["cluster", "position"])
+
+
+def build_panel(
+    candidates: DataFrame | None = None, how: str = "systematic", external: DataFrame | None = None,
+    threshold: int = 10,
+) -> DataFrame:
+    """A panel for uplift: ``id`` and ``event_control_flag``, 0 control and 1 test.
+
+    ``how`` is ``external`` (a given panel of the same columns, flags 0/1 or N/Y),
+    ``systematic`` or ``one_to_one``, both from clustered candidates.
+    """
+    if how == "external":
+        return external.select("id", panel_arm("event_control_flag").alias("event_control_flag"))
+    if how == "systematic":
+        chosen = systematic_resample(candidates, threshold)
+        return chosen.select("id", F.col("test_panel").cast("int").alias("event_control_flag"))
+    if how == "one_to_one":
+        pairs = one_to_one_match(candidates)
+        return pairs.select(F.explode(F.array(
+            F.struct(F.col("test_id").alias("id"), F.lit(1).alias("event_control_flag")),
+            F.struct(F.col("control_id").alias("id"), F.lit(0).alias("event_control_flag")),
+        )).alias("one")).select("one.*")
+    raise ValueError(f"unknown panel {how!r}; valid: external, systematic, one_to_one")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,14 +29,11 @@ def drop_reports(spark: SparkSession, names: list[str]) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that every executor can read.
 
-    The cluster names its shared storage in ``spark.checkpoint.dir``. Without
-    that setting only a local session, which has no other machines, can do.
+    The cluster names its shared storage in ``spark.checkpoint.dir``.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="promolift-")
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return f"{root.rstrip('/')}/promolift-{uuid.uuid4().hex}"
 
 

@@ -113,13 +113,18 @@ def _usable_item() -> Column:
     return _usable_card() & is_filled("prod_code")
 
 
+def _whole(column: str) -> Column:
+    """The number without its fraction; text that is no number becomes NULL."""
+    return F.col(column).try_cast("double").try_cast("bigint")
+
+
 def _item_columns() -> list[Column]:
     return [
         F.col("card_code").alias("id"),
         F.col("prod_code"),
         F.col("prod_id"),
         F.col("transaction_code").alias("transaction_fid"),
-        F.col("net_spend_amt").cast("int").alias("spend"),
+        _whole("net_spend_amt").alias("spend"),
         F.col("transaction_dttm"),
         F.col("fis_week_id"),
     ]
@@ -129,8 +134,8 @@ def _basket_columns() -> list[Column]:
     return [
         F.col("card_code").alias("id"),
         F.col("transaction_code").alias("transaction_fid"),
-        F.col("basket_spend_amt").cast("int").alias("spend"),
-        F.col("basket_item_qty").cast("int").alias("basket_item_qty"),
+        _whole("basket_spend_amt").alias("spend"),
+        _whole("basket_item_qty").alias("basket_item_qty"),
         F.col("basket_item_qty").alias("item"),
         F.col("transaction_dttm"),
         F.col("fis_week_id"),

@@ -79,8 +79,9 @@ CTES = {
       from supplier join nation on s_nationkey = n_nationkey""",
     "calendar": f"""select cast(d as date) as date, {week('d')} as fis_week_id,
       cast((dayofyear(d) - 1) % 7 + 1 as varchar) as fis_day_of_week_num
-      from (select unnest(generate_series(timestamp '1995-01-01', timestamp '2001-12-31',
-        interval 1 day)) as d)""",
+      from (select unnest(generate_series(
+        (select min(o_orderdate)::date::timestamp from orders),
+        (select max(o_orderdate)::date::timestamp from orders), interval 1 day)) as d)""",
     "raw_items": f"""select case when l_orderkey % 101 = 0 then ''
         when l_orderkey % 103 = 0 then null else {card('o_custkey')} end as id,
       concat('P', l_partkey % 50) as prod_code, cast(l_partkey as varchar) as prod_id,
@@ -88,7 +89,7 @@ CTES = {
       l_extendedprice * (1 - l_discount) as net_spend_amt, l_quantity as quantity,
       cast(o_orderdate as date) as transaction_day, {week('o_orderdate')} as fis_week_id
       from lines""",
-    "items": """select id, prod_code, prod_id, transaction_fid, cast(trunc(net_spend_amt) as int) as spend,
+    "items": """select id, prod_code, prod_id, transaction_fid, cast(trunc(net_spend_amt) as bigint) as spend,
       transaction_day, fis_week_id from raw_items
       where id is not null and trim(id) <> '' and trim(prod_code) <> ''""",
     "items_pre": "select * from items where fis_week_id between '199801' and '199953'",
@@ -97,8 +98,8 @@ CTES = {
     "raw_baskets": """select transaction_fid, id, transaction_day, fis_week_id,
       round(sum(net_spend_amt), 4) as basket_spend_amt, sum(quantity) as item
       from raw_items group by 1, 2, 3, 4""",
-    "baskets": """select id, transaction_fid, cast(trunc(basket_spend_amt) as int) as spend,
-      cast(trunc(item) as int) as basket_item_qty, item, transaction_day, fis_week_id
+    "baskets": """select id, transaction_fid, cast(trunc(basket_spend_amt) as bigint) as spend,
+      cast(trunc(item) as bigint) as basket_item_qty, item, transaction_day, fis_week_id
       from raw_baskets where id is not null and trim(id) <> ''""",
     "baskets_pre": "select * from baskets where fis_week_id between '199801' and '199953'",
     "baskets_dur": "select * from baskets where fis_week_id between '200001' and '200053'",
@@ -218,8 +219,19 @@ CTES["cluster_rows"] = """select p.*, coalesce(a.event_control_flag, 'Y') as eve
 CTES["candidates"] = """select p.id, coalesce(a.event_control_flag, 'Y') as event_control_flag, score
   from (select id, cast(sum(spend) as bigint) as score from items_pre group by 1) p
   join (select distinct id, event_control_flag from alc) a on p.id = a.id"""
-CTES["placed"] = """select *, row_number() over
-  (partition by event_control_flag order by score, md5(id), id) as position from candidates"""
+CTES["clustered"] = """select p.*, concat(coalesce(loyalty_level, 'XX'), coalesce(lifestyle_level, 'XX')) as cluster
+  from candidates p join (select distinct id, loyalty_level, lifestyle_level from alc) a on p.id = a.id"""
+CTES["placed"] = """select *, (position * kept) // arm as rank, ((position - 1) * kept) // arm as last
+  from (select *, count(*) over (partition by cluster, event_control_flag) as arm,
+      least(count(*) filter (event_control_flag <> 'Y') over (partition by cluster),
+        count(*) filter (event_control_flag = 'Y') over (partition by cluster)) as kept,
+      row_number() over (partition by cluster, event_control_flag order by score, md5(id), id) as position
+    from clustered)"""
+CTES["resampled"] = """select id, event_control_flag, cluster, score,
+  case when event_control_flag = 'Y' then 0 else 1 end as test_panel
+  from placed where kept >= 10 and rank > last"""
+CTES["resampled_panel"] = CTES["basket_panel"].replace(
+    "cast(p.event_control_flag as int)", "p.test_panel").replace("from panel p", "from resampled p")
 
 ORDER = list(CTES)
 

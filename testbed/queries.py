@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -113,6 +114,19 @@ add("src_items_period", _per_period(tables.items_in, "items"), _period_sql("item
 add("src_baskets_period", _per_period(tables.baskets_in, "baskets"), _period_sql("baskets"))
 
 
+def _dirty(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines whose spend is text, some of it no number: they keep their line without spend."""
+    raw = T.raw_tables(spark, folder)
+    items = raw["items"].withColumn("net_spend_amt", F.expr(
+        "if(transaction_code like '%7', 'n/a', string(net_spend_amt))"))
+    return _dated(tables.items_in(items, T.CAMPAIGN.during))
+
+
+add("src_items_dirty", _dirty,
+    """select * replace (case when transaction_fid like '%7' then null else spend end as spend)
+    from items_dur""")
+
+
 def _last_weeks(spark: SparkSession, folder: str) -> DataFrame:
     raw = T.raw_tables(spark, folder)
     return _dated(tables.items_in(raw["items"], tables.Period(end="199953", weeks=8), raw["calendar"]))
@@ -344,7 +358,7 @@ DELIVERED = "(select * from base where contact_stage_code = 'DLV')"
 ACTIVATED = "(select * from base where contact_stage_code = 'ACT' and lower(channel_code) like '%{}%')"
 REDEEMED_ON = "(select * from redeemed where lower(channel_code) like '%{}%')"
 
-for key, name, source, sql in [
+ALLOCATION = [
     ("alloc_coupon_value_per_customer", "coupon_value_per_customer", "exposed",
      num(ratio(f"sum({DISC})", IDS))),
     ("alloc_active_customers", "active_customers", ACTIVE, IDS),
@@ -357,12 +371,15 @@ for key, name, source, sql in [
     ("alloc_exposed_households", "exposed_households", "exposed", IDS),
     ("alloc_mailed_households", "mailed_households", "exposed", IDS),
     ("alloc_household_allocated", "household_allocated", DELIVERED, IDS),
-]:
-    simple(key, "allocation", name, source, sql)
-
-simple("cost_redemption", "cost", "redemption_cost", "redeemed", num(f"sum({DISC})"))
-simple("cost_targeting", "cost", "targeting_cost", "targeted", num("sum(offer_amount)"))
-simple("cost_production", "cost", "production_cost", "targeted", num(ratio("sum(offer_amount)", IDS)))
+]
+COST = [
+    ("cost_redemption", "redemption_cost", "redeemed", num(f"sum({DISC})")),
+    ("cost_targeting", "targeting_cost", "targeted", num("sum(offer_amount)")),
+    ("cost_production", "production_cost", "targeted", num(ratio("sum(offer_amount)", IDS))),
+]
+for module, listed in (("allocation", ALLOCATION), ("cost", COST)):
+    for key, name, source, sql in listed:
+        simple(key, module, name, source, sql)
 side_by_side("cost_campaign", "cost", "campaign_cost",
              "redeemed", f"coalesce(sum({DISC}), 0)", "targeted", "coalesce(sum(offer_amount), 0)",
              num("a + b"))
@@ -505,7 +522,7 @@ def uplift(key: str, name: str, metric: str, sql: str) -> None:
     add(key, _uplift_query([name]), f"select {keys}, {num(sql)} as {name} from ({stats})")
 
 
-for key, name, metric, sql in [
+UPLIFT_MEASURES = [
     ("uplift_units", "units_uplift", "units", "tau * n_t"),
     ("uplift_sales", "sales_uplift", "spend", "tau * n_t"),
     ("uplift_visits", "visits_uplift", "visits", "tau * n_t"),
@@ -517,7 +534,8 @@ for key, name, metric, sql in [
      "tau * n_t / nullif(expected, 0)"),
     ("uplift_adjusted_per_customer", "adjusted_uplift_per_customer", "spend", "tau"),
     ("uplift_per_customer", "uplift_per_customer", "spend", "tau"),
-]:
+]
+for key, name, metric, sql in UPLIFT_MEASURES:
     uplift(key, name, metric, sql)
 
 COST_SQL = joined(
@@ -596,25 +614,48 @@ def _candidates(f) -> DataFrame:
     return matching.matching_candidates(f.items.filter("in_pre"), f.base)
 
 
+def _clusters_of_ids(clustered: DataFrame) -> DataFrame:
+    """What SQL can say of a clustering: every customer once, in a cluster that exists."""
+    return clustered.select(
+        "id", "event_control_flag", F.col("cluster").between(0, 99).alias("in_range"))
+
+
+def _clustered(f) -> DataFrame:
+    """Candidates in clusters of like customers that SQL can follow."""
+    groups = f.base.filter("contact_stage_code = 'ALC'").select(
+        "id", F.concat(F.coalesce("loyalty_level", F.lit("XX")), F.coalesce("lifestyle_level", F.lit("XX")))
+        .alias("cluster")).distinct()
+    return _candidates(f).join(groups, "id")
+
+
+def _resampled_report(f) -> DataFrame:
+    panel = matching.build_panel(_clustered(f), "systematic")
+    return uplift_report(replace(f, panel=panel), UPLIFT_LEVELS, ["sales_uplift"])
+
+
 add("uplift_week_pivot", _on_frames(_pivot), "select * from weekly")
 add("uplift_cluster_input", _on_frames(_inputs), "select * from cluster_rows")
 add("uplift_cluster",
-    _on_frames(lambda f: matching.cluster_customers(
-        _candidates(f), _pivot(f), clusters=10, max_iterations=20)))
+    _on_frames(lambda f: _clusters_of_ids(
+        matching.cluster_customers(_candidates(f), _pivot(f)))),
+    "select id, event_control_flag, true as in_range from candidates")
 add("uplift_sys_resample",
-    _on_frames(lambda f: matching.systematic_resample(matching.one_cluster(_candidates(f)))),
-    """select id, event_control_flag, 1 as cluster, score,
-    case when event_control_flag = 'Y' then 0 else 1 end as test_panel
-    from (select *, count(*) over (partition by event_control_flag) as arm from placed),
-      (select least(count(*) filter (event_control_flag <> 'Y'),
-        count(*) filter (event_control_flag = 'Y')) as kept from placed)
-    where kept >= 10 and (position * kept) // arm > ((position - 1) * kept) // arm""")
+    _on_frames(lambda f: matching.systematic_resample(_clustered(f))),
+    "select * from resampled")
+add("uplift_left_out", _on_frames(lambda f: matching.left_out(_clustered(f))),
+    """select cluster, count(*) as customers from clustered group by cluster
+    having least(count(*) filter (event_control_flag <> 'Y'),
+      count(*) filter (event_control_flag = 'Y')) < 10""")
+add("uplift_resampled_panel_report", _on_frames(_resampled_report),
+    f"""select {', '.join(UPLIFT_KEYS)}, {num('tau * n_t')} as sales_uplift
+    from ({_stats_sql('resampled_panel', UPLIFT_LEVELS, 'spend')})""")
 add("uplift_one_to_one",
-    _on_frames(lambda f: matching.one_to_one_match(matching.one_cluster(_candidates(f)))),
-    """select 1 as cluster, t.position, t.id as test_id, t.score as test_score,
+    _on_frames(lambda f: matching.one_to_one_match(_clustered(f))),
+    """select t.cluster, t.rank as position, t.id as test_id, t.score as test_score,
     c.id as control_id, c.score as control_score
-    from placed t join placed c on t.position = c.position
-    where t.event_control_flag <> 'Y' and c.event_control_flag = 'Y'""")
+    from placed t join placed c on t.cluster = c.cluster and t.rank = c.rank
+    where t.event_control_flag <> 'Y' and c.event_control_flag = 'Y'
+      and t.rank > t.last and c.rank > c.last""")
 
 
 # --- reports ------------------------------------------------------------------
@@ -647,21 +688,60 @@ add("report_module", _module("redemption"), _module_sql("redemption"))
 
 
 
-def _by_category(spark: SparkSession, folder: str) -> DataFrame:
-    frames = T.frames(spark, folder, with_products=True)
-    names = ["coupon_value", "coupons_exposed", "exposed_households"]
-    return rounded(module_report("allocation", frames, CATEGORY_LEVELS, names))
+def _by_category(module: str) -> Query:
+    return lambda spark, folder: rounded(
+        module_report(module, T.frames(spark, folder, with_products=True), CATEGORY_LEVELS))
+
+
+CATEGORY_KEYS = L.key_columns(CATEGORY_LEVELS)
+
 
+def _in_category(source: str) -> str:
+    return f"(select s.*, prod_hier_l20_code from {source} s left join products using (prod_code))"
 
-add("report_allocation_by_category", _by_category, leveled(
-    "(select exposed.*, prod_hier_l20_code from exposed left join products using (prod_code))",
-    CATEGORY_LEVELS,
-    {"coupon_value": num(f"sum({DISC})"), "coupons_exposed": "count(offer_code)",
-     "exposed_households": IDS}))
 
-UPLIFT_NAMES = ["units_uplift", "sales_uplift", "visits_uplift"]
+def _category_sql(measures: list, extra: dict[str, str] | None = None) -> str:
+    parts = {
+        name: leveled(_in_category(source), CATEGORY_LEVELS, {name: sql})
+        for _, name, source, sql in measures
+    } | (extra or {})
+    return _full_join(list(parts.values()), CATEGORY_KEYS, list(parts))
 
 
+add("report_allocation_by_category", _by_category("allocation"), _category_sql(ALLOCATION))
+add("report_cost_by_category", _by_category("cost"), _category_sql(COST, {"campaign_cost": joined(
+    leveled(_in_category("redeemed"), CATEGORY_LEVELS, {"a": f"coalesce(sum({DISC}), 0)"}),
+    leveled(_in_category("targeted"), CATEGORY_LEVELS, {"b": "coalesce(sum(offer_amount), 0)"}),
+    CATEGORY_KEYS, "campaign_cost", num("a + b"))}))
+
+UPLIFT_NAMES = [*(name for _, name, _, _ in UPLIFT_MEASURES), "scr"]
+
+
+def _uplift_report_sql(source: str, method: str) -> str:
+    """All uplift measures side by side; without a cost there is no return on it."""
+    parts = []
+    for metric in ("units", "spend", "visits"):
+        total = "tau * n_t" if method == "ancova" else "y_t - expected"
+        parts.append(f"""(select {', '.join(UPLIFT_KEYS)}, {total} as total_{metric}, expected as e_{metric},
+          n_t as n_{metric} from ({_stats_sql(source, UPLIFT_LEVELS, metric)}))""")
+    using = f"using ({', '.join(UPLIFT_KEYS)})"
+    values = []
+    for _, name, metric, sql in UPLIFT_MEASURES:
+        total = f"total_{metric}"
+        value = f"{total} / nullif(e_{metric}, 0)" if "expected" in sql else total
+        values.append(f"{num(f'{total} / n_{metric}' if sql == 'tau' else value)} as {name}")
+    values.append(f"{num('total_spend / nullif(cost, 0)')} as scr")
+    return f"""select {', '.join(UPLIFT_KEYS)}, {', '.join(values)}
+      from {f' join '.join(part + (f' {using}' if i else '') for i, part in enumerate(parts))}
+      left join ({COST_SQL}) {using}"""
+
+
+for report_key, options in {
+    "report_uplift": {}, "report_uplift_ratio": {"method": "ratio"}, "report_uplift_item": {"source": "item"},
+}.items():
+    add(report_key, _uplift_query(UPLIFT_NAMES, **options), _uplift_report_sql(
+        f"{options.get('source', 'basket')}_panel", options.get("method", "ancova")))
+
 def _final(spark: SparkSession, folder: str) -> DataFrame:
     # Six reports read the enriched contacts, so they are written once.
     frames = stage_frames(T.frames(spark, folder))
@@ -675,21 +755,30 @@ def _final_sql() -> str:
     uplift_part = ", ".join(
         key if key in UPLIFT_KEYS else f"'total' as {key}" for key in [*KEYS, "grouping_level"])
     parts = [_module_sql(module) for module in MODULES]
-    for name, metric in zip(UPLIFT_NAMES, ("units", "spend", "visits")):
-        stats = _stats_sql("basket_panel", UPLIFT_LEVELS, metric)
-        parts.append(f"select {uplift_part}, {num('tau * n_t')} as {name} from ({stats})")
+    parts.append(f"""select {uplift_part}, {', '.join(UPLIFT_NAMES)}
+      from ({_uplift_report_sql('basket_panel', 'ancova')})""")
     return _full_join(parts, KEYS, [*names, *UPLIFT_NAMES])
 
 
 add("report_final", _final, _final_sql())
 
 
+def _read_back(spark: SparkSession, report_frame: DataFrame, name: str) -> DataFrame:
+    """Write a report as a table, read the table, copy it and drop the table again."""
+    folder = sinks.shared_folder(spark)
+    sinks.write_report(report_frame, name, folder)
+    copy = sinks.stage(rounded(spark.table(name)), f"{folder}-copy")
+    sinks.drop_reports(spark, [name])
+    if spark.catalog.tableExists(name):
+        raise RuntimeError(f"{name} was not dropped")
+    return copy
+
+
 def _sink_module(spark: SparkSession, folder: str) -> DataFrame:
     """Write the report as a catalog table in a new folder and read the table back."""
     name = sinks.table_name("default", "promolift", "cost", "check", uuid.uuid4().hex[:8])
     report_frame = module_report("cost", T.frames(spark, folder), LEVELS)
-    sinks.write_report(report_frame, name, sinks.shared_folder(spark))
-    return rounded(spark.table(name))
+    return _read_back(spark, report_frame, name)
 
 
 def _sink_final(spark: SparkSession, folder: str) -> DataFrame:
@@ -699,8 +788,7 @@ def _sink_final(spark: SparkSession, folder: str) -> DataFrame:
         module_report("allocation", frames, LEVELS, ["coupons_exposed"]),
     ]
     name = sinks.table_name("default", "promolift", "final", "check", uuid.uuid4().hex[:8])
-    sinks.write_report(final_report(reports), name, sinks.shared_folder(spark))
-    return rounded(spark.table(name))
+    return _read_back(spark, final_report(reports), name)
 
 
 add("sink_module_report", _sink_module, _module_sql("cost"))

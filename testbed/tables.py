@@ -156,9 +156,10 @@ def stores(read) -> DataFrame:
     return placed.selectExpr("concat('S', s_suppkey) as store_code", "n_name as banner_name")
 
 
-def calendar(spark: SparkSession) -> DataFrame:
-    days = spark.range(0, 1, 1, 1).selectExpr(
-        "explode(sequence(date'1995-01-01', date'2001-12-31')) as date"
+def calendar(read) -> DataFrame:
+    """Every day from the first to the last order; some have none, so they are filled in."""
+    days = read("orders").selectExpr("date(o_orderdate) as day").selectExpr(
+        "explode(sequence(min(day), max(day))) as date"
     )
     return days.selectExpr(
         "date", f"{week('date')} as fis_week_id",
@@ -208,6 +209,7 @@ BUILDERS = {
     "members": members,
     "products": products,
     "stores": stores,
+    "calendar": calendar,
     "items": items,
     "baskets": baskets,
     "panel": panel,
@@ -218,20 +220,18 @@ class RawTables(Mapping):
     """The derived tables, each built when first asked for."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self._spark, self._read, self._built = spark, _reader(spark, folder), {}
+        self._read, self._built = _reader(spark, folder), {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
-            self._built[name] = (
-                calendar(self._spark) if name == "calendar" else BUILDERS[name](self._read)
-            )
+            self._built[name] = BUILDERS[name](self._read)
         return self._built[name]
 
     def __iter__(self):
-        return iter([*BUILDERS, "calendar"])
+        return iter(BUILDERS)
 
     def __len__(self) -> int:
-        return len(BUILDERS) + 1
+        return len(BUILDERS)
 
 
 def raw_tables(spark: SparkSession, folder: str) -> RawTables:

@@ -9,6 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from promolift.functions.columns import panel_arm
 from promolift.operators import enrich, facts, matching
 from promolift.operators.modules import CampaignFrames
 from promolift.operators.uplift import uplift_report
@@ -114,14 +115,15 @@ def test_shared_transactions_count_once_per_group(spark):
     assert found == {"total": pytest.approx(2 / 3), "A": pytest.approx(2 / 3), "B": pytest.approx(1 / 3)}
 
 
-@pytest.mark.parametrize("wide", [0, 1, 64])
-def test_impact_equals_brute_force_either_way_round(spark, monkeypatch, wide):
-    """The split between the two join orders must not change any result."""
-    monkeypatch.setattr(facts, "WIDE_PRODUCT_OFFERS", wide)
+@pytest.mark.parametrize("wide", [False, True])
+def test_impact_equals_brute_force(spark, wide):
+    """Also with an offer on every product and a product in hundreds of offers."""
     rng = random.Random(3)
     ids, prods, offers = [str(i) for i in range(12)], [f"P{i}" for i in range(6)], ["O1", "O2", "O3"]
     exposures = [row(rng.choice(ids), "EXP", rng.choice(offers)) for _ in range(40)]
     listed = [(o, p) for o, p in itertools.product(offers, prods) if rng.random() < 0.5 or p == "P0"]
+    if wide:
+        listed = sorted({*listed, *(("O1", p) for p in prods), *((f"W{i}", "P0") for i in range(300))})
     category = {p: f"C{i % 3}" for i, p in enumerate(prods)}
     lines = [
         (rng.choice(ids), rng.choice(prods), f"t{i}", rng.choice(["pre", "dur", "post"]))
@@ -200,6 +202,45 @@ def test_resampling_evens_the_arms_and_drops_small_clusters(spark):
     pairs = matching.one_to_one_match(df).collect()
     assert len(pairs) == 25 + 2
     assert len({p.test_id for p in pairs}) == len({p.control_id for p in pairs}) == 27
+    # Both arms are used over their whole range, so their scores are alike.
+    large = [p for p in pairs if p.cluster == 0]
+    gap = sum(p.test_score - p.control_score for p in large) / len(large)
+    assert abs(gap) < 12 and max(p.test_score for p in large) > 280
+    (small,) = matching.left_out(df, threshold=10).collect()
+    assert (small.cluster, small.customers) == (1, 30)
+
+
+@pytest.mark.parametrize("how", ["systematic", "one_to_one", "external"])
+def test_built_panels_feed_uplift(spark, how):
+    rows = [(str(i), "Y" if i % 3 == 0 else "N", i, 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, event_control_flag string, score bigint, cluster int")
+    panel = matching.build_panel(df, how, external=df)
+    flags = [r.event_control_flag for r in panel.collect()]
+    assert flags.count(0) == 20 and flags.count(1) == (40 if how == "external" else 20)
+    outcomes = spark.createDataFrame([("1", 5)], "id string, pre_units int")
+    assert facts.uplift_panel(panel, outcomes).count() == len(flags)
+    with pytest.raises(ValueError, match="unknown panel"):
+        matching.build_panel(df, "nothing")
+
+
+def test_panel_flags(spark):
+    df = spark.createDataFrame([("Y",), ("n",), (" 0",), ("1",), (None,)], "flag string")
+    assert [r[0] for r in df.select(panel_arm("flag")).collect()] == [0, 1, 0, 1, None]
+    with pytest.raises(Exception, match="panel flag must be"):
+        spark.createDataFrame([("maybe",)], "flag string").select(panel_arm("flag")).collect()
+
+
+def test_control_redeemers_alone_do_not_read_exposures(spark):
+    f = frames(spark, [row("1", "ALC", flag="Y"), row("1", "RDM")])
+    plan = lambda name: module_report("fraud", f, ["()"], [name])._jdf.queryExecution().optimizedPlan().toString()
+    assert "EXP" not in plan("control_redeemers") and "EXP" in plan("bad_redeemers")
+
+
+def test_most_redemptions_on_one_unknown_id(spark):
+    base = [row(None, "RDM")] * 300 + [row("null", "RDM")] * 50 + [row("1", "RDM"), row("1", "RDM", channel="PAPER")]
+    names = ["bad_redeemers", "mal_redemptions", "non_cc_malredemptions", "app_multi_redeemers"]
+    found = overall(module_report("fraud", frames(spark, base), ["()"], names))
+    assert (found.bad_redeemers, found.mal_redemptions, found.non_cc_malredemptions) == (1, 2, 350)
 
 
 def test_final_report_aligns_keys_and_fills_zeros(spark):
