@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -55,21 +56,21 @@ def ancestors(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     reach = staged(base.select(
         *NODE, F.when(F.col("known"), F.col("parent_id")).alias("up"),
         F.lit(1).cast("bigint").alias("length"), F.coalesce("score", F.lit(0.0)).alias("total")), "stride")
+    done, open_ = [reach.where(F.col("up").isNull())], reach.where(F.col("up").isNotNull())
     strides = []
     most = max(1, messages.count()).bit_length()
-    while len(strides) <= most:
-        open_ = reach.where(F.col("up").isNotNull())
-        if open_.isEmpty():
-            break
+    # Only paths that have not met their root are joined again.
+    while len(strides) <= most and not open_.isEmpty():
         strides.append(open_.select(*NODE, "up"))
-        above = reach.select(
+        above = reduce(DataFrame.unionByName, [*done, open_]).select(
             "conv_id", F.col("msg_id").alias("up"), F.col("up").alias("next"),
             F.col("length").alias("more"), F.col("total").alias("gain"))
-        reach = staged(reach.join(above, ["conv_id", "up"], "left").select(
-            *NODE, F.col("next").alias("up"),
-            (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"),
-            (F.col("total") + F.coalesce("gain", F.lit(0.0))).alias("total")), "stride")
-    return reach.where(F.col("up").isNull()).drop("up"), strides
+        step = staged(open_.join(above, ["conv_id", "up"]).select(
+            *NODE, F.col("next").alias("up"), (F.col("length") + F.col("more")).alias("length"),
+            (F.col("total") + F.col("gain")).alias("total")), "stride")
+        done.append(step.where(F.col("up").isNull()))
+        open_ = step.where(F.col("up").isNotNull())
+    return reduce(DataFrame.unionByName, done).drop("up"), strides
 
 
 def branches(messages: DataFrame, reach: DataFrame) -> DataFrame:
