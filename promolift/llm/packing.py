@@ -15,11 +15,11 @@ others.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +41,8 @@ def tokenised(docs: DataFrame, path: str, spaces: str, end_id: int) -> DataFrame
         for batch in batches:
             ids = encode_all(path, spaces, list(batch.pop("text")), end_id)
             batch["n"] = [len(x) for x in ids]
-            batch["data"] = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in ids]
+            press = zstandard.ZstdCompressor(level=1)
+            batch["data"] = [press.compress(x.tobytes()) for x in ids]
             yield batch
 
     rows = docs.select(
@@ -126,12 +127,14 @@ def pack(
     by_row = stream.groupBy("row").agg(F.collect_list(F.struct("start", "length", "at")).alias("parts"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpress = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
             for doc, queue, n, data, parts in zip(
                     batch["doc"], batch["queue"], batch["n"], batch["data"], batch["parts"], strict=True):
-                ids = zlib.decompress(data)
-                out += [(doc, queue, start, length, ids[4 * start:4 * (start + length)], n,
+                raw = unpress.decompress(data)
+                ids = np.frombuffer(raw, f"<u{len(raw) // n}")
+                out += [(doc, queue, start, length, ids[start:start + length].astype("<u4").tobytes(), n,
                          at // sequence, at % sequence) for start, length, at in _pieces(parts, sequence)]
             yield pd.DataFrame(out, columns=[
                 "doc", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])

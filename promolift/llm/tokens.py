@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words a worker keeps; it starts anew when they are exceeded.
-MOST_WORDS = 600_000
+MOST_WORDS = 1_000_000
 LONGEST_KEPT = 64
 TOGETHER = 64
 
