@@ -29,6 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,17 +138,22 @@ class Scheme:
         upper = np.array(self.uppers[1:])
         return [i + 1 for i in np.flatnonzero((upper >= n) & (lower < n * 100 // self.percent))]
 
-    def signatures(self, values: np.ndarray) -> np.ndarray:
-        """Signatures of a sorted set: similar, different sets have one in common."""
+    def signatures(self, values: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """(class, need, signatures) of a sorted set, for every class it takes part in.
+
+        Two similar, different sets share signatures of the class of the larger
+        one. Of all parts at least spare + 1 agree, and no more of these are
+        empty than a set has empty parts; so it shares at least ``need`` signatures.
+        """
         n = len(values)
-        out = []
+        out: list[tuple[int, int, np.ndarray]] = []
         scrambled = mixed(values, 21)
         if 0 < n <= self.boundary:
             total = scrambled.sum(dtype=U)
             for size in self.subset_sizes(n, self.boundary):
                 gone = np.array(list(combinations(range(n), n - size)), np.int64)
                 left = total - scrambled[gone].sum(axis=1, dtype=U) if n > size else np.array([total])
-                out.append(mixed(left, 31 + size))
+                out.append((-size, 1, mixed(left, 31 + size)))
         for i in self.classes(n) if n else []:
             lower, upper = self.uppers[i - 1], self.uppers[i]
             parts, spare = self.parts_of(i, lower, upper)
@@ -157,9 +163,10 @@ class Scheme:
             full = np.diff(np.append(cuts, n)) > 0
             sums[~full] = 0
             signed = mixed(sums ^ mixed(np.arange(parts, dtype=U), 1000 + i), 22)
+            empty = parts - int(full.sum())
             # Where too many parts are empty, the empty ones have lists too.
-            out.append(signed[full] if (~full).sum() <= spare else signed)
-        return np.concatenate(out) if out else np.zeros(0, U)
+            out.append((i, spare + 1 - empty, signed[full]) if empty <= spare else (i, 1, signed))
+        return out
 
     def parts_of(self, i: int, lower: int, upper: int) -> tuple[int, int]:
         memo = self.__dict__.setdefault("_parts", {})
@@ -168,11 +175,31 @@ class Scheme:
         return memo[i]
 
 
-SET_SCHEMA = "doc_id bigint, n bigint, h1 bigint, h2 bigint, signatures array<bigint>"
+#: Rows taken from an Arrow batch at a time, so that few texts are Python objects at once.
+TAKEN = 256
+#: More than the parts of any class.
+TAG = 1 << 16
+LONGS = pa.list_(pa.int64())
+GROUPS = pa.list_(pa.struct([("class", pa.int32()), ("need", pa.int32()), ("signatures", LONGS)]))
+ARROW_SETS = pa.schema([*((name, pa.int64()) for name in ("doc_id", "n", "h1", "h2")), ("groups", GROUPS)])
+ARROW_STARS = pa.schema([
+    *((name, pa.int64()) for name in ("leader", "member", "leader_n", "member_n")),
+    ("linked", pa.bool_()), ("differences", LONGS)])
+
+
+def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, TAKEN):
+            yield batch.slice(start, TAKEN).to_pydict()
+
+
+SET_SCHEMA = (
+    "doc_id bigint, n bigint, h1 bigint, h2 bigint, "
+    "groups array<struct<class: int, need: int, signatures: array<bigint>>>")
 
 
 def sets_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``doc_id, n, h1, h2, signatures`` of every document, staged.
+    """``doc_id, n, h1, h2, groups`` of every document, staged.
 
     A task gives the signatures of equal sets once, so a text with copies in a
     third of all rows has no more rows in its lists than there are tasks. Rows
@@ -180,76 +207,89 @@ def sets_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """
     scheme = Scheme(percent, docs.count())
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         check_hash_seed()
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
-            out = []
-            for doc, text in zip(batch["doc"], batch["text"], strict=True):
+        for rows in pieces_of(batches):
+            out: dict[str, list] = {name: [] for name in ARROW_SETS.names}
+            for doc, text in zip(rows["doc_id"], rows["text"], strict=True):
                 values = shingles(text, width)
                 key = digest(values)
-                known = key in seen or pd.isna(doc)
+                known = key in seen or doc is None
                 if not known:
                     seen.add(key)
-                out.append((
-                    doc, len(values), *key,
-                    [] if known else scheme.signatures(values).view(np.int64)))
-            yield pd.DataFrame(out, columns=["doc", "n", "h1", "h2", "signatures"])
+                groups = [] if known else [
+                    {"class": c, "need": need, "signatures": signed.view(np.int64)}
+                    for c, need, signed in scheme.signatures(values)]
+                for name, value in zip(out, (doc, len(values), *key, groups), strict=True):
+                    out[name].append(value)
+            yield pa.RecordBatch.from_pydict(out, ARROW_SETS)
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc"), "text")
-    built = rows.mapInPandas(build, "doc string, n bigint, h1 bigint, h2 bigint, signatures array<bigint>")
-    return staged(built.withColumn("doc_id", F.col("doc").cast("bigint")).drop("doc"), "sets")
+    return staged(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(build, SET_SCHEMA), "sets")
 
 
 def led_pairs(sets: DataFrame) -> DataFrame:
     """``leader, member`` (documents) for every list, the largest set leading.
 
+    A member that is in fewer lists with others than it needs has no similar set
+    in that class and leaves it. So texts that share a passage, which agree on a
+    few parts, are never compared.
+
     Rows are dealt by ranges of (list, size, document), so a long list is spread
     over tasks. A task that does not see the head of a list leads its rows by
     the first of them; those leaders are replaced afterwards by the true one.
     """
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
+        """A row for each set of a list; lists of one set leave, but at the ends of the task."""
+        first_list = None
+        last = (0, 0, 0, 0, False)  # list, size, document and tag of its leader; just begun
+        names = ["signature", "minus_n", "leader", "tag"]
         for batch in batches:
             if not len(batch):
                 continue
-            lists, sizes, docs = (batch[c].to_numpy() for c in ("signature", "minus_n", "doc_id"))
+            lists, sizes, docs, tags = (
+                batch[c].to_numpy() for c in ("signature", "minus_n", "doc_id", "tag"))
             starts = np.append(True, lists[1:] != lists[:-1])
-            first = last is None
-            if not first and lists[0] == last[0]:
-                starts[0] = False
-            at = np.where(starts, np.arange(len(lists)), -1)
-            at = np.maximum.accumulate(at)
-            own = at >= 0
-            leader_doc = np.where(own, docs[at], 0 if first else last[2])
-            leader_size = np.where(own, sizes[at], 0 if first else last[1])
-            keep = (docs != leader_doc)
-            # The first list of a task may go on from the task before.
-            keep[0] |= first
+            first = first_list is None
             if first:
                 first_list = lists[0]
-            kind = lists == first_list
-            if keep.any():
-                yield pd.DataFrame({
-                    "signature": lists[keep], "leader": leader_doc[keep],
-                    "minus_n": leader_size[keep], "member": docs[keep], "open": kind[keep]})
-            last = (lists[-1], leader_size[-1], leader_doc[-1])
-        if last is not None:
+            else:
+                starts[0] = lists[0] != last[0]
+            at = np.maximum.accumulate(np.where(starts, np.arange(len(lists)), -1))
+            led = [np.where(at >= 0, own[at], old) for own, old in zip((lists, sizes, docs, tags), last, strict=False)]
+            # The second row of a list shows that its leader is not alone.
+            second = ~starts & np.append(last[4], starts[:-1])
+            member = ~starts
+            member[0] |= first
+            frame = pd.DataFrame(dict(zip(names, led, strict=True)))
+            rows = pd.concat([
+                frame[member].assign(member=docs[member], tag=tags[member]),
+                frame[second].assign(member=led[2][second])])
+            if len(rows):
+                # The first list of a task may go on from the task before.
+                yield rows.assign(open=rows["signature"] == first_list)
+            last = (*(column[-1] for column in led), bool(starts[-1]))
+        if first_list is not None:
             # So may its last list go on in the next.
-            yield pd.DataFrame({
-                "signature": [last[0]], "leader": [last[2]], "minus_n": [last[1]],
-                "member": [last[2]], "open": [True]})
+            head = pd.DataFrame([last[:4]], columns=names)
+            yield head.assign(member=last[2], open=True)
 
-    rows = sets.select("doc_id", (-F.col("n")).alias("minus_n"), F.explode("signatures").alias("signature"))
+    grouped = sets.select("doc_id", (-F.col("n")).alias("minus_n"), F.explode("groups").alias("group"))
+    # Class and need in one number.
+    tag = (F.col("group.class") * TAG + F.col("group.need")).cast("bigint").alias("tag")
+    rows = grouped.select("doc_id", "minus_n", tag, F.explode("group.signatures").alias("signature"))
     order = ["signature", "minus_n", "doc_id"]
     found = staged(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(
-        scan, "signature bigint, leader bigint, minus_n bigint, member bigint, open boolean"), "led")
-    closed = found.where(~F.col("open")).select("leader", "member")
-    edges = found.where("open")
-    heads = edges.groupBy("signature").agg(F.min(F.struct("minus_n", "leader")).alias("head"))
-    led = even_join(edges, heads, ["signature"], "inner").select(F.col("head.leader").alias("leader"), "leader", "member").toDF("leader", "local", "member")
-    return closed.unionByName(led.select("leader", "member")).unionByName(
-        led.select("leader", F.col("local").alias("member"))).where("leader <> member").distinct()
+        scan, "signature bigint, minus_n bigint, leader bigint, tag bigint, member bigint, open boolean"), "led")
+    heads = found.where("open").groupBy("signature").agg(F.min(F.struct("minus_n", "leader")).alias("head"))
+    # The ends of tasks may count twice, which only keeps a set that could leave.
+    lists = found.groupBy("member", "tag").agg(F.count("*").alias("lists"))
+    fit = lists.where(F.col("lists") >= F.pmod(F.col("tag"), F.lit(TAG))).select("member", "tag")
+    fitting = even_join(found, fit, ["member", "tag"], "left_semi")
+    closed = fitting.where(~F.col("open")).select("leader", "member")
+    led = even_join(fitting.where("open"), heads, ["signature"], "inner").select(
+        F.col("head.leader").alias("leader"), "member")
+    return closed.unionByName(led).where("leader <> member").distinct()
 
 
 def represented(sets: DataFrame) -> DataFrame:
@@ -259,7 +299,7 @@ def represented(sets: DataFrame) -> DataFrame:
 
 def star_pairs(sets: DataFrame, classes: DataFrame) -> DataFrame:
     """``leader, member`` as representatives of different sets."""
-    names = sets.where(F.size("signatures") > 0).join(classes, ["n", "h1", "h2"]).select("doc_id", "rep", "n")
+    names = sets.where(F.size("groups") > 0).join(classes, ["n", "h1", "h2"]).select("doc_id", "rep", "n")
     pairs = led_pairs(sets)
     for side in ("leader", "member"):
         pairs = pairs.join(names.select(F.col("doc_id").alias(side), F.col("rep").alias(f"{side}_rep")), side)
@@ -295,32 +335,31 @@ def compared(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int,
     texts = docs.select("doc_id", "text").join(wanted, "doc_id").repartition(
         "leader", "block").sortWithinPartitions("leader", "block", "kind", "doc_id")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         check_hash_seed()
         head, head_set = None, None
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                values = shingles(row.text, width)
-                if digest(values) != (row.h1, row.h2):
+        columns = ("doc_id", "text", "leader", "kind", "block", "h1", "h2")
+        for rows in pieces_of(batches):
+            out: dict[str, list] = {name: [] for name in ARROW_STARS.names}
+            for doc, text, leader, kind, block, h1, h2 in zip(*(rows[c] for c in columns), strict=True):
+                values = shingles(text, width)
+                if digest(values) != (h1, h2):
                     continue  # another row with the same doc_id
-                if row.kind == 0:
-                    head, head_set = (row.leader, row.block), values
+                if kind == 0:
+                    head, head_set = (leader, block), values
                     continue
-                if head != (row.leader, row.block):
+                if head != (leader, block):
                     raise RuntimeError("a block has no leader")
                 more = np.setdiff1d(values, head_set, assume_unique=True)
                 less = np.setdiff1d(head_set, values, assume_unique=True)
-                apart = len(more) + len(less)
-                out.append((
-                    row.leader, row.doc_id, len(head_set), len(values),
-                    linked_sizes(len(head_set), len(values), apart, percent),
-                    np.concatenate([more, less]).view(np.int64)))
-            if out:
-                yield pd.DataFrame(out, columns=[
-                    "leader", "member", "leader_n", "member_n", "linked", "differences"])
-
-    return staged(texts.mapInPandas(compare, STAR_SCHEMA), "compared")
+                linked = linked_sizes(len(head_set), len(values), len(more) + len(less), percent)
+                found = (leader, doc, len(head_set), len(values), linked,
+                         np.concatenate([more, less]).view(np.int64))
+                for name, value in zip(out, found, strict=True):
+                    out[name].append(value)
+            yield pa.RecordBatch.from_pydict(out, ARROW_STARS)
+
+    return staged(texts.mapInArrow(compare, STAR_SCHEMA), "compared")
 
 
 def links_between(stars: DataFrame, percent: int) -> DataFrame:
