@@ -147,13 +147,16 @@ def signed(data: str) -> int:
 
 
 PAGE_SCHEMA = (
-    "page string, url string, host string, paths array<string>, texts array<string>, "
-    "nodes array<struct<path: string, content: bigint>>, page_hash bigint")
+    "host string, nodes array<struct<path: string, content: bigint>>, page_hash bigint")
 
 
-def page_blocks(pages: DataFrame) -> DataFrame:
-    """The blocks of every page in order, and the content of each of its nodes as a hash."""
+def with_host(pages: DataFrame) -> DataFrame:
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[^:/?#]*:?//([^/?#]*)", 1), F.lit("")))
+    return pages.select(F.col("page_id").cast("string").alias("page"), "url", host.alias("host"), "html")
+
+
+def page_nodes(pages: DataFrame) -> DataFrame:
+    """The nodes of every page that hold text, with their content as a hash."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -164,14 +167,11 @@ def page_blocks(pages: DataFrame) -> DataFrame:
                 for path, said in page:
                     held.setdefault(path, []).append(said)
                 nodes.append([{"path": path, "content": signed("\n".join(said))} for path, said in held.items()])
-            batch["paths"] = [[path for path, _ in page] for page in found]
-            batch["texts"] = [[said for _, said in page] for page in found]
             batch["nodes"] = nodes
             batch["page_hash"] = [signed(repr(page)) for page in found]
             yield batch
 
-    rows = pages.select(F.col("page_id").cast("string").alias("page"), "url", host.alias("host"), "html")
-    return rows.mapInPandas(read, PAGE_SCHEMA)
+    return pages.select("host", "html").mapInPandas(read, PAGE_SCHEMA)
 
 
 LEAST_PAGES, LEAST_IMPORTANCE = 8, 0.2
@@ -209,20 +209,25 @@ def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every page; null and empty pages have no text.
 
     Null urls form one host. Repeated pages are extracted each. An empty table
-    gives no rows.
+    gives no rows. Pages are read twice, for the tree and for the text, which
+    costs less than keeping all their blocks in between.
     """
-    read = staged(page_blocks(pages.select("page_id", "url", "html")), "blocks")
-    joined = even_join(
-        read.select("page", "url", "host", "paths", "texts"), unimportant(style_tree(read)), ["host"])
+    placed = with_host(pages)
+    tree = style_tree(staged(page_nodes(placed), "nodes"))
+    # Written first, so that Spark knows its size before it plans to move any page.
+    joined = even_join(placed, staged(unimportant(tree), "cut"), ["host"])
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            text = [
-                main_text(list(paths), list(texts), set(cut) if cut is not None else set())
-                for paths, texts, cut in zip(batch["paths"], batch["texts"], batch["cut"], strict=True)]
+            text = []
+            for html, cut in zip(batch["html"], batch["cut"], strict=True):
+                found = blocks(html)
+                text.append(main_text(
+                    [path for path, _ in found], [said for _, said in found],
+                    set(cut) if cut is not None else set()))
             yield pd.DataFrame({"page": batch["page"], "url": batch["url"], "text": text})
 
-    found = joined.select("page", "url", "paths", "texts", "cut").mapInPandas(
+    found = joined.select("page", "url", "html", "cut").mapInPandas(
         write, "page string, url string, text string")
     return found.select(
         F.col("page").cast(pages.schema["page_id"].dataType).alias("page_id"), "url", "text",
