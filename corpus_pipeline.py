@@ -3,6 +3,7 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and read again as the next one's ``docs``. The first three
 return the columns of ``documents``; the last returns the packed pieces.
+When a stage begins, its input is written, so what earlier stages staged goes.
 """
 
 from __future__ import annotations
@@ -10,27 +11,32 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from promolift.llm.common import staged
+from promolift.llm.common import discard
 from promolift.llm.exact_dedup import drop_copies
 from promolift.llm.jaccard import drop_near_copies
 from promolift.llm.packing import pack
 from promolift.llm.quality import keep_good
+from promolift.sources.sinks import shared_folder, stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    discard(spark)
     return keep_good(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    discard(spark)
     return drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shingles of five words, similar from 80 per cent on."""
+    discard(spark)
     return drop_near_copies(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    discard(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), "kept", end_id=1)
 
 
@@ -48,6 +54,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``: the pieces of the packed sequences."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), f"{shared_folder(spark)}-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

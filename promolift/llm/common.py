@@ -12,12 +12,34 @@ WHITE_BYTES = b" \t\n\x0b\x0c\r"
 WHITE_CLASS = r"[\x20\x09-\x0D]"
 
 
+#: Folders written by :func:`staged` and not discarded yet.
+_folders: list[str] = []
+
+
 def staged(frame: DataFrame, name: str) -> DataFrame:
     """Write a frame into the folder all executors share and read it back.
 
     The written table cuts lineage: a lost executor costs no recomputation.
     """
-    return stage(frame, f"{shared_folder(frame.sparkSession)}-{name}")
+    folder = f"{shared_folder(frame.sparkSession)}-{name}"
+    table = stage(frame, folder)
+    _folders.append(folder)
+    table.staged_folder = folder
+    return table
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; without tables, all of them.
+
+    A result is lazy and reads staged tables when it is written, so all may only
+    go once the results made so far are written.
+    """
+    gone = [table.staged_folder for table in tables] or list(_folders)
+    context = spark.sparkContext
+    for folder in gone:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _folders.remove(folder)
 
 
 def spread(spark: SparkSession) -> int:

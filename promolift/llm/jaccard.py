@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promolift.functions.joins import even_join
-from promolift.llm.common import staged
+from promolift.llm.common import discard, staged
 
 WIDTH, PERCENT = 3, 90
 #: Members of a leader that are compared in one block.
@@ -228,8 +228,8 @@ def sets_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return staged(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(build, SET_SCHEMA), "sets")
 
 
-def led_pairs(sets: DataFrame) -> DataFrame:
-    """``leader, member`` (documents) for every list, the largest set leading.
+def led_pairs(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``leader, member`` (documents) for every list, the largest set leading; the table below.
 
     A member that is in fewer lists with others than it needs has no similar set
     in that class and leaves it. So texts that share a passage, which agree on a
@@ -289,7 +289,7 @@ def led_pairs(sets: DataFrame) -> DataFrame:
     closed = fitting.where(~F.col("open")).select("leader", "member")
     led = even_join(fitting.where("open"), heads, ["signature"], "inner").select(
         F.col("head.leader").alias("leader"), "member")
-    return closed.unionByName(led).where("leader <> member").distinct()
+    return closed.unionByName(led).where("leader <> member").distinct(), found
 
 
 def represented(sets: DataFrame) -> DataFrame:
@@ -300,11 +300,13 @@ def represented(sets: DataFrame) -> DataFrame:
 def star_pairs(sets: DataFrame, classes: DataFrame) -> DataFrame:
     """``leader, member`` as representatives of different sets."""
     names = sets.where(F.size("groups") > 0).join(classes, ["n", "h1", "h2"]).select("doc_id", "rep", "n")
-    pairs = led_pairs(sets)
+    pairs, below = led_pairs(sets)
     for side in ("leader", "member"):
         pairs = pairs.join(names.select(F.col("doc_id").alias(side), F.col("rep").alias(f"{side}_rep")), side)
-    return staged(pairs.select(F.col("leader_rep").alias("leader"), F.col("member_rep").alias("member"))
-                  .where("leader <> member").distinct(), "stars")
+    stars = staged(pairs.select(F.col("leader_rep").alias("leader"), F.col("member_rep").alias("member"))
+                   .where("leader <> member").distinct(), "stars")
+    discard(sets.sparkSession, below)
+    return stars
 
 
 STAR_SCHEMA = (
@@ -439,16 +441,20 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     docs = docs.select("doc_id", "text")
     sets = sets_of(docs, width, percent)
     classes = staged(represented(sets), "classes")
-    stars = compared(docs, star_pairs(sets, classes), classes, width, percent)
+    pairs = star_pairs(sets, classes)
+    # From here on the signatures are not needed.
+    narrow = staged(sets.select("doc_id", "n", "h1", "h2"), "narrow")
+    discard(sets.sparkSession, sets)
+    stars = compared(docs, pairs, classes, width, percent)
     links = staged(stars.where("linked").select("leader", "member").unionByName(
         links_between(stars, percent)).distinct(), "links")
+    discard(docs.sparkSession, stars)
     labels = components(links)
     ends = links.select(F.explode(F.array("leader", "member")).alias("rep")).groupBy("rep").agg(
         F.count("*").alias("n_links"))
     named = classes.join(labels, "rep", "left").join(ends, "rep", "left").select(
         "n", "h1", "h2", F.coalesce("component", "rep").alias("component"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    narrow = sets.select("doc_id", "n", "h1", "h2")
     return even_join(narrow, named, ["n", "h1", "h2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import corpus_pipeline
-from promolift.llm.common import staged
+from promolift.sources.sinks import shared_folder, stage as write_stage
 from promolift.llm.queries import ORACLES, QUERIES
 from tests.check import connect, differences
 from tests.llm.test_operators import brute_classes, normal
@@ -29,7 +29,7 @@ def test_pipeline_equals_plain_steps(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     steps = [docs]
     for name, stage in corpus_pipeline.STAGES:
-        steps.append(staged(stage(spark, steps[-1], FOLDER), name))
+        steps.append(write_stage(stage(spark, steps[-1], FOLDER), f"{shared_folder(spark)}-{name}"))
     text = {r.doc_id: r.text for r in docs.collect()}
     ids = [[r.doc_id for r in step.select("doc_id").collect()] for step in steps]
     good = {r.doc_id for r in QUERIES["op9_adaptive_quality"](spark, FOLDER).collect() if r.kept}
