@@ -8,11 +8,18 @@ quartile plus ``fence`` times the spread between the quartiles (never less than
 in a source, and an ordinary source loses no fixed share of its documents.
 Groups with fewer than ``least_group`` documents use the sketch of their
 language, languages with fewer that of the corpus.
+
+There are two sets of measures. ``MEASURES`` are those of the SQL twin of op9,
+which fixes that query's results; there repeats never reach their cutoff and
+repeated lines only in texts of very short lines. ``WORKING`` is what the
+pipeline uses: repeated lines count per line, the least spreads lie inside what
+the base rule leaves, and words can also be too short for their source.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,12 +32,32 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Measure -> (numerator, bins per unit, least spread in bins). All are per word.
-MEASURES = {
-    "word_length": ("word_chars", 20, 20),
-    "symbols": ("n_symbols", 200, 10),
-    "dup_lines": ("n_dup_lines", 400, 10),
-    "repeats": ("n_repeat_words", 100, 8),
+COUNTS = [*BASE, "n_lines"]
+
+
+class Measure(NamedTuple):
+    """A share in bins, and the least spread that its cutoffs are apart from the quartiles."""
+
+    numerator: str
+    denominator: str
+    bins_per_unit: int
+    least_spread: int
+    #: Least spread of a lower cutoff; None where no value is too low.
+    least_below: int | None = None
+
+
+Measures = dict[str, Measure]
+MEASURES: Measures = {
+    "word_length": Measure("word_chars", "n_words", 20, 20),
+    "symbols": Measure("n_symbols", "n_words", 200, 10),
+    "dup_lines": Measure("n_dup_lines", "n_words", 400, 10),
+    "repeats": Measure("n_repeat_words", "n_words", 100, 8),
+}
+WORKING: Measures = {
+    "word_length": Measure("word_chars", "n_words", 20, 20, 10),
+    "symbols": Measure("n_symbols", "n_words", 200, 10),
+    "dup_lines": Measure("n_dup_lines", "n_lines", 100, 10),
+    "repeats": Measure("n_repeat_words", "n_words", 100, 5),
 }
 MOST_BINS = 1000
 FENCE, LEAST_GROUP = 4, 50
@@ -67,9 +94,10 @@ def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
     return int((np.cumsum(marks[:n]) > 0).sum())
 
 
-def measured(text: str | None) -> tuple[int, int, int, int, int]:
+def counted(text: str | None) -> tuple[int, ...]:
+    """The counts of a text in the order of ``COUNTS``."""
     if not text:
-        return 0, 0, 0, 0, 0
+        return (0,) * len(COUNTS)
     data = text.encode()
     words = data.split()
     lines = [line for line in data.split(b"\n") if line.strip()]
@@ -79,22 +107,27 @@ def measured(text: str | None) -> tuple[int, int, int, int, int]:
         len(data) - len(data.translate(None, SYMBOLS)),
         len(lines) - len(set(lines)),
         repeated_words(words),
+        len(lines),
     )
 
 
+def measured(text: str | None) -> tuple[int, ...]:
+    return counted(text)[:len(BASE)]
+
+
 def _measure_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        counts = np.array([measured(text) for text in batch.pop("text")], np.int64)
-        for place, name in enumerate(BASE):
-            batch[name] = counts.reshape(-1, len(BASE))[:, place]
+        counts = np.array([counted(text) for text in batch.pop("text")], np.int64)
+        for place, name in enumerate(COUNTS):
+            batch[name] = counts.reshape(-1, len(COUNTS))[:, place]
         yield batch
 
 
 def with_measures(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` (scalar columns) and the base counts of the column ``text``."""
+    """``keys`` (scalar columns) and the counts of the column ``text``."""
     narrow = rows.select(*keys, "text")
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema if f.name != "text"]
-    schema = ", ".join([*fields, *(f"{name} bigint" for name in BASE)])
+    schema = ", ".join([*fields, *(f"{name} bigint" for name in COUNTS)])
     return narrow.mapInPandas(_measure_batches, schema)
 
 
@@ -103,29 +136,29 @@ def base_failed() -> Column:
         100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def bin_of(measure: str) -> Column:
+def bin_of(measure: Measure) -> Column:
     """The bin of a measure; integer arithmetic, so every engine agrees."""
-    numerator, per_unit, _ = MEASURES[measure]
-    value = F.expr(f"({per_unit} * {numerator}) div greatest(n_words, 1)")
+    value = F.expr(
+        f"({measure.bins_per_unit} * {measure.numerator}) div greatest({measure.denominator}, 1)")
     return F.least(value, F.lit(MOST_BINS)).cast("bigint")
 
 
-def sketches(measures: DataFrame) -> DataFrame:
+def sketches(counts: DataFrame, measures: Measures = MEASURES) -> DataFrame:
     """Mergeable sketches: documents per language, source, measure and bin.
 
     Only documents that pass the fixed base rules shape the cutoffs.
     """
     return (
-        measures.where(~base_failed())
+        counts.where(~base_failed())
         .select("lang", "source", F.explode(F.array(*[
-            F.struct(F.lit(m).alias("measure"), bin_of(m).alias("bin")) for m in MEASURES
+            F.struct(F.lit(name).alias("measure"), bin_of(m).alias("bin")) for name, m in measures.items()
         ])).alias("cell"))
         .groupBy("lang", "source", "cell.measure", "cell.bin").agg(F.count("*").alias("n"))
     )
 
 
-def _limits(sketch: DataFrame, group: list[str]) -> DataFrame:
-    """Upper cutoff of each measure and group from the merged bins of the group."""
+def _limits(sketch: DataFrame, group: list[str], measures: Measures) -> DataFrame:
+    """Cutoffs (``low``, ``high``) of each measure and group from the merged bins of the group."""
     merged = sketch.groupBy(*group, "measure", "bin").agg(F.sum("n").alias("n"))
     bins = merged.groupBy(*group, "measure").agg(
         F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"))
@@ -133,59 +166,67 @@ def _limits(sketch: DataFrame, group: list[str]) -> DataFrame:
         f"""aggregate(bins, named_struct('seen', 0L, 'at', cast(null as bigint)), (a, b) -> named_struct(
             'seen', a.seen + b.n,
             'at', case when a.at is null and 4 * (a.seen + b.n) >= {share} * n then b.bin else a.at end)).at""")
-    least = F.create_map(*[F.lit(x) for m, (_, _, s) in MEASURES.items() for x in (m, s)])
-    spread = F.greatest(F.col("q3") - F.col("q1"), least[F.col("measure")])
+    least = lambda field: F.create_map(*[  # noqa: E731 - null where a measure has none
+        x for name, m in measures.items() for x in (F.lit(name), F.lit(getattr(m, field)).cast("bigint"))
+    ])[F.col("measure")]
+    wide = F.col("q3") - F.col("q1")
+    high = F.col("q3") + FENCE * F.greatest(wide, least("least_spread"))
+    low = F.when(least("least_below").isNotNull(), F.col("q1") - FENCE * F.greatest(wide, least("least_below")))
     return bins.withColumns({"q1": quantile(1), "q3": quantile(3)}).select(
-        *group, "measure", "n", (F.col("q3") + FENCE * spread).cast("bigint").alias("most"))
+        *group, "measure", "n", F.struct(
+            low.cast("bigint").alias("low"), high.cast("bigint").alias("high")).alias("ends"))
 
 
-def thresholds(sketch: DataFrame) -> DataFrame:
+def thresholds(sketch: DataFrame, measures: Measures = MEASURES) -> DataFrame:
     """A row of cutoffs for each language and source, from the sketch that is large enough."""
-    own = _limits(sketch, ["lang", "source"])
-    language = _limits(sketch, ["lang"]).select(
-        F.col("lang").alias("of"), "measure", F.col("n").alias("lang_n"), F.col("most").alias("lang_most"))
-    everything = _limits(sketch, []).select("measure", F.col("most").alias("all_most"))
+    own = _limits(sketch, ["lang", "source"], measures)
+    language = _limits(sketch, ["lang"], measures).select(
+        F.col("lang").alias("of"), "measure", F.col("n").alias("lang_n"), F.col("ends").alias("lang_ends"))
+    everything = _limits(sketch, [], measures).select("measure", F.col("ends").alias("all_ends"))
     same = (own["measure"] == language["measure"]) & own["lang"].eqNullSafe(language["of"])
     long = own.join(language, same).drop(language["measure"]).join(everything, "measure")
-    most = (
-        F.when(F.col("n") >= LEAST_GROUP, F.col("most"))
-        .when(F.col("lang_n") >= LEAST_GROUP, F.col("lang_most")).otherwise(F.col("all_most")))
+    ends = (
+        F.when(F.col("n") >= LEAST_GROUP, F.col("ends"))
+        .when(F.col("lang_n") >= LEAST_GROUP, F.col("lang_ends")).otherwise(F.col("all_ends")))
     return long.groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("measure") == m, most)).alias(f"max_{m}") for m in MEASURES])
+        *[F.max(F.when(F.col("measure") == name, ends)).alias(f"ends_{name}") for name in measures])
 
 
-def judged(measures: DataFrame, limits: DataFrame) -> DataFrame:
+def judged(counts: DataFrame, limits: DataFrame, measures: Measures = MEASURES) -> DataFrame:
     """Add ``base_failed`` and ``kept``.
 
     The join leaves its strategy to Spark: a small table of cutoffs is broadcast
     after its size is known, a large one meets split partitions of a hot source.
     """
-    over = F.lit(False)
-    for m in MEASURES:
-        over = over | F.coalesce(bin_of(m) > F.col(f"max_{m}"), F.lit(False))
-    on = measures["lang"].eqNullSafe(limits["lang"]) & measures["source"].eqNullSafe(limits["source"])
-    joined = measures.join(limits, on, "left").drop(limits["lang"]).drop(limits["source"])
+    outside = F.lit(False)
+    for name, m in measures.items():
+        for beyond in (bin_of(m) > F.col(f"ends_{name}.high"), bin_of(m) < F.col(f"ends_{name}.low")):
+            outside = outside | F.coalesce(beyond, F.lit(False))
+    on = counts["lang"].eqNullSafe(limits["lang"]) & counts["source"].eqNullSafe(limits["source"])
+    joined = counts.join(limits, on, "left").drop(limits["lang"]).drop(limits["source"])
     return joined.withColumn("base_failed", base_failed()).withColumn(
-        "kept", ~F.col("base_failed") & ~over).drop(*[f"max_{m}" for m in MEASURES])
+        "kept", ~F.col("base_failed") & ~outside).drop(*[f"ends_{name}" for name in measures])
 
 
-def quality(docs: DataFrame) -> DataFrame:
+def quality(docs: DataFrame, measures: Measures = MEASURES) -> DataFrame:
     """``doc_id``, the base counts, ``base_failed`` and ``kept`` for every row.
 
     Null and empty texts have no words and fail; null languages and sources form
     groups of their own. Repeated rows are judged alike.
     """
     counts = staged(with_measures(docs, ["doc_id", "lang", "source"]), "measures")
-    return judged(counts, thresholds(sketches(counts))).select(
+    limits = thresholds(sketches(counts, measures), measures)
+    return judged(counts, limits, measures).select(
         "doc_id", *BASE, "base_failed", "kept")
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, measures: Measures = WORKING) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns, whatever their names."""
     numbered = staged(
         docs.select(F.struct("*").alias("whole"), F.monotonically_increasing_id().alias("row")),
         "documents")
     narrow = numbered.select("row", "whole.lang", "whole.source", "whole.text")
     counts = staged(with_measures(narrow, ["row", "lang", "source"]), "measures")
-    kept = judged(counts, thresholds(sketches(counts))).where("kept").select("row")
+    limits = thresholds(sketches(counts, measures), measures)
+    kept = judged(counts, limits, measures).where("kept").select("row")
     return numbered.join(kept, "row", "left_semi").select("whole.*")

@@ -103,6 +103,30 @@ def test_quality(docs):
     assert not got[16].kept  # nothing but symbols
 
 
+def ordinary(rng, n):
+    """Lines of ten words of four or five letters, none repeated."""
+    return "\n".join(" ".join(f"w{rng.randrange(10**3, 10**4)}" for _ in range(10)) for _ in range(n))
+
+
+def test_each_working_measure_rejects_a_planted_row(spark):
+    rng = random.Random(2)
+    rows = [(i, ordinary(rng, 12), "en", "a") for i in range(60)]
+    passage = ordinary(rng, 1)
+    planted = {
+        # Half of the lines are one line of seven words, so no eight words repeat.
+        "dup_lines": "\n".join(x for _ in range(12) for x in (" ".join(passage.split()[:7]), ordinary(rng, 1))),
+        # A fourth of the words are in repeated windows, inside lines that differ.
+        "repeats": "\n".join([f"{passage} {ordinary(rng, 1)}" for _ in range(3)] + [ordinary(rng, 6)]),
+        "short": " ".join(rng.choice("abcdefghijklm") for _ in range(60)),
+        "long": ordinary(rng, 12).replace("w", "w" * 8),
+        "symbols": ordinary(rng, 12).replace(" ", " # "),
+    }
+    rows += [(100 + i, text, "en", "a") for i, text in enumerate(planted.values())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    assert not any(r.base_failed for r in quality(docs).collect())
+    assert sorted(r.doc_id for r in keep_good(docs).collect()) == list(range(60))
+
+
 def test_line_dedup(docs):
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(
         {c: c + 32 for c in range(65, 91)})
