@@ -169,6 +169,34 @@ def test_sharding(docs, shards):
     assert cut <= least + links // 4
 
 
+def shards_of(spark, groups, shards):
+    rows = spark.createDataFrame([(i, g, 0) for i, g in enumerate(groups)], "`row` bigint, g1 bigint, g2 bigint")
+    got = sharding.label_propagation(rows, shards).collect()
+    assert sorted(r.row for r in got) == list(range(len(groups)))
+    counts = Counter(r.shard for r in got)
+    assert max(counts.values()) - min(counts[s] for s in range(shards)) <= 1
+    found = defaultdict(set)
+    for r in got:
+        found[groups[r.row]].add(r.shard)
+    return found
+
+
+def test_a_group_of_many_shards_lies_on_as_few_as_it_needs(spark):
+    # A third of all rows: 12000 rows on 40 shards of 300 need 14 shards for 4000.
+    found = shards_of(spark, [0] * 4000 + list(range(1, 8001)), 40)
+    assert len(found[0]) == 14
+
+
+def test_a_table_united_with_itself_moves_too(spark):
+    found = shards_of(spark, [i // 2 for i in range(1600)], 4)
+    assert sum(len(x) > 1 for x in found.values()) <= 20  # three of four pairs are cut at the start
+
+
+def test_a_large_group_among_linked_documents(spark):
+    mixed = shards_of(spark, [0] * 2500 + [1 + i // 2 for i in range(5500)], 8)
+    assert len(mixed[0]) <= 4 and sum(len(x) > 1 for x in mixed.values()) <= 60
+
+
 def brute_classes(rows, width, percent):
     sets = {}
     for doc, text in rows:
