@@ -1,13 +1,17 @@
 """Main text of web pages by a site style tree.
 
 Every page is read into blocks of text, each with the path of elements above it.
-The pages of one host are merged on these paths into a style tree: for every
-node (a host and a path) it is counted how many pages have it and how often each
-content appears under it. A node whose content hardly differs between pages has
-little entropy and so little importance: it is presentation, a menu or a notice
-that every page repeats, and it is cut from every page of the host. The content
-of a node is all its text on a page, so an article stays although some of its
-paragraphs repeat, and copies of a page count once. Elements that never hold
+The pages of one host are merged on these paths into a style tree. A block that
+many of the pages with its node have says little: its importance is one less the
+entropy of its spread over them, 1 on a single page and 0 on all. A leaf has the
+mean importance of its blocks by words, so a menu that leaves out or marks the
+current page is as unimportant as one that never changes, and an article stays
+although some of its paragraphs repeat. Copies of a page count once. A node above
+leaves has a composite of the entropy of the child elements that pages show
+there and the importance of what lies below it; where it and all nodes below it
+that enough pages have are unimportant the whole branch is cut. A notice whose
+whole text differs on every page cannot be told from main text by this.
+Elements that never hold
 main text (scripts, forms, navigation, comments, adverts) have no importance
 from the start, which also serves hosts with too few pages to learn from. Of the
 branches left, those inside an article (or else the main element) are the text.
@@ -60,7 +64,9 @@ def style(tag: str, attributes: str, inside: bool) -> str:
     A header inside an article has its title and stays.
     """
     names = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)] if attributes else []
-    shown = tag + "".join("." + ".".join(value.split()) for name, value in names if name == "class" and value.strip())
+    # A mark of the current item does not make another node of it.
+    shown = tag if tag in SIBLINGS else tag + "".join(
+        "." + ".".join(value.split()) for name, value in names if name == "class" and value.strip())
     bad = (tag in BOILERPLATE and not (inside and tag == "header")) or any(NAMES.search(value) for _, value in names)
     return CUT + shown if bad else shown
 
@@ -134,7 +140,7 @@ def blocks(html: str | None) -> list[tuple[str, str]]:
 def main_text(paths: list[str], texts: list[str], cut: set[str]) -> str:
     """The blocks that are main text, in page order."""
     kept = [(path.split("/"), text) for path, text in zip(paths, texts, strict=True)
-            if path not in cut and not any(name.startswith(CUT) for name in path.split("/"))]
+            if not is_cut(path, cut) and not any(name.startswith(CUT) for name in path.split("/"))]
     for element in ("article", "main"):
         within = [text for names, text in kept if any(name.partition(".")[0] == element for name in names)]
         if within:
@@ -147,7 +153,7 @@ def signed(data: str) -> int:
 
 
 PAGE_SCHEMA = (
-    "host string, nodes array<struct<path: string, content: bigint>>, page_hash bigint")
+    "host string, nodes array<struct<path: string, children: int, content: bigint, words: int>>, page_hash bigint")
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -155,56 +161,96 @@ def with_host(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("string").alias("page"), "url", host.alias("host"), "html")
 
 
+def nodes_of(page: list[tuple[str, str]]) -> list[dict]:
+    """Every different block of a page and, for each node above blocks, the child elements it shows.
+
+    Blocks have 0 ``children``; runs of like children count as one.
+    """
+    held = {(path, said) for path, said in page}
+    below: dict[str, list[str]] = {}
+    for path, _ in page:
+        names = path.split("/")
+        for depth in range(1, len(names)):
+            shown = below.setdefault("/".join(names[:depth]), [])
+            if not shown or shown[-1] != names[depth]:
+                shown.append(names[depth])
+    return [
+        {"path": path, "children": 0, "content": signed(said), "words": len(said.split())} for path, said in held
+    ] + [
+        {"path": path, "children": len(set(shown)), "content": signed("/".join(shown)), "words": 0}
+        for path, shown in below.items()]
+
+
 def page_nodes(pages: DataFrame) -> DataFrame:
-    """The nodes of every page that hold text, with their content as a hash."""
+    """The blocks and nodes of every page, with their contents as hashes."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [blocks(html) for html in batch.pop("html")]
-            nodes = []
-            for page in found:
-                held: dict[str, list[str]] = {}
-                for path, said in page:
-                    held.setdefault(path, []).append(said)
-                nodes.append([{"path": path, "content": signed("\n".join(said))} for path, said in held.items()])
-            batch["nodes"] = nodes
+            batch["nodes"] = [nodes_of(page) for page in found]
             batch["page_hash"] = [signed(repr(page)) for page in found]
             yield batch
 
     return pages.select("host", "html").mapInPandas(read, PAGE_SCHEMA)
 
 
-LEAST_PAGES, LEAST_IMPORTANCE = 8, 0.2
+LEAST_PAGES, LEAST_IMPORTANCE, DAMPING = 8, 0.2, 0.9
 
 
 def style_tree(read: DataFrame) -> DataFrame:
-    """``host, path, n_pages, importance`` of every node that holds text.
+    """``host, path, n_pages, importance`` of every node of the pages' paths.
 
-    Importance is the entropy of the contents over the different pages that have
-    the node, as a share of the most it could be: 0 where all pages say the same,
-    1 where no two do. Counts are combined before they are shuffled, so a host
-    with a third of all pages is no larger than its variety.
+    Counts are combined before they are shuffled, so a host with a third of all
+    pages is no larger than its variety. A node alone on its page has importance 1.
     """
-    content = read.select("host", "page_hash", F.explode("nodes").alias("node")).select(
-        "host", "page_hash", "node.path", "node.content").distinct()
-    counted = content.groupBy("host", "path", "content").agg(F.count("*").alias("n"))
-    nodes = counted.groupBy("host", "path").agg(
-        F.sum("n").alias("n_pages"), F.sum(F.col("n") * F.log2("n")).alias("weighted"))
-    entropy = F.log2("n_pages") - F.col("weighted") / F.col("n_pages")
-    return nodes.select(
+    seen = read.select("host", "page_hash", F.explode("nodes").alias("node")).select(
+        "host", "page_hash", "node.*").distinct()
+    pages = seen.select("host", "path", "page_hash", (F.col("words") > 0).alias("block")).distinct().groupBy(
+        "host", "path", "block").agg(F.count("*").alias("n_pages"))
+    counted = seen.groupBy("host", "path", (F.col("words") > 0).alias("block"), "content").agg(
+        F.count("*").alias("n"), F.max("words").alias("words"), F.max("children").alias("children"))
+    share = F.when(F.col("n_pages") > 1, F.log2("n") / F.log2("n_pages")).otherwise(F.lit(0.0))
+    measured = even_join(counted, pages, ["host", "path", "block"], "inner").groupBy(
+        "host", "path", "block", "n_pages").agg(
+            F.sum(F.col("n") * F.col("words")).alias("words"),
+            F.sum(F.col("n") * F.col("words") * (1 - share)).alias("weight"),
+            # Of child elements: the entropy as a share of the most it could be.
+            (F.sum(F.col("n") * (1 - share)) / F.first("n_pages")).alias("shown"),
+            F.max("children").alias("children"))
+    leaves = measured.where("block")
+    names = F.split("path", "/")
+    under = leaves.select("host", "words", "weight", "n_pages", F.explode(F.transform(
+        F.sequence(F.lit(1), F.size(names)), lambda depth: F.array_join(F.slice(names, 1, depth), "/"))).alias("path"))
+    below = under.groupBy("host", "path").agg(
+        (F.sum("weight") / F.sum("words")).alias("content"), F.max("n_pages").alias("n_pages"))
+    styles = measured.where("not block").select("host", "path", "shown", "children")
+    kept = F.pow(F.lit(DAMPING), F.coalesce("children", F.lit(0)))
+    return below.join(styles, ["host", "path"], "left").select(
         "host", "path", "n_pages",
-        F.when(F.col("n_pages") > 1, entropy / F.log2("n_pages")).otherwise(F.lit(1.0)).alias("importance"))
+        ((1 - kept) * F.coalesce("shown", F.lit(0.0)) + kept * F.col("content")).alias("importance"))
 
 
 def unimportant(tree: DataFrame) -> DataFrame:
-    """``host, cut``: the nodes to cut on each host.
+    """``host, cut``: the branches to cut on each host.
 
-    A host has as many entries as nodes in its templates, not as pages.
+    A branch is unimportant if its node is and no node below it that enough pages
+    have is important. A host has as many entries as nodes in its templates, not
+    as pages.
     """
-    low = tree.where((F.col("n_pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
+    enough = tree.where(F.col("n_pages") >= LEAST_PAGES)
+    names = F.split("path", "/")
+    important = enough.where(F.col("importance") >= LEAST_IMPORTANCE).select("host", F.explode(F.transform(
+        F.sequence(F.lit(1), F.size(names)), lambda depth: F.array_join(F.slice(names, 1, depth), "/"))).alias("path"))
+    low = enough.where(F.col("importance") < LEAST_IMPORTANCE).join(
+        important.distinct(), ["host", "path"], "left_anti")
     return low.groupBy("host").agg(F.collect_set("path").alias("cut"))
 
 
+def is_cut(path: str, cut: set[str]) -> bool:
+    """Whether the path or one above it is cut."""
+    return bool(cut) and (path in cut or any(path[:at] in cut for at, c in enumerate(path) if c == "/"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every page; null and empty pages have no text.
 

@@ -360,6 +360,19 @@ def test_style_tree_cuts_what_a_host_repeats(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_style_tree_cuts_menus_that_differ_a_little(spark):
+    """No article element; the menu leaves out one page and marks another."""
+    def page(i):
+        items = [f"<li{' class=current' if n == i else ''}><a href=/{n}>Item {n}</a></li>"
+                 for n in range(12) if n != (i + 1) % 12]
+        odd = "<p>Rare</p>" if i == 5 else ""
+        return f"<div class=left><ul>{''.join(items)}</ul>{odd}</div><div class=body><p>Story number {i}</p></div>"
+
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(12)]
+    got = html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Story number {i}" for i in range(12)}
+
+
 def test_stages_return_the_columns_of_documents(docs, empty):
     for stage in (keep_good, drop_copies, drop_near_copies):
         kept = stage(docs)
