@@ -11,15 +11,16 @@ leaves has a composite of the entropy of the child elements that pages show
 there and the importance of what lies below it; where it and all nodes below it
 that enough pages have are unimportant the whole branch is cut. A notice whose
 whole text differs on every page cannot be told from main text by this.
-Elements that never hold
-main text (scripts, forms, navigation, comments, adverts) have no importance
-from the start, which also serves hosts with too few pages to learn from. Of the
+Elements that never hold main text (scripts, forms, navigation, asides) have no
+importance from the start, and names of classes (comments, adverts) speak against
+small branches; both also serve hosts with too few pages to learn from. Of the
 branches left, those inside an article (or else the main element) are the text.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -51,15 +52,18 @@ NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|sidebar\w*|side|header|footer|"
     r"cookies?|consent|notices?|newsletter|subscribe|comments?|respond|replies|share|social|breadcrumbs?|"
     r"related|popup|modal|pagination|navigation|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
+#: Elements whose names say nothing about their text.
+HOLDERS = frozenset("html body main article".split())
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)", re.S)
-CUT = "!"
+#: Marks of elements that never hold main text, and of those whose names say so.
+CUT, NAMED = "!", "?"
 
 
 def style(tag: str, attributes: str, inside: bool) -> str:
-    """An element as its tag and class; a mark in front where it never holds main text.
+    """An element as its tag and class, with a mark in front where it holds no main text or is named so.
 
     A header inside an article has its title and stays.
     """
@@ -67,8 +71,12 @@ def style(tag: str, attributes: str, inside: bool) -> str:
     # A mark of the current item does not make another node of it.
     shown = tag if tag in SIBLINGS else tag + "".join(
         "." + ".".join(value.split()) for name, value in names if name == "class" and value.strip())
-    bad = (tag in BOILERPLATE and not (inside and tag == "header")) or any(NAMES.search(value) for _, value in names)
-    return CUT + shown if bad else shown
+    title = inside and tag == "header"
+    if tag in BOILERPLATE and not title:
+        return CUT + shown
+    if tag in HOLDERS or title or not any(NAMES.search(value) for _, value in names):
+        return shown
+    return NAMED + shown
 
 
 def blocks(html: str | None) -> list[tuple[str, str]]:
@@ -137,10 +145,42 @@ def blocks(html: str | None) -> list[tuple[str, str]]:
     return out
 
 
-def main_text(paths: list[str], texts: list[str], cut: set[str]) -> str:
+def cut_by_name(shown: list[tuple[list[str], str]], important: set[str]) -> set[str]:
+    """The named branches of a page that are cut.
+
+    Names are a prior for branches with little of the page's text: half of it or
+    less, a fourth if the style tree finds them important, nine tenths inside an
+    article, where comments can be long. A branch around the page's articles (or
+    main elements) stays unless others remain.
+    """
+    words: Counter[str] = Counter()
+    inner: set[str] = set()
+    holding: set[str] = set()
+    plain = False
+    for names, text in shown:
+        tags = [name.partition(".")[0] for name in names]
+        core = next((tags.index(tag) for tag in ("article", "main") if tag in tags), None)
+        article = tags.index("article") if "article" in tags else len(tags)
+        named = [depth for depth, name in enumerate(names) if name.startswith(NAMED)]
+        for depth in named:
+            prefix = "/".join(names[:depth + 1])
+            words[prefix] += len(text.split())
+            if depth > article:
+                inner.add(prefix)
+            elif core is not None and depth < core:
+                holding.add(prefix)
+        plain = plain or (core is not None and not any(depth < core for depth in named))
+    total = sum(len(text.split()) for _, text in shown)
+    most = lambda path: 0.9 if path in inner else 0.25 if path in important else 0.5
+    return {path for path, n in words.items() if n <= most(path) * total and (plain or path not in holding)}
+
+
+def main_text(paths: list[str], texts: list[str], cut: set[str], important: set[str] = frozenset()) -> str:
     """The blocks that are main text, in page order."""
-    kept = [(path.split("/"), text) for path, text in zip(paths, texts, strict=True)
-            if not is_cut(path, cut) and not any(name.startswith(CUT) for name in path.split("/"))]
+    shown = [(path.split("/"), text) for path, text in zip(paths, texts, strict=True)
+             if not is_cut(path, cut) and not any(name.startswith(CUT) for name in path.split("/"))]
+    named = cut_by_name(shown, important)
+    kept = [(names, text) for names, text in shown if not is_cut("/".join(names), named)]
     for element in ("article", "main"):
         within = [text for names, text in kept if any(name.partition(".")[0] == element for name in names)]
         if within:
@@ -194,7 +234,7 @@ def page_nodes(pages: DataFrame) -> DataFrame:
     return pages.select("host", "html").mapInPandas(read, PAGE_SCHEMA)
 
 
-LEAST_PAGES, LEAST_IMPORTANCE, DAMPING = 8, 0.2, 0.9
+LEAST_PAGES, LEAST_IMPORTANCE, IMPORTANT, DAMPING = 8, 0.2, 0.5, 0.9
 
 
 def style_tree(read: DataFrame) -> DataFrame:
@@ -231,7 +271,7 @@ def style_tree(read: DataFrame) -> DataFrame:
 
 
 def unimportant(tree: DataFrame) -> DataFrame:
-    """``host, cut``: the branches to cut on each host.
+    """``host, cut, important``: branches to cut on each host, and named ones that are important.
 
     A branch is unimportant if its node is and no node below it that enough pages
     have is important. A host has as many entries as nodes in its templates, not
@@ -243,7 +283,10 @@ def unimportant(tree: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.size(names)), lambda depth: F.array_join(F.slice(names, 1, depth), "/"))).alias("path"))
     low = enough.where(F.col("importance") < LEAST_IMPORTANCE).join(
         important.distinct(), ["host", "path"], "left_anti")
-    return low.groupBy("host").agg(F.collect_set("path").alias("cut"))
+    named = enough.where((F.col("importance") >= IMPORTANT) & F.element_at(names, -1).startswith(NAMED))
+    return low.select("host", F.col("path").alias("cut"), F.lit(None).cast("string").alias("important")).unionByName(
+        named.select("host", F.lit(None).cast("string").alias("cut"), F.col("path").alias("important"))).groupBy(
+        "host").agg(F.collect_set("cut").alias("cut"), F.collect_set("important").alias("important"))
 
 
 def is_cut(path: str, cut: set[str]) -> bool:
@@ -266,14 +309,14 @@ def extract(pages: DataFrame) -> DataFrame:
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             text = []
-            for html, cut in zip(batch["html"], batch["cut"], strict=True):
+            for html, cut, important in zip(batch["html"], batch["cut"], batch["important"], strict=True):
                 found = blocks(html)
                 text.append(main_text(
                     [path for path, _ in found], [said for _, said in found],
-                    set(cut) if cut is not None else set()))
+                    set(cut) if cut is not None else set(), set(important) if important is not None else set()))
             yield pd.DataFrame({"page": batch["page"], "url": batch["url"], "text": text})
 
-    found = joined.select("page", "url", "html", "cut").mapInPandas(
+    found = joined.select("page", "url", "html", "cut", "important").mapInPandas(
         write, "page string, url string, text string")
     return found.select(
         F.col("page").cast(pages.schema["page_id"].dataType).alias("page_id"), "url", "text",

@@ -192,3 +192,24 @@ def test_main_text_leaves_out_what_is_no_article():
     assert text == "Title\nOne\nTwo"
     bare = html.blocks("<div class=menu>m</div><div>kept</div>")
     assert html.main_text([p for p, _ in bare], [t for _, t in bare], set()) == "kept"
+
+
+@pytest.mark.parametrize("page", [
+    "<body class='home no-sidebar'><article><p>One two</p></article></body>",
+    "<div class='site has-header'><main><p>One two</p></main></div>",
+    "<article class='post comments-open'><p>One two</p></article>",
+    "<div class='right-sidebar-layout'><p>One two</p></div><div class=sidebar>Side</div>",
+    "<div class='has-header'><article><header class='entry-header'>One</header><p>two</p></article></div>",
+    "<div class='comments'><article>Said</article></div><article><p>One two</p></article>",
+])
+def test_names_only_speak_against_small_branches(page):
+    found = html.blocks(page)
+    text = html.main_text([p for p, _ in found], [t for _, t in found], set())
+    assert text.split() == ["One", "two"]
+
+
+def test_importance_overrules_names():
+    found = html.blocks("<div class=promo>One two</div><p>a b c d</p>")
+    paths, texts = [p for p, _ in found], [t for _, t in found]
+    assert html.main_text(paths, texts, set()) == "a b c d"
+    assert html.main_text(paths, texts, set(), {paths[0]}) == "One two\na b c d"
