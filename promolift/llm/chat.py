@@ -123,13 +123,30 @@ def formatted(rows: DataFrame) -> DataFrame:
         F.filter("turns", lambda t: t["loss"])["span"].alias("loss_spans"))
 
 
+def named(messages: DataFrame) -> DataFrame:
+    """``messages`` with ids as structs, which are never null and equal where their nulls are.
+
+    Messages without ``msg_id`` get a number, as nothing can reply to them.
+    """
+    nobody = F.lit(None).cast("bigint")
+    return staged(messages.select(
+        F.struct("conv_id").alias("conv_id"),
+        F.struct("msg_id", F.when(F.col("msg_id").isNull(), F.monotonically_increasing_id()).otherwise(nobody).alias(
+            "number")).alias("msg_id"),
+        F.when(F.col("parent_id").isNotNull(), F.struct(
+            F.col("parent_id").alias("msg_id"), nobody.alias("number"))).alias("parent_id"),
+        "role", "text", "score"), "named")
+
+
 def format_trees(messages: DataFrame, most_branches: int | None = None) -> DataFrame:
     """Format the paths of ``conv_id, msg_id, parent_id, role, text, score``.
 
-    (conv_id, msg_id) names a message. Null roles and texts are empty, null
-    scores 0. An empty table gives no rows.
+    (conv_id, msg_id) names a message; those without ``conv_id`` are one
+    conversation, and each without ``msg_id`` is a message of its own. Null roles
+    and texts are empty, null scores 0. An empty table gives no rows.
     """
-    return formatted(paths(messages, most_branches))
+    whole = formatted(paths(named(messages), most_branches))
+    return whole.withColumns({"conv_id": F.col("conv_id.conv_id"), "leaf": F.col("leaf.msg_id")})
 
 
 TURN = re.compile(
@@ -157,9 +174,11 @@ def digests(conversations: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=[
                 "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return conversations.select("conv_id", "formatted", "loss_spans").mapInPandas(
-        read, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, "
-              "loss_sha256 string, formatted_chars bigint")
+    kind = conversations.schema["conv_id"].dataType
+    # As strings: pandas would make floats of numbers with nulls among them.
+    return conversations.select(F.col("conv_id").cast("string"), "formatted", "loss_spans").mapInPandas(
+        read, "conv_id string, n_turns bigint, turns_sha256 string, loss_chars bigint, "
+              "loss_sha256 string, formatted_chars bigint").withColumn("conv_id", F.col("conv_id").cast(kind))
 
 
 def as_trees(conversations: DataFrame) -> DataFrame:

@@ -330,6 +330,20 @@ def test_reply_trees(spark):
     assert {(r.conv_id, r.leaf) for r in best.collect()} == {(1, 5), (2, 1), (4, 9)}
 
 
+def test_messages_without_ids_are_kept(spark):
+    rows = [(None, 1, None, "user", "a", 0.0), (None, 2, 1, "assistant", "b", 0.0),
+            (5, None, None, "user", "c", 1.0), (5, None, None, "user", "d", 0.0), (5, 1, None, "user", "e", 2.0)]
+    got = chat.format_trees(spark.createDataFrame(
+        rows, "conv_id bigint, msg_id bigint, parent_id bigint, role string, text string, score double")).collect()
+    assert Counter((r.conv_id, r.leaf, r.branch, tuple(t for _, t in chat.read_turns(r.formatted))) for r in got) == Counter([
+        (None, 2, 1, ("a", "b")), (5, 1, 1, ("e",)), (5, None, 2, ("c",)), (5, None, 3, ("d",))])
+    turns = spark.createDataFrame(
+        [(None, 0, "user", "x"), (None, 1, "assistant", "y"), (3, 0, "user", "z")],
+        "conv_id bigint, turn bigint, role string, text string")
+    digests = chat.digests(chat.format_trees(chat.as_trees(turns), most_branches=1)).collect()
+    assert {r.conv_id: r.n_turns for r in digests} == {None: 2, 3: 1}
+
+
 def test_deep_and_wide_trees(spark):
     rows = [(1, i, i - 1 if i else None, "user", str(i), 1.0) for i in range(150)]
     rows += [(2, i, (i - 1) // 2 if i else None, "user", str(i), float(i % 5)) for i in range(40)]
