@@ -44,6 +44,8 @@ class Measure(NamedTuple):
     least_spread: int
     #: Least spread of a lower cutoff; None where no value is too low.
     least_below: int | None = None
+    #: Whether all values above ``MOST_BINS`` share a bin, as in the SQL twin; else their bins grow as powers.
+    capped: bool = True
 
 
 Measures = dict[str, Measure]
@@ -54,12 +56,12 @@ MEASURES: Measures = {
     "repeats": Measure("n_repeat_words", "n_words", 100, 8),
 }
 WORKING: Measures = {
-    "word_length": Measure("word_chars", "n_words", 20, 20, 10),
-    "symbols": Measure("n_symbols", "n_words", 200, 10),
-    "dup_lines": Measure("n_dup_lines", "n_lines", 100, 10),
-    "repeats": Measure("n_repeat_words", "n_words", 100, 5),
+    "word_length": Measure("word_chars", "n_words", 20, 20, 10, capped=False),
+    "symbols": Measure("n_symbols", "n_words", 200, 10, capped=False),
+    "dup_lines": Measure("n_dup_lines", "n_lines", 100, 10, capped=False),
+    "repeats": Measure("n_repeat_words", "n_words", 100, 5, capped=False),
 }
-MOST_BINS = 1000
+MOST_BINS, BINS_OF_DOUBLE = 1000, 100
 FENCE, LEAST_GROUP = 4, 50
 
 
@@ -137,10 +139,13 @@ def base_failed() -> Column:
 
 
 def bin_of(measure: Measure) -> Column:
-    """The bin of a measure; integer arithmetic, so every engine agrees."""
+    """The bin of a measure; integer arithmetic up to ``MOST_BINS``, so every engine agrees."""
     value = F.expr(
         f"({measure.bins_per_unit} * {measure.numerator}) div greatest({measure.denominator}, 1)")
-    return F.least(value, F.lit(MOST_BINS)).cast("bigint")
+    if measure.capped:
+        return F.least(value, F.lit(MOST_BINS)).cast("bigint")
+    above = MOST_BINS + F.floor(BINS_OF_DOUBLE * F.log2(value / MOST_BINS))
+    return F.when(value > MOST_BINS, above).otherwise(value).cast("bigint")
 
 
 def sketches(counts: DataFrame, measures: Measures = MEASURES) -> DataFrame:

@@ -127,6 +127,15 @@ def test_each_working_measure_rejects_a_planted_row(spark):
     assert sorted(r.doc_id for r in keep_good(docs).collect()) == list(range(60))
 
 
+def test_words_of_text_without_spaces_can_be_too_long(spark):
+    rng = random.Random(4)
+    line = lambda: " ".join("".join(rng.choices("天地玄黄宇宙洪荒", k=60 + n % 5)) for n in range(25))
+    rows = [(i, line(), "zh", "a") for i in range(60)]
+    rows.append((100, f"{line()} {'字' * 100_000}", "zh", "a"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    assert sorted(r.doc_id for r in keep_good(docs).collect()) == list(range(60))
+
+
 def test_line_dedup(docs):
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(
         {c: c + 32 for c in range(65, 91)})
