@@ -4,8 +4,8 @@ The best segmentation of a text into pieces is the path with the highest sum of
 scores. Only the last ``longest`` positions can still be extended, so the search
 keeps a window of them and the text after their common ancestor: as soon as all
 surviving backpointer paths meet in one boundary, the ids before it are final
-and leave. Memory is bounded by the distance between such boundaries, not by
-the text.
+and leave. What the search keeps is bounded by the distance between such
+boundaries, not by the text, which it takes in parts.
 
 No piece of a vocabulary spans the boundary before a word mark that follows
 another character, so all paths meet there: words are independent, and a worker
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 MOST_WORDS = 500_000
 LONGEST_KEPT = 64
+#: Characters that the search takes in at once.
+PART = 4096
 UNKNOWN = -1
 #: An unknown character scores this much below the worst piece.
 PENALTY = 10.0
@@ -124,7 +126,8 @@ class Vocabulary:
         yield path(at)
 
     def _encoded(self, text: str) -> bytes:
-        return b"".join(np.array(ids, "<u4").tobytes() for ids in self.search([text]))
+        parts = (text[at:at + PART] for at in range(0, len(text), PART))
+        return b"".join(np.array(ids, "<u4").tobytes() for ids in self.search(parts))
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids of a whole text; spaces become word marks, one is put in front."""

@@ -108,6 +108,16 @@ def test_viterbi_commits_early_with_a_small_vocabulary():
     assert len(list(tool.search(iter("ab" * 200)))) > 5
 
 
+def test_long_texts_are_searched_in_parts(sentence_pieces, monkeypatch):
+    sizes = []
+    search = sentence_pieces.search
+    monkeypatch.setattr(sentence_pieces, "search", lambda parts: search(sizes.append(len(p)) or p for p in parts))
+    text = "two  spaces and more " * 1000 + "z" * 9000
+    ids = sentence_pieces.encode(text)
+    assert max(sizes) <= 4096 and sum(sizes) == len(text) + 1
+    assert np.frombuffer(ids, "<u4").tolist() == best_path(sentence_pieces, "▁" + text.replace(" ", "▁"))
+
+
 def plain_measures(text):
     words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text or "") if w]
     grams = [tuple(words[i:i + 8]) for i in range(len(words) - 7)]
