@@ -431,10 +431,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links`` for every row.
+    """``doc_id, n_shingles, component_id, n_connecting_links`` for every row.
 
-    ``n_links`` counts the verified links of the row's set that were needed to
-    connect its class. A row without words has no shingles and stands alone. Rows
+    ``n_connecting_links`` counts the verified links of the row's set that were
+    needed to connect its class, not all its similar sets. A row without words has no shingles and stands alone. Rows
     without ``doc_id`` join the class of their equal set if it has a named row,
     else their component is null. Repeated rows are members of one class.
     """
@@ -451,14 +451,14 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     discard(docs.sparkSession, stars)
     labels = components(links)
     ends = links.select(F.explode(F.array("leader", "member")).alias("rep")).groupBy("rep").agg(
-        F.count("*").alias("n_links"))
+        F.count("*").alias("n_connecting_links"))
     named = classes.join(labels, "rep", "left").join(ends, "rep", "left").select(
         "n", "h1", "h2", F.coalesce("component", "rep").alias("component"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        F.coalesce("n_connecting_links", F.lit(0)).alias("n_connecting_links"))
     return even_join(narrow, named, ["n", "h1", "h2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+        F.coalesce("n_connecting_links", F.lit(0)).cast("bigint").alias("n_connecting_links"))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

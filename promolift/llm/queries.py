@@ -53,7 +53,7 @@ def op3_wavelet_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_classes(table(spark, folder, "documents"), width=3, percent=90).drop("n_links")
+    return jaccard_classes(table(spark, folder, "documents"), width=3, percent=90).drop("n_connecting_links")
 
 
 def op5_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:

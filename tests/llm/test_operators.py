@@ -258,6 +258,10 @@ def test_jaccard_join_of_near_copies_around_the_limit(spark):
     assert 1 < len({c for _, c in expected.values()}) < 60
 
 
+def test_links_are_named_as_what_they_count(docs):
+    assert jaccard_classes(docs, 3, 90).columns == ["doc_id", "n_shingles", "component_id", "n_connecting_links"]
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
