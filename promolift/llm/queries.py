@@ -18,6 +18,7 @@ from promolift.llm.pieces import decode_texts, encode_texts
 from promolift.llm.quality import quality
 from promolift.llm.sharding import shard_documents
 from promolift.llm.token_files import placed, read_files, write_files
+from promolift.llm.whitening import whitened_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,10 +86,15 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_qdwh_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitened_components(table(spark, folder, "embeddings"), most=8)
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
-        op1_streaming_viterbi, op2_reply_trees, op3_wavelet_files, op4_jaccard_join, op5_mixture_packing, op6_label_propagation, op7_site_style_tree, op8_exact_dedup, op9_adaptive_quality, op10_line_dedup)
+        op1_streaming_viterbi, op2_reply_trees, op3_wavelet_files, op4_jaccard_join, op5_mixture_packing, op6_label_propagation, op7_site_style_tree, op8_exact_dedup, op9_adaptive_quality, op10_line_dedup,
+        op11_qdwh_whitening)
 }
 
 ORACLES: dict[str, str] = {
