@@ -13,6 +13,7 @@ from promolift.llm.exact_dedup import exact_dedup
 from promolift.llm.html import extract
 from promolift.llm.jaccard import jaccard_classes
 from promolift.llm.line_dedup import line_dedup
+from promolift.llm.negatives import hard_negatives
 from promolift.llm.packing import pack
 from promolift.llm.pieces import decode_texts, encode_texts
 from promolift.llm.quality import quality
@@ -90,11 +91,18 @@ def op11_qdwh_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitened_components(table(spark, folder, "embeddings"), most=8)
 
 
+def op13_gnat_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select(
+        "vec_id", "embedding",
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives(rows, anchor=F.col("id") % 100 == 0, scale=256, positives=5, top=10, low=30, high=90)
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         op1_streaming_viterbi, op2_reply_trees, op3_wavelet_files, op4_jaccard_join, op5_mixture_packing, op6_label_propagation, op7_site_style_tree, op8_exact_dedup, op9_adaptive_quality, op10_line_dedup,
-        op11_qdwh_whitening)
+        op11_qdwh_whitening, op13_gnat_negatives)
 }
 
 ORACLES: dict[str, str] = {
