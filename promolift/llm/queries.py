@@ -13,6 +13,7 @@ from promolift.llm.exact_dedup import exact_dedup
 from promolift.llm.html import extract
 from promolift.llm.jaccard import jaccard_classes
 from promolift.llm.line_dedup import line_dedup
+from promolift.llm.lm import score_texts
 from promolift.llm.negatives import hard_negatives
 from promolift.llm.packing import pack
 from promolift.llm.pieces import decode_texts, encode_texts
@@ -91,6 +92,12 @@ def op11_qdwh_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitened_components(table(spark, folder, "embeddings"), most=8)
 
 
+def op12_elias_fano_lm(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    scores = score_texts(table(spark, folder, "documents"), training=~F.coalesce(held_out, F.lit(False)))
+    return scores.withColumn("held_out", ~F.col("training")).drop("training")
+
+
 def op13_gnat_negatives(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings").select(
         "vec_id", "embedding",
@@ -102,7 +109,7 @@ QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         op1_streaming_viterbi, op2_reply_trees, op3_wavelet_files, op4_jaccard_join, op5_mixture_packing, op6_label_propagation, op7_site_style_tree, op8_exact_dedup, op9_adaptive_quality, op10_line_dedup,
-        op11_qdwh_whitening, op13_gnat_negatives)
+        op11_qdwh_whitening, op12_elias_fano_lm, op13_gnat_negatives)
 }
 
 ORACLES: dict[str, str] = {
