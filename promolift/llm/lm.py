@@ -34,7 +34,7 @@ MU = 200.0
 #: Steps of a code for each unit of the decimal logarithm.
 STEPS, MOST_CODE = 4096, 65535
 #: A chunk ends with the text that reaches one of these.
-CHUNK_TOKENS, CHUNK_WORDS = 1 << 22, 1 << 20
+CHUNK_TOKENS, CHUNK_WORDS = 1 << 20, 1 << 19
 #: Rows taken from an Arrow batch at a time.
 TAKEN = 256
 #: The token after each text; no word is empty.
