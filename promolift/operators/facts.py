@@ -7,20 +7,24 @@ combining, so measures can look facts up instead of joining raw transactions.
 from __future__ import annotations
 
 from functools import reduce
+from operator import itemgetter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promolift.functions import vocabulary as V
-from promolift.functions.columns import panel_arm, stage_is
+from promolift.functions.columns import is_digital, is_paper, panel_arm, stage_is
 from promolift.functions.joins import even_join
 from promolift.operators.modules import CampaignFrames
 
 PERIODS = ("pre", "dur", "post")
+#: Offers with at most this many products bring their list along with each exposure.
+LONGEST_LIST = 256
 
-def exposed_pairs(base: DataFrame) -> DataFrame:
+
+def exposed_pairs(frames: CampaignFrames) -> DataFrame:
     """Distinct (id, offer) a customer was exposed to."""
-    return base.filter(stage_is(V.EXPOSED)).select("id", "offer_code").distinct()
+    return frames.base.filter(stage_is(V.EXPOSED)).select("id", "offer_code").distinct()
 
 
 def purchase_counts(items: DataFrame) -> DataFrame:
@@ -45,28 +49,57 @@ def featured_buyers(frames: CampaignFrames) -> DataFrame:
     return buyers.withColumn("bought_featured", F.lit(True))
 
 
-def bought_under_offer(
-    bought: DataFrame, pairs: DataFrame, offer_product: DataFrame, on: list[str]
-) -> DataFrame:
-    """Purchases matched with the offers on them that the customer was exposed to.
+def coupon_facts(base: DataFrame) -> DataFrame:
+    """One row per redeemed (id, offer), NULL keys included.
 
-    ``bought`` is unique on (id, *on) and ``pairs`` on (id, offer_code). Purchases
-    of customers without exposure and of products in no offer leave first; then
-    purchases and exposures meet by customer, so nothing multiplies beyond what
-    one customer bought and was exposed to, however wide an offer or popular a
-    product is; the list of offers decides which of these belong together.
+    ``n_coupon``, ``n_digital`` and ``n_paper`` are its redemptions, once for each
+    arm the customer was allocated to; ``exposed`` tells whether the customer was
+    sent the coupon; ``arms`` lists those arms. Exposures and redemptions meet in
+    one grouping, so no list of exposed coupons is joined.
     """
-    bought = even_join(bought, pairs.select("id").distinct(), ["id"], "left_semi")
-    bought = even_join(bought, offer_product.select(*on).distinct(), on, "left_semi")
-    candidates = even_join(bought, pairs, ["id"], "inner")
-    return even_join(candidates, offer_product, ["offer_code", *on], "left_semi")
-
-
-def coupon_outcomes(purchases: DataFrame, pairs: DataFrame, offer_product: DataFrame) -> DataFrame:
-    """Per exposed (id, offer): how buying its products changed over the periods."""
-    matched = bought_under_offer(
-        purchases, pairs, offer_product.select("offer_code", "prod_code").distinct(), ["prod_code"]
-    )
+    redeemed = stage_is(V.REDEEMED)
+    count_of = lambda condition: F.count_if(redeemed & condition)
+    coupons = base.filter(stage_is(V.EXPOSED, V.REDEEMED)).groupBy("id", "offer_code").agg(
+        F.count_if(redeemed).alias("n_coupon"), count_of(is_digital()).alias("n_digital"),
+        count_of(is_paper()).alias("n_paper"), F.bool_or(stage_is(V.EXPOSED)).alias("exposed"),
+    ).filter("n_coupon > 0")
+    # A struct keeps an arm that is NULL.
+    arms = base.filter(stage_is(V.ALLOCATED)).groupBy("id").agg(
+        F.collect_set(F.struct("event_control_flag")).alias("arms"))
+    counts = ("n_coupon", "n_digital", "n_paper")
+    times = F.greatest(F.coalesce(F.size("arms"), F.lit(1)), F.lit(1))
+    return even_join(coupons, arms, ["id"]).withColumns({name: F.col(name) * times for name in counts})
+
+
+def coupons_of(frames: CampaignFrames) -> DataFrame:
+    """The coupon facts, read back if they were written."""
+    return coupon_facts(frames.base) if frames.coupons is None else frames.coupons
+
+
+def coupon_outcomes(
+    purchases: DataFrame, pairs: DataFrame, offer_product: DataFrame, products: DataFrame | None = None
+) -> DataFrame:
+    """Per exposed (id, offer): how buying its products changed over the periods.
+
+    With ``products`` also ``unbought``: its products not bought before or after
+    the campaign, in loyal categories. A category is loyal for a customer who
+    bought in it both before and after. The number is all products of the offer
+    in loyal categories less those the customer did buy.
+
+    Purchases and exposures are stacked and grouped by customer once, and no pair
+    of a purchase and an exposure is made before that: an exposure brings the
+    product list of its offer, a purchase the long offers its product is in (a
+    list of offers, shorter than all listed products over ``LONGEST_LIST``). A
+    customer's row then holds each bought product and each exposure once, and
+    the flags of an exposure come from comparing two short lists.
+    """
+    category = "prod_hier_l20_code"
+    listed = offer_product.select("offer_code", "prod_code").where("prod_code is not null").distinct()
+    sizes = listed.groupBy("offer_code").agg((F.count("*") <= LONGEST_LIST).alias("short"))
+    sized = listed.join(sizes, "offer_code")
+    of_offer = sized.groupBy("offer_code").agg(
+        F.collect_list(F.when(F.col("short"), F.col("prod_code"))).alias("list"))
+    of_product = sized.where(~F.col("short")).groupBy("prod_code").agg(F.collect_list("offer_code").alias("long"))
     pre, dur, post = (F.col(f"n_{period}") for period in PERIODS)
     outcomes = {
         "tried": (dur > 0) & (post == 0),
@@ -75,84 +108,119 @@ def coupon_outcomes(purchases: DataFrame, pairs: DataFrame, offer_product: DataF
         "lapsed": (pre > 0) & (post == 0),
         "retained": (pre > 0) & (post > 0),
     }
-    return matched.groupBy("id", "offer_code").agg(
-        *[F.bool_or(condition).alias(name) for name, condition in outcomes.items()]
-    )
+    flags = [condition.alias(name) for name, condition in outcomes.items()]
+    no_strings, no_cats = (F.lit(None).cast(kind) for kind in ("array<string>", "array<struct<of:string,n:bigint>>"))
 
+    if products is None:
+        of_offer = of_offer.withColumn("cats", no_cats)
+        kinds = of_product.withColumn("category", F.lit(None).cast("string"))
+    else:
+        placed = products.select("prod_code", F.col(category).alias("category")).where("category is not null")
+        per_category = offer_product.join(placed, "prod_code").groupBy("offer_code", "category").agg(
+            F.count("*").alias("n"))
+        cats = per_category.groupBy("offer_code").agg(
+            F.collect_list(F.struct(F.col("category").alias("of"), "n")).alias("cats"))
+        of_offer = of_offer.join(cats, "offer_code", "left")
+        kinds = placed.join(of_product, "prod_code", "full")
+
+    bought = even_join(purchases.where("prod_code is not null"), kinds, ["prod_code"]).select(
+        "id", F.struct(
+            "prod_code", "category", F.coalesce("long", F.array().cast("array<string>")).alias("long"),
+            (pre > 0).alias("before"), (post > 0).alias("after"), *flags).alias("bought"))
+    exposed = even_join(pairs.where("id is not null and offer_code is not null"), of_offer, ["offer_code"]).select(
+        "id", F.struct("offer_code", F.coalesce("list", no_strings).alias("list"), "cats").alias("exposed"))
+    both = bought.unionByName(exposed, allowMissingColumns=True).groupBy("id").agg(
+        F.collect_list("bought").alias("bought"), F.collect_list("exposed").alias("exposed"),
+    ).where((F.size("exposed") > 0) & (F.size("bought") > 0))
+
+    def of(name: str, condition) -> list:
+        """Products, and long offers of products, that the condition holds for."""
+        kept = F.filter("bought", condition)
+        return [
+            F.transform(kept, lambda x: x["prod_code"]).alias(f"{name}_products"),
+            F.flatten(F.transform(kept, lambda x: x["long"])).alias(f"{name}_long")]
+
+    def categories(when: str):
+        return F.transform(
+            F.filter("bought", lambda x: x[when] & x["category"].isNotNull()), lambda x: x["category"])
+
+    facts: list = []
+    for name in outcomes:
+        facts += of(name, itemgetter(name))
+    in_loyal = F.array_intersect(categories("before"), categories("after"))
+    rows = both.select("id", "bought", "exposed", in_loyal.alias("loyal"))
+    facts += of("loyal", lambda x: (x["before"] | x["after"]) & F.array_contains("loyal", x["category"]))
+    # Exploding keeps the lists above apart from what is done for each exposure.
+    each = rows.select("id", "loyal", *facts, F.explode("exposed").alias("e"))
+    offer, short = F.col("e.offer_code"), F.coalesce("e.list", F.array().cast("array<string>"))
+    touched = [
+        (F.arrays_overlap(short, f"{name}_products") | F.array_contains(f"{name}_long", offer)).alias(name)
+        for name in outcomes]
+    every = F.aggregate(
+        F.filter(F.coalesce("e.cats", F.array().cast("array<struct<of:string,n:bigint>>")),
+                 lambda c: F.array_contains("loyal", c["of"])),
+        F.lit(0).cast("bigint"), lambda total, c: total + c["n"])
+    # A product may be in several categories, so each (product, category) counts.
+    did_buy = F.size(F.filter("loyal_products", lambda x: F.array_contains(short, x))) + F.size(
+        F.filter("loyal_long", lambda x: x == offer))
+    return each.select("id", offer.alias("offer_code"), *touched, (every - did_buy).alias("unbought"))
+
+
+def held_transactions(items: DataFrame) -> DataFrame:
+    """(transaction, id) with the periods it has lines in. A line without a number is its customer's alone."""
+    flags = [F.bool_or(f"in_{period}").alias(f"in_{period}") for period in PERIODS]
+    return items.select(
+        F.coalesce("transaction_fid", F.concat(F.lit("\0"), "id")).alias("transaction_fid"),
+        "id", *[f"in_{period}" for period in PERIODS], F.col("transaction_fid").isNotNull().alias("numbered"),
+    ).groupBy("transaction_fid", "id").agg(*flags, F.bool_or("numbered").alias("numbered"))
 
-def category_without_product(
-    purchases: DataFrame, pairs: DataFrame, offer_product: DataFrame, products: DataFrame
-) -> DataFrame:
-    """Per exposed (id, offer): its products not bought before or after, in loyal categories.
 
-    A category is loyal for a customer who bought in it both before and after.
-    The number is taken as all products of the offer in loyal categories, less
-    those the customer did buy, so no list of unbought products is ever built.
-    """
-    category = "prod_hier_l20_code"
-    of_product = products.select("prod_code", category).filter(F.col(category).isNotNull())
-    around = purchases.filter((F.col("n_pre") > 0) | (F.col("n_post") > 0))
-    bought = even_join(around, of_product, ["prod_code"], "inner")
-    loyal = (
-        bought.groupBy("id", category)
-        .agg(F.bool_or(F.col("n_pre") > 0).alias("before"), F.bool_or(F.col("n_post") > 0).alias("after"))
-        .filter("before AND after")
-        .select("id", category)
-    )
+def transaction_owners(held: DataFrame) -> DataFrame:
+    """Per transaction its least and greatest customer, its periods, and whether it is numbered.
 
-    featured = even_join(offer_product, of_product, ["prod_code"], "inner")
-    per_category = featured.groupBy("offer_code", category).agg(F.count("*").alias("unbought"))
-    every = even_join(pairs, per_category, ["offer_code"], "inner")
-    every = even_join(every, loyal, ["id", category], "left_semi")
+    Both ends are the same where one customer owns it; the state of two parts of
+    a transaction adds up to that of the whole, so it is built on the map side.
+    """
+    flags = [F.bool_or(f).alias(f) for f in (*[f"in_{p}" for p in PERIODS], "numbered")]
+    return held.groupBy("transaction_fid").agg(F.min("id").alias("id"), F.max("id").alias("last"), *flags)
 
-    loyal_bought = even_join(
-        bought.select("id", "prod_code", category).distinct(), loyal, ["id", category], "left_semi"
-    )
-    did_buy = bought_under_offer(
-        loyal_bought, pairs, featured.select("offer_code", "prod_code", category),
-        ["prod_code", category],
-    ).withColumn("unbought", F.lit(-1).cast("bigint"))
 
-    columns = ["id", "offer_code", "unbought"]
-    both = every.select(*columns).union(did_buy.select(*columns))
-    return both.groupBy("id", "offer_code").agg(F.sum("unbought").alias("unbought"))
+def shared_transactions(held: DataFrame) -> DataFrame:
+    """(transaction, id) rows of the few transactions that several customers share."""
+    several = transaction_owners(held).filter("id <> last").select("transaction_fid")
+    return even_join(held, several, ["transaction_fid"], "left_semi").filter("numbered")
 
 
-def transaction_owners(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Transactions as customer facts, plus the few that cannot be.
+def visit_facts(held: DataFrame, shared: DataFrame) -> DataFrame:
+    """Transactions as facts of a customer.
 
     A transaction of one customer is counted once in every group that customer
     is in, so its number is a fact of the customer (``own_<period>``) and no
-    (group, transaction) pair has to be made. Transactions that several
-    customers share are returned as (transaction, id) rows, to be counted as
-    distinct values. ``any_<period>`` covers both, and lines without a number.
+    (group, transaction) pair has to be made. ``any_<period>`` covers shared
+    transactions too, and lines without a number.
     """
-    flags = [f"in_{period}" for period in PERIODS]
-    # A line without a number belongs to its customer alone and is never counted.
-    numbered = items.select(
-        F.coalesce("transaction_fid", F.concat(F.lit("\0"), "id")).alias("transaction_fid"),
-        "id", *flags, F.col("transaction_fid").isNotNull().alias("numbered"),
-    )
-    flags = [*flags, "numbered"]
-    held = numbered.groupBy("transaction_fid", "id").agg(
-        *[F.bool_or(flag).alias(flag) for flag in flags]
-    )
-    owners = held.groupBy("transaction_fid").agg(
-        F.count("*").alias("owners"),
-        F.min("id").alias("id"),
-        *[F.bool_or(flag).alias(flag) for flag in flags],
-    )
-    several = owners.filter("owners > 1").select("transaction_fid")
-    shared = even_join(held, several, ["transaction_fid"], "left_semi").filter("numbered")
-
-    single = owners.filter("owners = 1").select("id", *flags, F.lit(True).alias("own"))
+    flags = [*[f"in_{p}" for p in PERIODS], "numbered"]
+    single = transaction_owners(held).filter("id = last").select("id", *flags, F.lit(True).alias("own"))
     either = single.union(shared.select("id", *flags, F.lit(False)))
     counted = {p: F.count_if(F.col(f"in_{p}") & F.col("own") & F.col("numbered")) for p in PERIODS}
-    facts = either.groupBy("id").agg(
+    return either.groupBy("id").agg(
         *[count.alias(f"own_{p}") for p, count in counted.items()],
         *[F.bool_or(f"in_{p}").alias(f"any_{p}") for p in PERIODS],
     )
-    return facts, shared
+
+
+def shared_visits_of(frames: CampaignFrames) -> DataFrame:
+    """Shared transactions, read back if they were written."""
+    if frames.shared_visits is not None:
+        return frames.shared_visits
+    return shared_transactions(held_transactions(frames.items))
+
+
+def visits_of(frames: CampaignFrames) -> DataFrame:
+    """The visit facts, read back if they were written."""
+    if frames.visits is not None:
+        return frames.visits
+    return visit_facts(held_transactions(frames.items), frames.once(shared_visits_of))
 
 
 def customer_outcomes(lines: DataFrame, units: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from promolift.functions import vocabulary as V
 from promolift.functions.columns import is_digital, is_paper, is_unknown_id, stage_is
 from promolift.functions.joins import even_join
 from promolift.operators.aggregates import scalar_row
-from promolift.operators.facts import exposed_pairs, featured_buyers
+from promolift.operators.facts import coupons_of, featured_buyers
 from promolift.operators.modules import CampaignFrames, pick
 from promolift.operators.rollup import Measure, Rows
 
@@ -30,45 +29,30 @@ NAMES = (
 
 
 def redemptions(frames: CampaignFrames, keys: Iterable[str]) -> DataFrame:
-    """Redemptions with their number ``n`` and the customer's arm.
+    """Redemptions with their number ``n``, their coupon's facts and the customer's arm.
 
     The arm is the one the customer was allocated to; a customer allocated to
     both has every redemption twice. Equal redemptions are collapsed before
     anything is joined, so one coupon or one unknown card holding most of the
-    redemptions leaves few rows.
+    redemptions leaves few rows. ``listed`` is NULL where the offer does not have
+    the product. All redemption measures are conditions on these rows.
     """
-    base = frames.base
-    arms = base.filter(stage_is(V.ALLOCATED)).select("id", "event_control_flag").distinct()
-    redeemed = base.filter(stage_is(V.REDEEMED)).drop("event_control_flag")
+    redeemed = frames.base.filter(stage_is(V.REDEEMED)).drop("event_control_flag")
     kept = dict.fromkeys(("id", "offer_code", "prod_code", "channel_code", *keys))
     kept.pop("event_control_flag", None)
-    redeemed = redeemed.groupBy(*kept).agg(F.count("*").alias("n"))
-    return even_join(redeemed, arms, ["id"])
+    rows = redeemed.groupBy(*kept).agg(F.count("*").alias("n"))
+    rows = even_join(rows, frames.once(coupons_of), ["id", "offer_code"], null_safe=True)
+    listed = frames.offer_product.select("prod_code", "offer_code").distinct()
+    rows = even_join(rows, listed.withColumn("listed", F.lit(True)), ["prod_code", "offer_code"])
+    return rows.withColumn("arm", F.explode_outer("arms")).select(
+        *[name for name in rows.columns if name != "arms"], "arm.event_control_flag")
 
 
-def coupons(rows: DataFrame) -> DataFrame:
-    """Redemptions per (id, offer): in all, digital and on paper; summed on the map side."""
-    count_of = lambda condition: F.sum(F.when(condition, F.col("n")))
-    return rows.groupBy("id", "offer_code").agg(
-        count_of(F.lit(True)).alias("n_coupon"),
-        count_of(is_digital()).alias("n_digital"),
-        count_of(is_paper()).alias("n_paper"),
-    )
-
-
-def bad_coupons(rows: DataFrame, base: DataFrame) -> DataFrame:
+def bad_coupons(frames: CampaignFrames) -> DataFrame:
     """Coupons of known customers with ``n_bad``: 1 each for unexposed and for repeated."""
-    known = coupons(rows.filter(~is_unknown_id()))
-    exposed = exposed_pairs(base).select(
-        F.col("id").alias("exposed_id"), F.col("offer_code").alias("exposed_offer"),
-        F.lit(True).alias("exposed"),
-    )
-    same_coupon = (F.col("id") == F.col("exposed_id")) & F.col("offer_code").eqNullSafe(
-        F.col("exposed_offer")
-    )
-    joined = known.join(exposed, same_coupon, "left")
-    unexposed, repeated = F.col("exposed").isNull(), F.col("n_coupon") > 1
-    return joined.withColumn("n_bad", unexposed.cast("int") + repeated.cast("int"))
+    unexposed, repeated = ~F.col("exposed"), F.col("n_coupon") > 1
+    return frames.once(coupons_of).filter(~is_unknown_id()).withColumn(
+        "n_bad", unexposed.cast("int") + repeated.cast("int"))
 
 
 def fraud_measures(
@@ -81,43 +65,33 @@ def fraud_measures(
         rows = frames.base
     real_product = F.col("prod_code").isNotNull() & F.col("offer_code").isNotNull()
 
-    @cache
-    def bad() -> Rows:
-        return Rows("bad", bad_coupons(rows, frames.base), F.col("n_bad") > 0, overall=True)
-
-    @cache
-    def counted() -> DataFrame:
-        """Redemptions with the totals of their coupon; without id or offer they have none."""
-        return even_join(rows, coupons(rows.filter("id is not null")), ["id", "offer_code"])
-
-    def misplaced() -> Rows:
-        listed = frames.offer_product.select("prod_code", "offer_code").distinct()
-        marked = even_join(rows, listed.withColumn("listed", F.lit(True)), ["prod_code", "offer_code"])
-        return Rows("misplaced", marked, real_product & F.col("listed").isNull())
-
+    bad = Rows("bad", bad_coupons(frames), F.col("n_bad") > 0, overall=True)
+    misplaced = Rows("misplaced", rows, real_product & F.col("listed").isNull())
     control = Rows("control", rows, F.col("event_control_flag") == V.CONTROL_FLAG)
     unknown = Rows("unknown", rows, is_unknown_id())
 
     def again(label: str, condition) -> Measure:
-        return Measure(label, (Rows(label, counted(), condition).ids(),))
+        """A coupon without customer or offer is never redeemed again."""
+        named = F.col("id").isNotNull() & F.col("offer_code").isNotNull()
+        return Measure(label, (Rows(label, rows, named & condition).ids(),))
 
     def control_participation() -> Measure:
         in_control = stage_is(V.ALLOCATED) & (F.col("event_control_flag") == V.CONTROL_FLAG)
-        buyers = featured_buyers(frames)
+        buyers = frames.once(featured_buyers)
         shoppers = Rows("control_shoppers", frames.base, in_control, facts=buyers)
         return Measure("control_participation", (shoppers.ids_with("bought_featured"),))
 
     return pick("fraud", {
-        "bad_redeemers": lambda: scalar_row("bad_redeemers", (bad().ids(),)),
+        "bad_redeemers": lambda: scalar_row("bad_redeemers", (bad.ids(),)),
         "control_redeemers": lambda: Measure("control_redeemers", (control.ids(),)),
         "non_cc_malredemptions": lambda: scalar_row("non_cc_malredemptions", (unknown.sum("n"),)),
         "control_participation": control_participation,
-        "mis_redemptions": lambda: Measure("mis_redemptions", (misplaced().sum("n"),)),
+        "mis_redemptions": lambda: Measure("mis_redemptions", (misplaced.sum("n"),)),
         "app_multi_redeemers": lambda: again(
             "app_multi_redeemers", is_digital() & (F.col("n_digital") > 1)),
         "dm_multi_redeemers": lambda: again(
             "dm_multi_redeemers", is_paper() & (F.col("n_paper") > 1)),
         "app_dm_multi_redeemers": lambda: again(
             "app_dm_multi_redeemers", (F.col("n_digital") > 0) & (F.col("n_paper") > 0)),
-        "mal_redemptions": lambda: scalar_row("mal_redemptions", (bad().sum("n_bad"),)),
+        "mal_redemptions": lambda: scalar_row("mal_redemptions", (bad.sum("n_bad"),)),
     }, names)

@@ -13,14 +13,14 @@ from promolift.functions.columns import ratio, stage_is
 from promolift.functions.joins import even_join
 from promolift.operators.aggregates import scalar_row
 from promolift.operators.facts import (
-    category_without_product,
     coupon_outcomes,
     exposed_pairs,
     purchases_of,
-    transaction_owners,
+    shared_visits_of,
+    visits_of,
 )
 from promolift.operators.modules import CampaignFrames, pick
-from promolift.operators.rollup import Measure, Rows
+from promolift.operators.rollup import Measure, Part, Rows
 
 # Measure name to the coupon outcome it counts customers of.
 OUTCOME_OF = {
@@ -49,35 +49,28 @@ def impact_measures(
     base = frames.base
     exposed = base.filter(stage_is(V.EXPOSED))
 
-    @cache
-    def purchases() -> DataFrame:
-        return purchases_of(frames)
-
     @cache
     def exposures() -> DataFrame:
         """Exposures with the outcomes of their coupon, if a requested measure needs them."""
-        outcomes = []
-        if OUTCOME_OF.keys() & set(names):
-            outcomes.append(
-                coupon_outcomes(purchases(), exposed_pairs(base), frames.offer_product)
-            )
-        if CATEGORY in names:
-            outcomes.append(
-                category_without_product(
-                    purchases(), exposed_pairs(base), frames.offer_product, frames.products
-                )
-            )
-        if not outcomes:
+        if not {*OUTCOME_OF, CATEGORY} & set(names):
             return exposed
-        coupon = ["id", "offer_code"]
-        merged = outcomes[0] if len(outcomes) == 1 else outcomes[0].join(outcomes[1], coupon, "full")
-        return even_join(exposed, merged, coupon)
+        outcomes = coupon_outcomes(
+            frames.once(purchases_of), frames.once(exposed_pairs), frames.offer_product,
+            frames.products if CATEGORY in names else None)
+        return even_join(exposed, outcomes, ["id", "offer_code"])
+
+    @cache
+    def customers() -> Rows:
+        return Rows("customers", exposures(), F.lit(True), facts=frames.once(visits_of))
 
     @cache
-    def transactions() -> tuple[DataFrame, DataFrame]:
-        facts, shared = transaction_owners(frames.items)
+    def shared() -> DataFrame:
+        """Shared transactions in the groups of their exposed customers."""
         groups = list(dict.fromkeys(["id", *keys]))
-        return facts, even_join(shared, exposed.select(*groups).distinct(), ["id"], "inner")
+        return even_join(frames.once(shared_visits_of), exposed.select(*groups).distinct(), ["id"], "inner")
+
+    def shared_visits(period: str) -> Part:
+        return Rows(f"shared_{period}", shared(), F.col(f"in_{period}"), counted="transaction_fid").ids()
 
     def outcome(name: str) -> Measure:
         return Measure(name, (Rows(OUTCOME_OF[name], exposures(), F.col(OUTCOME_OF[name])).ids(),))
@@ -89,38 +82,33 @@ def impact_measures(
     def frequency(name: str) -> Measure:
         """Transactions of the group over the customers with transactions in any group."""
         period = PERIOD_OF[name]
-        facts, shared = transactions()
-        customers = Rows("customers", exposures(), F.lit(True), facts=facts)
-        active = customers.ids_with(f"any_{period}")
-        shared_visits = Rows(
-            f"shared_{period}", shared, F.col(f"in_{period}"), counted="transaction_fid"
-        ).ids()
+        active = customers().ids_with(f"any_{period}")
         return Measure(
             name,
-            (customers.weight(f"own_{period}"), shared_visits),
+            (customers().weight(f"own_{period}"), shared_visits(period)),
             lambda own, shared, everyone: ratio(own + shared, everyone),
             totals=(active,),
             present=(active,),
         )
 
     def basket_with_offer() -> Measure:
-        """Campaign transactions with a redeemed product over all of exposed customers'."""
-        lines = frames.items.filter("in_dur").select(
-            "id", "prod_code", "transaction_fid", F.to_date("transaction_dttm").alias("day")
-        )
+        """Campaign transactions with a redeemed product over all of exposed customers'.
+
+        The latter are the customers' own and the shared ones: both are counted already.
+        """
+        day = F.to_date("transaction_dttm").alias("day")
+        lines = frames.items.filter("in_dur").select("id", "prod_code", "transaction_fid", day)
         used = (
             base.filter(stage_is(V.REDEEMED))
             .select("id", "prod_code", F.to_date("contact_cust_detail_dttm").alias("day"))
             .distinct()
         )
-        with_offer = even_join(lines, used, ["id", "prod_code", "day"], "left_semi")
-        of_exposed = even_join(lines, exposed.select("id").distinct(), ["id"], "left_semi")
-        count = lambda label, frame: Rows(
-            label, frame, F.lit(True), counted="transaction_fid", overall=True
-        ).ids()
+        with_offer = Rows(
+            "with_offer", even_join(lines, used, ["id", "prod_code", "day"], "left_semi"), F.lit(True),
+            counted="transaction_fid", overall=True)
         return scalar_row(
-            BASKET, (count("with_offer", with_offer), count("of_exposed", of_exposed)), ratio
-        )
+            BASKET, (with_offer.ids(), customers().weight("own_dur"), shared_visits("dur")),
+            lambda used, own, shared: ratio(used, own + shared))
 
     available = {name: (lambda name=name: outcome(name)) for name in OUTCOME_OF}
     available |= {name: (lambda name=name: frequency(name)) for name in PERIOD_OF}

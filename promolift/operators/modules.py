@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
@@ -15,8 +15,9 @@ class CampaignFrames:
     """Everything the measures read.
 
     ``items`` and ``baskets`` carry ``in_pre``, ``in_dur`` and ``in_post``.
-    Only ``base`` is needed by every module. ``purchases`` holds the purchase
-    counts where they were written once for several reports.
+    Only ``base`` is needed by every module. ``purchases``, ``coupons``, ``visits``
+    and ``shared_visits`` hold facts where they were written once for several
+    reports; elsewhere they are worked out from the other frames.
     """
 
     base: DataFrame
@@ -28,6 +29,16 @@ class CampaignFrames:
     products: DataFrame | None = None
     panel: DataFrame | None = None
     purchases: DataFrame | None = None
+    coupons: DataFrame | None = None
+    visits: DataFrame | None = None
+    shared_visits: DataFrame | None = None
+    _made: dict = field(default_factory=dict, init=False, repr=False, compare=False)
+
+    def once(self, make: Callable[[CampaignFrames], DataFrame]) -> DataFrame:
+        """``make(self)``, the same frame each time, so that modules in one report share it."""
+        if make not in self._made:
+            self._made[make] = make(self)
+        return self._made[make]
 
 
 def pick(

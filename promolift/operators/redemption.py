@@ -12,7 +12,7 @@ from promolift.functions import vocabulary as V
 from promolift.functions.columns import is_digital, is_paper, ratio, stage_is
 from promolift.functions.joins import even_join
 from promolift.operators.aggregates import scalar_row
-from promolift.operators.facts import exposed_pairs, featured_buyers
+from promolift.operators.facts import coupons_of, featured_buyers
 from promolift.operators.modules import CampaignFrames, pick
 from promolift.operators.rollup import Measure, Rows
 
@@ -55,7 +55,7 @@ def redemption_measures(
 
     @cache
     def buyers() -> DataFrame:
-        return featured_buyers(frames)
+        return frames.once(featured_buyers)
 
     redeemed = Rows("redeemed", base, stage_is(V.REDEEMED))
     exposed = Rows("exposed", base, stage_is(V.EXPOSED))
@@ -71,9 +71,8 @@ def redemption_measures(
     @cache
     def correct() -> Rows:
         """Redemptions of a coupon the customer was exposed to."""
-        rows = even_join(
-            base.filter(stage_is(V.REDEEMED)), exposed_pairs(base), ["id", "offer_code"], "left_semi"
-        )
+        exposed = frames.once(coupons_of).filter("exposed").select("id", "offer_code")
+        rows = even_join(base.filter(stage_is(V.REDEEMED)), exposed, ["id", "offer_code"], "left_semi")
         return Rows("correct", rows, F.lit(True))
 
     def mailed_penetration() -> Measure:

@@ -27,8 +27,6 @@ from promolift.functions import levels as L
 from promolift.functions.columns import any_of
 
 
-TOTAL_BUCKETS = 200
-
 
 @dataclass(frozen=True, eq=False)
 class Rows:
@@ -270,11 +268,13 @@ def _with_totals(
 ) -> DataFrame:
     """Put the overall values beside every group.
 
-    The groups are dealt into buckets with a copy of the overall row in each, so
-    neither the groups are computed twice nor all of them meet in one task.
+    The groups are dealt into as many buckets as the session shuffles into, with
+    a copy of the overall row in each, so neither the groups are computed twice
+    nor all of them meet in one task.
     """
-    dealt = F.array(F.pmod(F.hash("_mask", *key_names), F.lit(TOTAL_BUCKETS)))
-    everywhere = F.sequence(F.lit(0), F.lit(TOTAL_BUCKETS - 1))
+    buckets = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = F.array(F.pmod(F.hash("_mask", *key_names), F.lit(buckets)))
+    everywhere = F.sequence(F.lit(0), F.lit(buckets - 1))
     bucket = Window.partitionBy("_bucket")
     overall_value = lambda part: F.max(F.when(is_overall, F.col(part.name))).over(bucket)
     spread = groups.withColumn("_bucket", F.explode(F.when(is_overall, everywhere).otherwise(dealt)))

@@ -8,7 +8,13 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 
 from promolift.operators.enrich import enrich
-from promolift.operators.facts import purchase_counts
+from promolift.operators.facts import (
+    coupon_facts,
+    held_transactions,
+    purchase_counts,
+    shared_transactions,
+    visit_facts,
+)
 from promolift.operators.modules import CampaignFrames
 from promolift.sources import sinks, tables
 from promolift.sources.tables import Period
@@ -68,18 +74,24 @@ def prepare(
 
 
 def stage_frames(frames: CampaignFrames, folder: str | None = None) -> CampaignFrames:
-    """Write what several reports share: the enriched contacts and the purchase counts.
+    """Write what several reports share: the enriched contacts and facts about them.
 
     A report reads ``base`` once per kind of row it needs, and every read of a
     lazy ``base`` repeats its joins. The written table is partitioned by stage,
-    so each measure only reads its own stages and columns. The purchase counts
-    are what is left of the transaction lines for all measures but visits.
+    so each measure only reads its own stages and columns. Coupon facts are what
+    redemptions are looked up in. Purchase counts and visits are what is left of
+    the transaction lines for all measures but the basket with an offer.
     """
     folder = folder or sinks.shared_folder(frames.base.sparkSession)
     staged = replace(
         frames, base=sinks.stage(frames.base, f"{folder}/base", ["contact_stage_code"])
     )
+    staged = replace(staged, coupons=sinks.stage(coupon_facts(staged.base), f"{folder}/coupons"))
     if frames.items is not None:
         counts = purchase_counts(frames.items)
-        staged = replace(staged, purchases=sinks.stage(counts, f"{folder}/purchases"))
+        held = sinks.stage(held_transactions(frames.items), f"{folder}/held")
+        shared = sinks.stage(shared_transactions(held), f"{folder}/shared_visits")
+        staged = replace(
+            staged, purchases=sinks.stage(counts, f"{folder}/purchases"), shared_visits=shared,
+            visits=sinks.stage(visit_facts(held, shared), f"{folder}/visits"))
     return staged

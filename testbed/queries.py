@@ -16,7 +16,7 @@ from promolift.operators import facts, matching
 from promolift.operators.uplift import uplift_report, uplift_statistics
 from promolift.operators.rollup import report
 from promolift.plans.prepare import stage_frames
-from promolift.plans.reports import final_report, module_report
+from promolift.plans.reports import combined_report, final_report, module_report
 from promolift.sources import sinks, tables, text
 from testbed import oracle as O
 from testbed import tables as T
@@ -743,11 +743,10 @@ for report_key, options in {
         f"{options.get('source', 'basket')}_panel", options.get("method", "ancova")))
 
 def _final(spark: SparkSession, folder: str) -> DataFrame:
-    # Six reports read the enriched contacts, so they are written once.
+    # What the modules read is written once.
     frames = stage_frames(T.frames(spark, folder))
-    reports = {module: module_report(module, frames, LEVELS) for module in MODULES}
-    reports["uplift"] = module_report("uplift", frames, UPLIFT_LEVELS, UPLIFT_NAMES)
-    return rounded(final_report(reports))
+    uplift_part = module_report("uplift", frames, UPLIFT_LEVELS, UPLIFT_NAMES)
+    return rounded(final_report([combined_report(frames, LEVELS), uplift_part]))
 
 
 def _final_sql() -> str:
