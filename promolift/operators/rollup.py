@@ -4,7 +4,7 @@ A measure is built from *parts* (sums, counts, exact distinct counts) over named
 rows of a frame. All parts over the same frame share one two-step aggregation:
 
 1. grouping sets of every level plus the counted key; this leaves one row per
-   (level, group, counted key) with a 0/1 flag for each distinct count;
+   (level, group, counted key) with a bit for each distinct count;
 2. a sum of those flags per (level, group).
 
 The input is expanded once per level, however many distinct counts are asked
@@ -124,8 +124,42 @@ def key_name(name: str) -> str:
     return f"_key_{name}"
 
 
-def _first_step(parts: list[Part], keys: list[str], sets: dict[int, L.Level]) -> DataFrame:
-    """Step 1 for the parts of one frame: level mask, labelled keys, part columns."""
+#: Yes/no values kept in one number.
+FLAGS_TOGETHER = 62
+
+
+class Flags:
+    """Yes/no conditions of the rows of one pass as bits of a few numbers.
+
+    A group has a bit if any of its rows has it, so one ``bit_or`` stands for a
+    maximum per condition, however many measures share the pass.
+    """
+
+    def __init__(self, number: int, conditions: dict[str, Column]) -> None:
+        names = list(conditions)
+        self._at = {
+            name: (f"_bits_{number}_{place // FLAGS_TOGETHER}", place % FLAGS_TOGETHER)
+            for place, name in enumerate(names)
+        }
+        bits: dict[str, Column] = {}
+        for name, (column, place) in self._at.items():
+            bit = F.when(conditions[name], F.lit(1 << place)).otherwise(0).cast("bigint")
+            bits[column] = bits[column] + bit if column in bits else bit
+        self.columns = bits
+
+    def folds(self) -> dict[str, Column]:
+        return {column: F.bit_or(column) for column in self.columns}
+
+    def value(self, name: str) -> Column:
+        """1 where the condition held in the group, else 0."""
+        column, place = self._at[name]
+        return F.shiftright(column, place).bitwiseAND(F.lit(1).cast("bigint"))
+
+
+def _first_step(
+    parts: list[Part], keys: list[str], sets: dict[int, L.Level], number: int
+) -> tuple[DataFrame, Flags]:
+    """Step 1 for the parts of one frame: level mask, labelled keys, part and flag columns."""
     rows = parts[0].rows
     counted = ["_counted"] if any(part.needs_counted for part in parts) else []
     by_label = {part.rows.label: part.rows.where for part in parts}
@@ -134,25 +168,25 @@ def _first_step(parts: list[Part], keys: list[str], sets: dict[int, L.Level]) ->
     if counted:
         columns["_counted"] = F.col(rows.counted)
     folds: dict[str, Column] = {}
+    conditions: dict[str, Column] = {}
     for part in parts:
-        where, seen, hit = by_label[part.rows.label], part.seen, part.hit
-        columns[seen] = F.when(where, 1).otherwise(0)
-        folds[seen] = F.max(seen)
+        where = by_label[part.rows.label]
+        conditions[part.seen] = where
         if part.needs_counted:
-            columns[hit] = F.when(where & F.col(rows.counted).isNotNull(), 1).otherwise(0)
-            folds[hit] = F.max(hit)
+            conditions[part.hit] = where & F.col(rows.counted).isNotNull()
         elif part.kind == "sum":
             columns[part.name] = F.when(where, F.col(part.column))
             folds[part.name] = F.sum(part.name)
         else:
             columns[part.name] = F.when(where & F.col(part.column).isNotNull(), 1).otherwise(0)
             folds[part.name] = F.sum(part.name)
+    flags = Flags(number, conditions)
 
     slim = rows.frame.filter(any_of(list(by_label.values()))).select(
-        *[column.alias(name) for name, column in columns.items()]
+        *[column.alias(name) for name, column in (columns | flags.columns).items()]
     )
-    aggregates = [fold.alias(name) for name, fold in folds.items()]
-    return _attach_facts(group_by_levels(slim, keys, sets, counted, aggregates), parts)
+    aggregates = [fold.alias(name) for name, fold in (folds | flags.folds()).items()]
+    return _attach_facts(group_by_levels(slim, keys, sets, counted, aggregates), parts, flags), flags
 
 
 def group_by_levels(
@@ -173,25 +207,26 @@ def group_by_levels(
     )
 
 
-def _attach_facts(grouped: DataFrame, parts: list[Part]) -> DataFrame:
+def _attach_facts(grouped: DataFrame, parts: list[Part], flags: Flags) -> DataFrame:
     wanted = list(dict.fromkeys(part.column for part in parts if part.needs_facts))
     if wanted:
         rows = next(part.rows for part in parts if part.needs_facts)
         facts = rows.facts.select(F.col(rows.counted).alias("_counted"), *wanted)
         grouped = grouped.join(facts, "_counted", "left")
+    values: dict[str, Column] = {}
     for part in parts:
         if part.kind == "ids":
-            grouped = grouped.withColumn(part.name, F.col(part.hit))
+            values[part.name] = flags.value(part.hit)
         elif part.kind == "ids_with":
-            flagged = (F.col(part.hit) == 1) & F.col(part.column)
-            grouped = grouped.withColumn(part.name, F.when(flagged, 1).otherwise(0))
+            flagged = (flags.value(part.hit) == 1) & F.col(part.column)
+            values[part.name] = F.when(flagged, 1).otherwise(0)
         elif part.kind == "weight":
-            grouped = grouped.withColumn(
-                part.name, F.when(F.col(part.hit) == 1, F.coalesce(part.column, F.lit(0)))
-            )
+            values[part.name] = F.when(flags.value(part.hit) == 1, F.coalesce(part.column, F.lit(0)))
+        else:
+            values[part.name] = F.col(part.name)
     keys = [name for name in grouped.columns if name.startswith("_key_")]
-    names = list(dict.fromkeys([p.name for p in parts] + [p.seen for p in parts]))
-    return grouped.select("_mask", *keys, *names)
+    return grouped.select(
+        "_mask", *keys, *[value.alias(name) for name, value in values.items()], *flags.columns)
 
 
 def _passes(parts: list[Part]) -> list[list[Part]]:
@@ -221,11 +256,12 @@ def report(measures: Sequence[Measure], levels: Sequence) -> DataFrame:
         sets[overall] = ()
 
     parts = list({p.name: p for m in measures for p in (*m.parts, *m.totals, *(m.present or ()))}.values())
-    steps = [
-        _first_step(batch, [], {overall: ()}) if batch[0].rows.overall
-        else _first_step(batch, keys, sets)
-        for batch in _passes(parts)
-    ]
+    steps, every_flag = [], []
+    for number, batch in enumerate(_passes(parts)):
+        wanted = ([], {overall: ()}) if batch[0].rows.overall else (keys, sets)
+        step, flags = _first_step(batch, *wanted, number)
+        steps.append(step)
+        every_flag.append((batch, flags))
     if overall in sets:
         # An empty input must still give its overall row.
         spine = spark.range(0, 1, 1, 1).select(F.lit(overall).cast("bigint").alias("_mask"))
@@ -238,11 +274,12 @@ def report(measures: Sequence[Measure], levels: Sequence) -> DataFrame:
     for name in key_names:
         if name not in partial.columns:
             partial = partial.withColumn(name, F.lit(None).cast("string"))
-    seen = list(dict.fromkeys(part.seen for part in parts))
     groups = partial.groupBy("_mask", *key_names).agg(
         *[F.coalesce(F.sum(part.name), F.lit(0)).alias(part.name) for part in parts],
-        *[F.max(name).alias(name) for name in seen],
+        *[fold.alias(name) for _, flags in every_flag for name, fold in flags.folds().items()],
     )
+    groups = groups.withColumns({
+        part.seen: flags.value(part.seen) for batch, flags in every_flag for part in batch})
 
     is_overall = F.col("_mask") == overall
     totals = list({p.name: p for m in measures for p in m.totals}.values())
