@@ -49,6 +49,12 @@ def featured_buyers(frames: CampaignFrames) -> DataFrame:
     return buyers.withColumn("bought_featured", F.lit(True))
 
 
+def customer_arms(base: DataFrame) -> DataFrame:
+    """The arms each customer was allocated to; a struct keeps an arm that is NULL."""
+    return base.filter(stage_is(V.ALLOCATED)).groupBy("id").agg(
+        F.collect_set(F.struct("event_control_flag")).alias("arms"))
+
+
 def coupon_facts(base: DataFrame) -> DataFrame:
     """One row per redeemed (id, offer), NULL keys included.
 
@@ -63,12 +69,9 @@ def coupon_facts(base: DataFrame) -> DataFrame:
         F.count_if(redeemed).alias("n_coupon"), count_of(is_digital()).alias("n_digital"),
         count_of(is_paper()).alias("n_paper"), F.bool_or(stage_is(V.EXPOSED)).alias("exposed"),
     ).filter("n_coupon > 0")
-    # A struct keeps an arm that is NULL.
-    arms = base.filter(stage_is(V.ALLOCATED)).groupBy("id").agg(
-        F.collect_set(F.struct("event_control_flag")).alias("arms"))
     counts = ("n_coupon", "n_digital", "n_paper")
     times = F.greatest(F.coalesce(F.size("arms"), F.lit(1)), F.lit(1))
-    return even_join(coupons, arms, ["id"]).withColumns({name: F.col(name) * times for name in counts})
+    return even_join(coupons, customer_arms(base), ["id"]).withColumns({name: F.col(name) * times for name in counts})
 
 
 def coupons_of(frames: CampaignFrames) -> DataFrame:
@@ -150,8 +153,9 @@ def coupon_outcomes(
     in_loyal = F.array_intersect(categories("before"), categories("after"))
     rows = both.select("id", "bought", "exposed", in_loyal.alias("loyal"))
     facts += of("loyal", lambda x: (x["before"] | x["after"]) & F.array_contains("loyal", x["category"]))
-    # Exploding keeps the lists above apart from what is done for each exposure.
-    each = rows.select("id", "loyal", *facts, F.explode("exposed").alias("e"))
+    # The lists are made once for a customer, below the explode, not for each exposure.
+    lists = rows.select("id", "exposed", "loyal", *facts)
+    each = lists.select(*[name for name in lists.columns if name != "exposed"], F.explode("exposed").alias("e"))
     offer, short = F.col("e.offer_code"), F.coalesce("e.list", F.array().cast("array<string>"))
     touched = [
         (F.arrays_overlap(short, f"{name}_products") | F.array_contains(f"{name}_long", offer)).alias(name)

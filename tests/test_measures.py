@@ -13,7 +13,8 @@ from promolift.functions.columns import panel_arm
 from promolift.operators import enrich, facts, matching
 from promolift.operators.modules import CampaignFrames
 from promolift.operators.uplift import uplift_report
-from promolift.plans.reports import MODULES, final_report, module_report
+from promolift.plans.prepare import stage_frames
+from promolift.plans.reports import MODULES, combined_report, final_report, module_report
 
 BASE = (
     "id string, contact_stage_code string, offer_code string, prod_code string, channel_code string,"
@@ -256,3 +257,93 @@ def test_final_report_aligns_keys_and_fills_zeros(spark):
 
 def test_every_measure_has_a_module():
     assert set(MODULES) == {"allocation", "cost", "customer_impact", "fraud", "redemption"}
+
+
+def brute_outcomes(purchases, pairs, listed):
+    """Flags per exposed coupon: tried, repeated, adopted, lapsed, retained."""
+    of_offer = {}
+    for offer, product in listed:
+        of_offer.setdefault(offer, set()).add(product)
+    counts = {(i, p): n for i, p, *n in purchases}
+    found = {}
+    for i, offer in pairs:
+        flags = [False] * 5
+        for product in of_offer.get(offer, ()):
+            pre, dur, post = counts.get((i, product), (0, 0, 0))
+            hits = (dur and not post, dur and post == 1, dur and post > 1, pre and not post, pre and post)
+            flags = [bool(a or b) for a, b in zip(flags, hits)]
+        found[i, offer] = flags
+    return found
+
+
+@pytest.mark.parametrize("longest", [2, 256])
+def test_outcomes_equal_brute_force_for_short_and_long_offers(spark, monkeypatch, longest):
+    monkeypatch.setattr(facts, "LONGEST_LIST", longest)
+    rng = random.Random(3)
+    purchases = [(f"c{i}", f"P{p}", *(rng.choice((0, 0, 1, 2)) for _ in range(3)))
+                 for i in range(12) for p in rng.sample(range(30), 9)]
+    pairs = [(f"c{i}", f"O{o}") for i in range(14) for o in rng.sample(range(8), 4)]
+    listed = [(f"O{o}", f"P{p}") for o in range(7) for p in rng.sample(range(30), (1, 2, 3, 9, 20, 2, 5)[o])]
+    found = facts.coupon_outcomes(
+        spark.createDataFrame(purchases, "id string, prod_code string, n_pre long, n_dur long, n_post long"),
+        spark.createDataFrame(pairs, "id string, offer_code string"),
+        spark.createDataFrame(listed + listed[:3], "offer_code string, prod_code string")).collect()
+    names = ("tried", "repeated", "adopted", "lapsed", "retained")
+    ours = {(r.id, r.offer_code): [r[n] for n in names] for r in found}
+    for key, flags in brute_outcomes(purchases, pairs, listed).items():
+        assert ours.get(key, [False] * 5) == flags
+    assert len(ours) == len(found)
+
+
+def test_a_customer_with_many_products_and_many_offers_makes_no_pair_list(spark):
+    """10,000 products and 1,000 offers: rows before the customer's own row are purchases and exposures."""
+    products = spark.range(10_000).select(F.concat(F.lit("P"), "id").alias("prod_code"))
+    purchases = products.select(
+        F.lit("c").alias("id"), "prod_code", F.lit(1).alias("n_pre"), F.lit(1).alias("n_dur"), F.lit(2).alias("n_post"))
+    offers = spark.range(1_000).select(F.concat(F.lit("O"), "id").alias("offer_code"), F.col("id").alias("n"))
+    # Offers of 11 products; every hundredth lists 1,000.
+    listed = offers.select("offer_code", F.explode(F.expr(
+        "transform(sequence(0, if(n % 100 = 0, 999, 10)), i -> concat('P', (n * 7 + i) % 20000))")).alias("prod_code"))
+    pairs = offers.select(F.lit("c").alias("id"), "offer_code")
+    found = facts.coupon_outcomes(purchases, pairs, listed)
+    rows = {r.offer_code: (r.adopted, r.lapsed, r.retained) for r in found.collect()}
+    assert len(rows) == 1_000 and set(rows.values()) == {(True, False, True)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # A customer's lists are made once, below the explode of its exposures, and no join follows it.
+    above = plan[:plan.index("Generate explode")]
+    assert "filter(bought" not in above and "Join" not in above
+
+
+def test_transactions_are_read_from_facts_and_the_report_has_few_exchanges(spark, tmp_path):
+    base = [row("1", "EXP"), row("1", "ALC"), row("1", "RDM"), row("2", "EXP"), row("2", "ALC")]
+    lines = [("1", "P1", "t1", "dur"), ("2", "P1", "t1", "dur"), ("1", "P1", "t2", "pre"), ("2", "P1", "t3", "post")]
+    staged = stage_frames(frames(spark, base, lines), str(tmp_path / "staged"))
+    before = {key: spark.conf.get(key) for key in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = {name: module_report(name, staged, ["()", "loyalty_level"])._jdf.queryExecution().executedPlan().toString()
+                for name in ("customer_impact", "fraud")}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    # The item lines are not a written table here: each use is a local scan of them.
+    assert text["customer_impact"].count("transaction_dttm") > 0
+    assert text["customer_impact"].count(" Exchange ") <= 40
+    assert text["fraud"].count(" Exchange ") <= 20
+
+
+def test_combined_report_equals_the_module_reports(spark):
+    base = [
+        row("1", "EXP"), row("1", "ALC", flag="Y"), row("1", "RDM"), row("1", "RDM", channel="PAPER"),
+        row("2", "EXP", loyalty="GO"), row("2", "ALC", loyalty="GO"), row("3", "DLV", channel="PAPER"),
+        row("2", "RDM", "O2", "P9", loyalty="GO"), row(None, "RDM"), row("4", "EXP", None), row("4", "RDM", None),
+    ]
+    lines = [("1", "P1", "t1", "dur"), ("2", "P1", "t1", "dur"), ("1", "P1", "t2", "pre"), ("2", "P1", "t3", "post")]
+    f = frames(spark, base, lines)
+    modules = [name for name in MODULES if name != "redemption"]
+    levels = ["()", "loyalty_level", "(loyalty_level, offer_code)"]
+    one = combined_report(f, levels, modules)
+    several = final_report([module_report(name, f, levels) for name in modules])
+    order = several.columns
+    assert sorted(map(str, one.select(*order).collect())) == sorted(map(str, several.collect()))
