@@ -16,7 +16,8 @@ differ by |D1| + |D2| - 2 |D1 & D2|, and as one of them is too far from the
 leader, a similar pair must share a certain number of differences. That is a
 join of small sets again, found through the first few of their differences,
 those that the leader lacks first, because hardly any two sets share these.
-So a group of near copies costs its size, not its square, and no link is lost.
+Sets that are connected already need no further link, and lists of differences
+are led before their sets are paired. No two similar sets stay unconnected.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promolift.functions.joins import even_join
@@ -364,49 +365,105 @@ def compared(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int,
     return staged(texts.mapInArrow(compare, STAR_SCHEMA), "compared")
 
 
-def links_between(stars: DataFrame, percent: int) -> DataFrame:
-    """``leader, member`` pairs of similar sets that are not both similar to their leader.
+def postings(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """A row for each (leader, difference) under which a set has to be looked for.
 
-    Prefix filter on the differences: a pair that shares at least s of them
-    shares one among the first |D| - s + 1 of either, at places after which s
-    are still possible.
+    Prefix filter on the differences: a pair of sets that shares at least s of
+    them shares one among the first |D| - s + 1 of either, at places after which
+    s are still possible. ``far`` rows belong to sets that are not similar to
+    their leader; every pair that is looked for has one of those. ``component``
+    is what the links found so far connect.
     """
-    within = lambda total: F.floor(total * (100 - percent) / (100 + percent))
     d = F.size("differences")
-    most = within(F.col("member_n") + F.least("leader_n", F.floor(F.col("member_n") * 100 / percent)))
-    far = F.greatest(F.lit(1), d - most)
-    half = F.ceil((d + 1) / 2)
-    base = stars.select("leader", "member", "member_n", "linked", d.alias("d"), "differences",
-                        far.alias("far"), half.alias("half"))
-
-    def posted(rows: DataFrame, share, tag: str) -> DataFrame:
-        cut = rows.select("leader", "member", "member_n", "linked", "d", F.posexplode(
-            F.slice("differences", F.lit(1), (F.col("d") - share + 1).cast("int"))).alias("place", "element"))
-        return cut.select("leader", "element", *[F.col(c).alias(f"{tag}_{c}") for c in ("member", "member_n", "linked", "d", "place")])
-
-    one = posted(base.where(~F.col("linked")), F.col("far"), "x")
-    two = posted(base, F.when(F.col("linked"), F.col("half")).otherwise(F.greatest("half", "far")), "y")
+    most = within(F.col("member_n") + F.least("leader_n", F.floor(F.col("member_n") * 100 / percent)), percent)
+    least_far, half = F.greatest(F.lit(1), d - most), F.ceil((d + 1) / 2)
+    # A far set meets far ones from its longer prefix on, and linked ones of their shorter prefix.
+    rows = even_join(stars, labels.withColumnRenamed("rep", "member"), ["member"]).select(
+        "leader", "member", "member_n", (~F.col("linked")).alias("far"), d.alias("d"), "differences",
+        F.coalesce("component", "member").alias("component"), least_far.alias("least_far"),
+        F.when(F.col("linked"), half).otherwise(F.greatest(half, least_far)).alias("least_near"))
+    share = F.when(F.col("far"), F.least("least_far", "least_near")).otherwise(F.col("least_near"))
+    cut = rows.select("*", F.posexplode(
+        F.slice("differences", F.lit(1), (F.col("d") - share + 1).cast("int"))).alias("place", "element"))
+    return cut.select(
+        "leader", "element", "member", "member_n", "far", "d", "place", "component",
+        (F.col("far") & (F.col("place") <= F.col("d") - F.col("least_far"))).alias("asks"),
+        (F.col("place") <= F.col("d") - F.col("least_near")).alias("answers"))
+
+
+def within(total: Column, percent: int) -> Column:
+    """Most differences of two similar sets that have ``total`` shingles together."""
+    return F.floor(total * (100 - percent) / (100 + percent))
+
+
+def pairs_with_heads(posts: DataFrame) -> DataFrame:
+    """``leader, x, y``: the first far set of each list with the list's sets of other components."""
+    key = ["leader", "element"]
+    heads = posts.groupBy(*key).agg(
+        F.min(F.when(F.col("far"), F.struct("component", "member"))).alias("head"),
+        F.min("component").alias("first"), F.max("component").alias("last"),
+    ).where("head is not null and first <> last").select(
+        *key, F.col("head.component").alias("head_component"), F.col("head.member").alias("x"))
+    met = even_join(posts.select(*key, "member", "component"), heads, key, "inner")
+    return met.where("component <> head_component").select("leader", "x", F.col("member").alias("y")).distinct()
+
+
+def pairs_across(posts: DataFrame, percent: int) -> DataFrame:
+    """``leader, x, y``: what is left, pairs of a far set and one of another component in a list."""
+    names = ("member", "member_n", "far", "d", "place", "component")
+    side = lambda tag, role: posts.where(role).select(
+        "leader", "element", *[F.col(c).alias(f"{tag}_{c}") for c in names])
     total = F.col("x_member_n") + F.col("y_member_n")
-    need = F.ceil((F.col("x_d") + F.col("y_d") - within(total)) / 2)
+    need = F.ceil((F.col("x_d") + F.col("y_d") - within(total, percent)) / 2)
     possible = F.least(F.col("x_d") - F.col("x_place"), F.col("y_d") - F.col("y_place"))
+    one, two = side("x", "asks"), side("y", "answers")
     on = (
         (one["leader"] == two["leader"]) & (one["element"] == two["element"])
-        & (F.col("x_member") != F.col("y_member"))
-        & (F.col("y_linked") | (F.col("x_member") < F.col("y_member")))
+        & (F.col("x_component") != F.col("y_component"))
+        & (~F.col("y_far") | (F.col("x_member") < F.col("y_member")))
         & (100 * F.least("x_member_n", "y_member_n") >= percent * F.greatest("x_member_n", "y_member_n"))
         & (possible >= need))
-    found = one.join(two, on).select(
+    return one.join(two, on).select(
         one["leader"], F.col("x_member").alias("x"), F.col("y_member").alias("y")).distinct()
+
+
+def similar(pairs: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """``leader, member``: those of the pairs that are similar, by their differences from one leader."""
     side = lambda name: stars.select(
         "leader", F.col("member").alias(name), F.col("member_n").alias(f"{name}_n"),
         F.col("differences").alias(f"{name}_differences"))
-    both = found.join(side("x"), ["leader", "x"]).join(side("y"), ["leader", "y"])
+    both = pairs.join(side("x"), ["leader", "x"]).join(side("y"), ["leader", "y"])
     shared = F.size(F.array_intersect("x_differences", "y_differences"))
     apart = F.size("x_differences") + F.size("y_differences") - 2 * shared
     return both.where(linked_sizes(F.col("x_n"), F.col("y_n"), apart, percent)).select(
         F.col("x").alias("leader"), F.col("y").alias("member"))
 
 
+#: Rounds in which a list is led by its first far set before what is left is paired.
+HEAD_ROUNDS = 3
+
+
+def connected(stars: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links that connect all similar sets, and the component of each linked set.
+
+    Links to the leaders come first. After that a set matters to another only if
+    no link connects them yet, so the rows of a group of near copies fall out as
+    soon as their group holds together. Lists of differences are led like the
+    lists before: their first far set is compared with the sets of other
+    components. Only what several such rounds leave apart is paired.
+    """
+    links = staged(stars.where("linked").select("leader", "member").distinct(), "links")
+    labels = components(links)
+    for turn in range(HEAD_ROUNDS + 1):
+        posts = postings(stars, labels, percent)
+        pairs = pairs_with_heads(posts) if turn < HEAD_ROUNDS else pairs_across(posts, percent)
+        found = staged(similar(pairs, stars, percent).distinct(), "links")
+        if not found.isEmpty():
+            links = staged(links.unionByName(found).distinct(), "links")
+            labels = components(links)
+    return links, labels
+
+
 def components(links: DataFrame) -> DataFrame:
     """``rep, component``: the smallest node that links reach, for nodes with links.
 
@@ -446,10 +503,8 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     narrow = staged(sets.select("doc_id", "n", "h1", "h2"), "narrow")
     discard(sets.sparkSession, sets)
     stars = compared(docs, pairs, classes, width, percent)
-    links = staged(stars.where("linked").select("leader", "member").unionByName(
-        links_between(stars, percent)).distinct(), "links")
+    links, labels = connected(stars, percent)
     discard(docs.sparkSession, stars)
-    labels = components(links)
     ends = links.select(F.explode(F.array("leader", "member")).alias("rep")).groupBy("rep").agg(
         F.count("*").alias("n_connecting_links"))
     named = classes.join(labels, "rep", "left").join(ends, "rep", "left").select(
