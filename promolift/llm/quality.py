@@ -9,11 +9,9 @@ in a source, and an ordinary source loses no fixed share of its documents.
 Groups with fewer than ``least_group`` documents use the sketch of their
 language, languages with fewer that of the corpus.
 
-There are two sets of measures. ``MEASURES`` are those of the SQL twin of op9,
-which fixes that query's results; there repeats never reach their cutoff and
-repeated lines only in texts of very short lines. ``WORKING`` is what the
-pipeline uses: repeated lines count per line, the least spreads lie inside what
-the base rule leaves, and words can also be too short for their source.
+Repeated lines count per line, the least spreads lie inside what the base rule
+leaves, and words can also be too short for their source, so that every measure
+can reject a text. Bins of large values grow as powers: each value has one.
 """
 
 from __future__ import annotations
@@ -44,24 +42,17 @@ class Measure(NamedTuple):
     least_spread: int
     #: Least spread of a lower cutoff; None where no value is too low.
     least_below: int | None = None
-    #: Whether all values above ``MOST_BINS`` share a bin, as in the SQL twin; else their bins grow as powers.
-    capped: bool = True
 
 
 Measures = dict[str, Measure]
 MEASURES: Measures = {
-    "word_length": Measure("word_chars", "n_words", 20, 20),
+    "word_length": Measure("word_chars", "n_words", 20, 20, 10),
     "symbols": Measure("n_symbols", "n_words", 200, 10),
-    "dup_lines": Measure("n_dup_lines", "n_words", 400, 10),
-    "repeats": Measure("n_repeat_words", "n_words", 100, 8),
+    "dup_lines": Measure("n_dup_lines", "n_lines", 100, 10),
+    "repeats": Measure("n_repeat_words", "n_words", 100, 5),
 }
-WORKING: Measures = {
-    "word_length": Measure("word_chars", "n_words", 20, 20, 10, capped=False),
-    "symbols": Measure("n_symbols", "n_words", 200, 10, capped=False),
-    "dup_lines": Measure("n_dup_lines", "n_lines", 100, 10, capped=False),
-    "repeats": Measure("n_repeat_words", "n_words", 100, 5, capped=False),
-}
-MOST_BINS, BINS_OF_DOUBLE = 1000, 100
+#: Bins up to here are of equal width; beyond, so many for each doubling.
+EQUAL_BINS, BINS_OF_DOUBLE = 1000, 100
 FENCE, LEAST_GROUP = 4, 50
 
 
@@ -139,13 +130,11 @@ def base_failed() -> Column:
 
 
 def bin_of(measure: Measure) -> Column:
-    """The bin of a measure; integer arithmetic up to ``MOST_BINS``, so every engine agrees."""
+    """The bin of a measure; integer arithmetic up to ``EQUAL_BINS``, so every engine agrees."""
     value = F.expr(
         f"({measure.bins_per_unit} * {measure.numerator}) div greatest({measure.denominator}, 1)")
-    if measure.capped:
-        return F.least(value, F.lit(MOST_BINS)).cast("bigint")
-    above = MOST_BINS + F.floor(BINS_OF_DOUBLE * F.log2(value / MOST_BINS))
-    return F.when(value > MOST_BINS, above).otherwise(value).cast("bigint")
+    above = EQUAL_BINS + F.floor(BINS_OF_DOUBLE * F.log2(value / EQUAL_BINS))
+    return F.when(value > EQUAL_BINS, above).otherwise(value).cast("bigint")
 
 
 def sketches(counts: DataFrame, measures: Measures = MEASURES) -> DataFrame:
@@ -225,7 +214,7 @@ def quality(docs: DataFrame, measures: Measures = MEASURES) -> DataFrame:
         "doc_id", *BASE, "base_failed", "kept")
 
 
-def keep_good(docs: DataFrame, measures: Measures = WORKING) -> DataFrame:
+def keep_good(docs: DataFrame, measures: Measures = MEASURES) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns, whatever their names."""
     numbered = staged(
         docs.select(F.struct("*").alias("whole"), F.monotonically_increasing_id().alias("row")),

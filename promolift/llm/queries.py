@@ -157,31 +157,37 @@ ORACLES: dict[str, str] = {
         m as (select w.doc_id, lang, source, cast(len(words) as bigint) n_words,
                      cast(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) as bigint) word_chars,
                      cast(length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) as bigint) n_symbols,
-                     cast(len(nb) - len(list_distinct(nb)) as bigint) n_dup_lines,
+                     cast(len(nb) - len(list_distinct(nb)) as bigint) n_dup_lines, cast(len(nb) as bigint) n_lines,
                      cast(coalesce(rep.n, 0) as bigint) n_repeat_words
               from (select *, list_filter(string_split(coalesce(text, ''), chr(10)),
                                           lambda x: regexp_matches(x, '[^ \\t-\\r]')) nb from w) w
               left join rep using (doc_id)),
         f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m),
-        b as (select doc_id, lang, source, base_failed, unnest([
-                {'m': 'word_length', 'bin': least(20 * word_chars // greatest(n_words, 1), 1000), 'least': 20},
-                {'m': 'symbols', 'bin': least(200 * n_symbols // greatest(n_words, 1), 1000), 'least': 10},
-                {'m': 'dup_lines', 'bin': least(400 * n_dup_lines // greatest(n_words, 1), 1000), 'least': 10},
-                {'m': 'repeats', 'bin': least(100 * n_repeat_words // greatest(n_words, 1), 1000), 'least': 8}],
+        v as (select doc_id, lang, source, base_failed, unnest([
+                {'m': 'word_length', 'v': 20 * word_chars // greatest(n_words, 1), 'least': 20, 'below': 10},
+                {'m': 'symbols', 'v': 200 * n_symbols // greatest(n_words, 1), 'least': 10, 'below': null},
+                {'m': 'dup_lines', 'v': 100 * n_dup_lines // greatest(n_lines, 1), 'least': 10, 'below': null},
+                {'m': 'repeats', 'v': 100 * n_repeat_words // greatest(n_words, 1), 'least': 5, 'below': null}],
                 recursive := true) from f),
-        own as (select lang, source, m, any_value(least) s, count(*) n, quantile_disc(bin, 0.25) q1,
-                       quantile_disc(bin, 0.75) q3 from b where not base_failed group by all),
-        by_lang as (select lang, m, any_value(least) s, count(*) n, quantile_disc(bin, 0.25) q1,
-                       quantile_disc(bin, 0.75) q3 from b where not base_failed group by all),
-        everything as (select m, any_value(least) s, count(*) n, quantile_disc(bin, 0.25) q1,
-                       quantile_disc(bin, 0.75) q3 from b where not base_failed group by all),
-        cut as (select o.lang, o.source, o.m, case
-                    when o.n >= 50 then o.q3 + 4 * greatest(o.q3 - o.q1, o.s)
-                    when l.n >= 50 then l.q3 + 4 * greatest(l.q3 - l.q1, l.s)
-                    else e.q3 + 4 * greatest(e.q3 - e.q1, e.s) end as most
+        b as (select *, case when v > 1000 then 1000 + cast(floor(100 * log2(v / 1000.0)) as bigint) else v end as bin
+              from v),
+        own as (select lang, source, m, any_value(least) s, any_value(below) w, count(*) n,
+                       quantile_disc(bin, 0.25) q1, quantile_disc(bin, 0.75) q3
+                from b where not base_failed group by all),
+        by_lang as (select lang, m, any_value(least) s, any_value(below) w, count(*) n,
+                       quantile_disc(bin, 0.25) q1, quantile_disc(bin, 0.75) q3
+                    from b where not base_failed group by all),
+        everything as (select m, any_value(least) s, any_value(below) w, count(*) n,
+                       quantile_disc(bin, 0.25) q1, quantile_disc(bin, 0.75) q3
+                       from b where not base_failed group by all),
+        picked as (select o.lang, o.source, o.m, o.s, o.w,
+                    case when o.n >= 50 then o.q1 when l.n >= 50 then l.q1 else e.q1 end as q1,
+                    case when o.n >= 50 then o.q3 when l.n >= 50 then l.q3 else e.q3 end as q3
                 from own o join by_lang l on o.lang is not distinct from l.lang and o.m = l.m
                 join everything e on o.m = e.m),
-        over as (select b.doc_id, bool_or(coalesce(b.bin > cut.most, false)) as bad
+        cut as (select *, q3 + 4 * greatest(q3 - q1, s) as most,
+                       case when w is not null then q1 - 4 * greatest(q3 - q1, w) end as fewest from picked),
+        over as (select b.doc_id, bool_or(coalesce(b.bin > cut.most, false) or coalesce(b.bin < cut.fewest, false)) as bad
                  from b left join cut on b.lang is not distinct from cut.lang
                   and b.source is not distinct from cut.source and b.m = cut.m group by b.doc_id)
         select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
