@@ -124,7 +124,6 @@ class Router:
 
     def __init__(self, tree: Node, leaves: dict[int, Ranges]):
         self.tree = tree
-        self.below: dict[int, tuple[list[int], Ranges | None]] = {}
         self.leaves = leaves
         self._gather(tree, 0)
 

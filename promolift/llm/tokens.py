@@ -3,7 +3,8 @@
 Both vocabularies split a text at its white space before any merge, so the ids
 of a text are the ids of its words in order. Words come back often and encoding
 costs far more than a lookup: each Python worker keeps the ids of the words it
-has met. A text whose white space is not of the plain kind is encoded as a whole.
+has met. A text whose white space is not of the plain kind, or that holds a string
+with an id of its own such as ``<|endoftext|>``, is encoded as a whole.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Strings that the vocabulary gives one id of their own wherever they stand.
+        self.own_ids = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept = spaces == "kept"
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.words: dict = {}
@@ -80,7 +82,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian numbers of type ``dtype``."""
-        plans = [self._parts(text) if text else [] for text in texts]
+        plans = [self._parts(text) if text and not any(own in text for own in self.own_ids)
+                 else None if text else [] for text in texts]
         needed = set().union(*(plan for plan in plans if plan))
         new = [key for key in needed if key not in self.words]
         if len(self.words) + len(new) > MOST_WORDS:
