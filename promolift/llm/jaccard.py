@@ -15,7 +15,7 @@ rest, let D be the differences of a set from the leader: two sets of one list
 differ by |D1| + |D2| - 2 |D1 & D2|, and as one of them is too far from the
 leader, a similar pair must share a certain number of differences. That is a
 join of small sets again, found through the first few of their differences,
-those that the leader lacks first, because hardly any two sets share these.
+those that the fewest sets of the leader have first: hardly any two share these.
 Sets that are connected already need no further link, and lists of differences
 are led before their sets are paired. No two similar sets stay unconnected.
 """
@@ -26,6 +26,7 @@ import math
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -324,7 +325,7 @@ def compared(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int,
     """Compare every member with its leader on the whole texts.
 
     A leader with many members is sent to several blocks. Each pair gets its
-    differences, those that the leader lacks first.
+    differences.
     """
     blocks = pairs.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = even_join(pairs, blocks, ["leader"], "inner").select(
@@ -365,6 +366,23 @@ def compared(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int,
     return staged(texts.mapInArrow(compare, STAR_SCHEMA), "compared")
 
 
+def rarest_first(stars: DataFrame) -> DataFrame:
+    """``stars`` with the differences of each member ordered by how few members of its leader have them.
+
+    What the leader alone has changed is a difference of all its members, and
+    what a member alone has changed is one of no other. In this order the few
+    first differences, which decide what is paired, hardly ever agree. Leaders
+    without a set that is not similar to them ask for nothing and leave.
+    """
+    asking = stars.groupBy("leader").agg(F.bool_and("linked").alias("settled")).where("not settled").select("leader")
+    asked = even_join(stars, asking, ["leader"], "left_semi")
+    each = asked.select("leader", "member", F.explode("differences").alias("element"))
+    often = each.groupBy("leader", "element").agg(F.count("*").alias("members"))
+    ordered = even_join(each, often, ["leader", "element"], "inner").groupBy("leader", "member").agg(
+        F.array_sort(F.collect_list(F.struct("members", "element")))["element"].alias("differences"))
+    return even_join(asked.drop("differences"), ordered, ["leader", "member"], "inner")
+
+
 def postings(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """A row for each (leader, difference) under which a set has to be looked for.
 
@@ -454,13 +472,18 @@ def connected(stars: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """
     links = staged(stars.where("linked").select("leader", "member").distinct(), "links")
     labels = components(links)
-    for turn in range(HEAD_ROUNDS + 1):
-        posts = postings(stars, labels, percent)
-        pairs = pairs_with_heads(posts) if turn < HEAD_ROUNDS else pairs_across(posts, percent)
-        found = staged(similar(pairs, stars, percent).distinct(), "links")
+    ordered = staged(rarest_first(stars), "ordered")
+    rounds = [pairs_with_heads] * HEAD_ROUNDS + [partial(pairs_across, percent=percent)]
+    while rounds:
+        pairs = rounds.pop(0)(postings(ordered, labels, percent))
+        found = staged(similar(pairs, ordered, percent).distinct(), "links")
         if not found.isEmpty():
             links = staged(links.unionByName(found).distinct(), "links")
             labels = components(links)
+        else:
+            # With the same components the heads would be the same again.
+            del rounds[:-1]
+    discard(stars.sparkSession, ordered)
     return links, labels
 
 
