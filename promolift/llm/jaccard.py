@@ -7,7 +7,8 @@ Light sets, those up to a size boundary, enumerate all subsets of the sizes that
 a similar set must share with them. Heavy sets deal their shingles by hash into
 more parts than two similar sets have differences, so a similar pair agrees on
 some whole part; each part names an inverted list, and the lists are scanned.
-The boundary is the size up to which subsets cost less than lists.
+The boundary is the size up to which subsets cost less than lists. It only moves
+sets between two exact ways.
 
 Long lists are not paired up. The largest set of each list is its leader and is
 compared with every other. Sets similar to their leader are settled. For the
@@ -42,6 +43,8 @@ WIDTH, PERCENT = 3, 90
 #: Members of a leader that are compared in one block.
 BLOCK = 512
 CLASS_GROWTH = 1.3
+#: Rows that the subsets of a light set may have for each list it would have as a heavy one.
+MOST_ROWS = 12
 U = np.uint64
 
 
@@ -92,7 +95,7 @@ class Scheme:
 
     def __post_init__(self):
         self.boundary = 0
-        while self.boundary < 64 and self._light_cost(self.boundary + 1) <= self._heavy_cost(self.boundary + 1):
+        while self.boundary < 64 and self._light_pays(self.boundary + 1):
             self.boundary += 1
         self.uppers = [self.boundary]
 
@@ -112,6 +115,12 @@ class Scheme:
                 sizes.add(self.shared(n, other))
         return sorted(sizes)
 
+    def _light_pays(self, n: int) -> bool:
+        """Subsets may cost what lists cost with the sets met there, but every subset
+        is a row to be written: at most ``MOST_ROWS`` times as many as lists."""
+        parts, _ = self.parts(int(n * CLASS_GROWTH) + 1, n)
+        return self._light_cost(n) <= min(self._heavy_cost(n), MOST_ROWS * parts)
+
     def _light_cost(self, n: int) -> float:
         return sum(math.comb(n, c) for c in self.subset_sizes(n, 1 << 30)) or 0
 
