@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,20 +30,29 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
     return table
 
 
-def discard(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more; without tables, all of them.
+def made_by(step: Callable[[], DataFrame]) -> tuple[DataFrame, list[str]]:
+    """The result of a step and the folders it has staged and not discarded."""
+    earlier = set(_folders)
+    return step(), [folder for folder in _folders if folder not in earlier]
+
+
+def discard_folders(spark: SparkSession, folders: list[str]) -> None:
+    """Delete staged folders that nothing reads any more.
 
-    A result is lazy and reads staged tables when it is written, so all may only
-    go once the results made so far are written.
+    A result is lazy and reads what it has staged when it is written.
     """
-    gone = [table.staged_folder for table in tables] or list(_folders)
     context = spark.sparkContext
-    for folder in gone:
+    for folder in folders:
         path = context._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
         _folders.remove(folder)
 
 
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; those of other results stay."""
+    discard_folders(spark, [table.staged_folder for table in tables])
+
+
 def spread(spark: SparkSession) -> int:
     """How many buckets work is dealt into: as many as the session shuffles into."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -42,6 +42,8 @@ from promolift.llm.common import discard, staged
 WIDTH, PERCENT = 3, 90
 #: Members of a leader that are compared in one block.
 BLOCK = 512
+#: Differences of a block that are counted for the profile of its leader.
+PROFILED = 2_000_000
 CLASS_GROWTH = 1.3
 #: Rows that the subsets of a light set may have for each list it would have as a heavy one.
 MOST_ROWS = 12
@@ -330,11 +332,21 @@ def linked_sizes(n1, n2, apart, percent: int):
     return 100 * (n1 + n2 - apart) >= percent * (n1 + n2 + apart)
 
 
+def profile_row(leader: int, counted: list[np.ndarray]) -> tuple:
+    """The differences that at least two members and one in 64 of them have, the rarest first."""
+    elements, times = np.unique(np.concatenate(counted), return_counts=True)
+    often = times >= max(2, len(counted) / 64)
+    return leader, None, 0, 0, False, elements[often][np.argsort(times[often], kind="stable")]
+
+
 def compared(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """Compare every member with its leader on the whole texts.
 
     A leader with many members is sent to several blocks. Each pair gets its
-    differences.
+    differences. The first block of a leader adds its profile, a row without
+    member: the differences that several of its members have, the rarest first.
+    A profile only orders differences; so members beyond ``PROFILED`` differences
+    need not be counted in it.
     """
     blocks = pairs.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = even_join(pairs, blocks, ["leader"], "inner").select(
@@ -350,7 +362,7 @@ def compared(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int,
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         check_hash_seed()
-        head, head_set = None, None
+        head, head_set, counted = None, None, []
         columns = ("doc_id", "text", "leader", "kind", "block", "h1", "h2")
         for rows in pieces_of(batches):
             out: dict[str, list] = {name: [] for name in ARROW_STARS.names}
@@ -359,37 +371,45 @@ def compared(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int,
                 if digest(values) != (h1, h2):
                     continue  # another row with the same doc_id
                 if kind == 0:
-                    head, head_set = (leader, block), values
+                    if counted:
+                        add(out, profile_row(head[0], counted))
+                    head, head_set, counted, room = (leader, block), values, [], PROFILED
                     continue
                 if head != (leader, block):
                     raise RuntimeError("a block has no leader")
                 more = np.setdiff1d(values, head_set, assume_unique=True)
                 less = np.setdiff1d(head_set, values, assume_unique=True)
                 linked = linked_sizes(len(head_set), len(values), len(more) + len(less), percent)
-                found = (leader, doc, len(head_set), len(values), linked,
-                         np.concatenate([more, less]).view(np.int64))
-                for name, value in zip(out, found, strict=True):
-                    out[name].append(value)
+                apart = np.concatenate([more, less]).view(np.int64)
+                add(out, (leader, doc, len(head_set), len(values), linked, apart))
+                if block == 0 and len(apart) <= room:
+                    counted.append(apart)
+                    room -= len(apart)
             yield pa.RecordBatch.from_pydict(out, ARROW_STARS)
+        if counted:
+            out = {name: [] for name in ARROW_STARS.names}
+            add(out, profile_row(head[0], counted))
+            yield pa.RecordBatch.from_pydict(out, ARROW_STARS)
+
+    def add(out: dict[str, list], row: tuple) -> None:
+        for name, value in zip(out, row, strict=True):
+            out[name].append(value)
 
     return staged(texts.mapInArrow(compare, STAR_SCHEMA), "compared")
 
 
-def rarest_first(stars: DataFrame) -> DataFrame:
-    """``stars`` with the differences of each member ordered by how few members of its leader have them.
+def rarest_first(met: DataFrame) -> DataFrame:
+    """The members with their differences in the order of the profile of their leader.
 
     What the leader alone has changed is a difference of all its members, and
     what a member alone has changed is one of no other. In this order the few
-    first differences, which decide what is paired, hardly ever agree. Leaders
-    without a set that is not similar to them ask for nothing and leave.
+    first differences, which decide what is paired, hardly ever agree.
     """
-    asking = stars.groupBy("leader").agg(F.bool_and("linked").alias("settled")).where("not settled").select("leader")
-    asked = even_join(stars, asking, ["leader"], "left_semi")
-    each = asked.select("leader", "member", F.explode("differences").alias("element"))
-    often = each.groupBy("leader", "element").agg(F.count("*").alias("members"))
-    ordered = even_join(each, often, ["leader", "element"], "inner").groupBy("leader", "member").agg(
-        F.array_sort(F.collect_list(F.struct("members", "element")))["element"].alias("differences"))
-    return even_join(asked.drop("differences"), ordered, ["leader", "member"], "inner")
+    profiles = met.where("member is null").select("leader", F.col("differences").alias("profile"))
+    joined = even_join(met.where("member is not null"), profiles, ["leader"], "left")
+    profile = F.coalesce("profile", F.array().cast("array<bigint>"))
+    ordered = F.concat(F.array_except("differences", profile), F.array_intersect(profile, "differences"))
+    return staged(joined.withColumn("differences", ordered).drop("profile"), "stars")
 
 
 def postings(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -481,18 +501,16 @@ def connected(stars: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """
     links = staged(stars.where("linked").select("leader", "member").distinct(), "links")
     labels = components(links)
-    ordered = staged(rarest_first(stars), "ordered")
     rounds = [pairs_with_heads] * HEAD_ROUNDS + [partial(pairs_across, percent=percent)]
     while rounds:
-        pairs = rounds.pop(0)(postings(ordered, labels, percent))
-        found = staged(similar(pairs, ordered, percent).distinct(), "links")
+        pairs = rounds.pop(0)(postings(stars, labels, percent))
+        found = staged(similar(pairs, stars, percent).distinct(), "links")
         if not found.isEmpty():
             links = staged(links.unionByName(found).distinct(), "links")
             labels = components(links)
         else:
             # With the same components the heads would be the same again.
             del rounds[:-1]
-    discard(stars.sparkSession, ordered)
     return links, labels
 
 
@@ -534,7 +552,9 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     # From here on the signatures are not needed.
     narrow = staged(sets.select("doc_id", "n", "h1", "h2"), "narrow")
     discard(sets.sparkSession, sets)
-    stars = compared(docs, pairs, classes, width, percent)
+    met = compared(docs, pairs, classes, width, percent)
+    stars = rarest_first(met)
+    discard(docs.sparkSession, met)
     links, labels = connected(stars, percent)
     discard(docs.sparkSession, stars)
     ends = links.select(F.explode(F.array("leader", "member")).alias("rep")).groupBy("rep").agg(
