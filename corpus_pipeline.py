@@ -3,15 +3,18 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and read again as the next one's ``docs``. The first three
 return the columns of ``documents``; the last returns the packed pieces.
-When a stage begins, its input is written, so what earlier stages staged goes.
+When a stage begins, its input is written, so what the stage before staged goes;
+staged tables of other results stay.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from promolift.llm.common import discard
+from promolift.llm.common import discard_folders, made_by
 from promolift.llm.exact_dedup import drop_copies
 from promolift.llm.jaccard import drop_near_copies
 from promolift.llm.packing import pack
@@ -19,25 +22,34 @@ from promolift.llm.quality import keep_good
 from promolift.sources.sinks import shared_folder, stage
 
 
+#: What the latest stage has staged.
+_staged: list[str] = []
+
+
+def _after_the_last(spark: SparkSession, step: Callable[[], DataFrame]) -> DataFrame:
+    discard_folders(spark, _staged)
+    _staged.clear()
+    result, folders = made_by(step)
+    _staged.extend(folders)
+    return result
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    discard(spark)
-    return keep_good(docs)
+    return _after_the_last(spark, lambda: keep_good(docs))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    discard(spark)
-    return drop_copies(docs)
+    return _after_the_last(spark, lambda: drop_copies(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shingles of five words, similar from 80 per cent on."""
-    discard(spark)
-    return drop_near_copies(docs)
+    return _after_the_last(spark, lambda: drop_near_copies(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    discard(spark)
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), "kept", end_id=1)
+    return _after_the_last(spark, lambda: pack(
+        docs, public_tokenizers.path("byte_bpe_50k.json"), "kept", end_id=1))
 
 
 STAGES = [
