@@ -123,6 +123,14 @@ def one_to_one_match(candidates: DataFrame) -> DataFrame:
     return arm(~is_control, "test").join(arm(is_control, "control"), ["cluster", "position"])
 
 
+def panel_of_pairs(pairs: DataFrame) -> DataFrame:
+    """Both customers of each pair: ``id`` and ``event_control_flag``."""
+    return pairs.select(F.explode(F.array(
+        F.struct(F.col("test_id").alias("id"), F.lit(1).alias("event_control_flag")),
+        F.struct(F.col("control_id").alias("id"), F.lit(0).alias("event_control_flag")),
+    )).alias("one")).select("one.*")
+
+
 def build_panel(
     candidates: DataFrame | None = None, how: str = "systematic", external: DataFrame | None = None,
     threshold: int = 10,
@@ -138,9 +146,5 @@ def build_panel(
         chosen = systematic_resample(candidates, threshold)
         return chosen.select("id", F.col("test_panel").cast("int").alias("event_control_flag"))
     if how == "one_to_one":
-        pairs = one_to_one_match(candidates)
-        return pairs.select(F.explode(F.array(
-            F.struct(F.col("test_id").alias("id"), F.lit(1).alias("event_control_flag")),
-            F.struct(F.col("control_id").alias("id"), F.lit(0).alias("event_control_flag")),
-        )).alias("one")).select("one.*")
+        return panel_of_pairs(one_to_one_match(candidates))
     raise ValueError(f"unknown panel {how!r}; valid: external, systematic, one_to_one")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from promolift.functions import levels as L
 from promolift.operators import aggregates as G
 from promolift.operators import enrich as E
-from promolift.operators import facts, matching
+from promolift.operators import facts, feature_matching, matching
 from promolift.operators.uplift import uplift_report, uplift_statistics
 from promolift.operators.rollup import report
 from promolift.plans.prepare import stage_frames
@@ -658,6 +658,41 @@ add("uplift_one_to_one",
       and t.rank > t.last and c.rank > c.last""")
 
 
+def _described(f) -> DataFrame:
+    return feature_matching.with_features(_clustered(f), _pivot(f))
+
+
+def _part_sizes(f) -> DataFrame:
+    """How many parts of each size a cluster was cut into, none above 40 customers."""
+    parts = feature_matching.bounded_clusters(_described(f), 40).groupBy("cluster", "part").agg(
+        F.count("*").alias("customers"))
+    return parts.groupBy("cluster", "customers").agg(F.count("*").alias("parts"))
+
+
+def _pair_counts(f) -> DataFrame:
+    """Pairs of each cluster and the different customers in them."""
+    return feature_matching.feature_match(_described(f)).groupBy("cluster").agg(
+        F.count("*").alias("pairs"), F.count_distinct("test_id").alias("test_customers"),
+        F.count_distinct("control_id").alias("control_customers"))
+
+
+DESCRIBED_SQL = """(select cluster, id, min(event_control_flag) as event_control_flag from clustered
+    where id is not null and cluster is not null group by cluster, id
+    having min(event_control_flag) = max(event_control_flag))"""
+
+add("uplift_bounded_clusters", _on_frames(_part_sizes),
+    f"""select * from (
+    with recursive halves as (
+      select cluster, count(*) as n, 0 as side from {DESCRIBED_SQL} group by cluster
+      union all
+      select cluster, (n + s.side) // 2, s.side from halves, (select unnest([0, 1]) as side) s where n > 40)
+    select cluster, n as customers, count(*) as parts from halves where n <= 40 group by cluster, n)""")
+add("uplift_feature_match", _on_frames(_pair_counts),
+    f"""select cluster, pairs, pairs as test_customers, pairs as control_customers from (
+    select cluster, least(count(*) filter (event_control_flag <> 'Y'),
+      count(*) filter (event_control_flag = 'Y')) as pairs from {DESCRIBED_SQL} group by cluster) where pairs > 0""")
+
+
 # --- reports ------------------------------------------------------------------
 
 MODULES = ("allocation", "cost", IMPACT, "fraud", "redemption")
