@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from promolift.functions.joins import even_join
 from promolift.llm.common import before, staged
 
 #: The strings that a text must not be able to forge.
@@ -45,32 +46,38 @@ def unescaped(text: str) -> str:
     return re.sub(r"\\(" + CONTROL + ")", r"\1", text)
 
 
-def ancestors(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Root, depth and path score of every message, and the pointers of each stride.
+def ancestors(messages: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The messages as trees, depth and path score of each, and the pointers of each stride.
 
-    A parent that does not exist counts as none. Messages whose parents form a
-    circle never meet a root and are left out.
+    A parent that does not exist counts as none. Parents that form a circle never
+    meet a root: the smallest message of the circle, the only one that is the
+    least of its own ancestors, loses its parent, and the paths are found anew.
     """
     parents = messages.select(F.col("conv_id"), F.col("msg_id").alias("parent_id"), F.lit(True).alias("known"))
     base = messages.select(*NODE, "parent_id", "score").join(parents, ["conv_id", "parent_id"], "left")
     reach = staged(base.select(
         *NODE, F.when(F.col("known"), F.col("parent_id")).alias("up"),
-        F.lit(1).cast("bigint").alias("length"), F.coalesce("score", F.lit(0.0)).alias("total")), "stride")
+        F.col("parent_id").alias("least"), F.lit(1).cast("bigint").alias("length"),
+        F.coalesce("score", F.lit(0.0)).alias("total")), "stride")
     done, open_ = [reach.where(F.col("up").isNull())], reach.where(F.col("up").isNotNull())
     strides = []
     most = max(1, messages.count()).bit_length()
     # Only paths that have not met their root are joined again.
-    while len(strides) <= most and not open_.isEmpty():
+    while not open_.isEmpty():
+        if len(strides) > most:
+            cut = open_.where("least = msg_id").select(*NODE, F.lit(True).alias("cut"))
+            return ancestors(staged(messages.join(cut, NODE, "left").withColumn(
+                "parent_id", F.when(F.col("cut").isNull(), F.col("parent_id"))).drop("cut"), "messages"))
         strides.append(open_.select(*NODE, "up"))
         above = reduce(DataFrame.unionByName, [*done, open_]).select(
-            "conv_id", F.col("msg_id").alias("up"), F.col("up").alias("next"),
+            "conv_id", F.col("msg_id").alias("up"), F.col("up").alias("next"), F.col("least").alias("other"),
             F.col("length").alias("more"), F.col("total").alias("gain"))
         step = staged(open_.join(above, ["conv_id", "up"]).select(
-            *NODE, F.col("next").alias("up"), (F.col("length") + F.col("more")).alias("length"),
+            *NODE, F.col("next").alias("up"), F.least("least", "other").alias("least"), (F.col("length") + F.col("more")).alias("length"),
             (F.col("total") + F.col("gain")).alias("total")), "stride")
         done.append(step.where(F.col("up").isNull()))
         open_ = step.where(F.col("up").isNotNull())
-    return reduce(DataFrame.unionByName, done).drop("up"), strides
+    return messages, reduce(DataFrame.unionByName, done).drop("up", "least"), strides
 
 
 def branches(messages: DataFrame, reach: DataFrame) -> DataFrame:
@@ -84,7 +91,7 @@ def branches(messages: DataFrame, reach: DataFrame) -> DataFrame:
 
 def paths(messages: DataFrame, most_branches: int | None) -> DataFrame:
     """``conv_id, leaf, branch, branch_score, depth, role, text`` for each message of a chosen path."""
-    reach, strides = ancestors(messages)
+    messages, reach, strides = ancestors(messages)
     chosen = branches(messages, reach)
     if most_branches is not None:
         chosen = chosen.where(F.col("branch") <= most_branches)
@@ -126,13 +133,23 @@ def formatted(rows: DataFrame) -> DataFrame:
 def named(messages: DataFrame) -> DataFrame:
     """``messages`` with ids as structs, which are never null and equal where their nulls are.
 
-    Messages without ``msg_id`` get a number, as nothing can reply to them.
+    Messages without ``msg_id`` get a number, as nothing can reply to them. So do
+    repeated ones but the first by parent, role, text and score.
     """
     nobody = F.lit(None).cast("bigint")
-    return staged(messages.select(
+    numbered = staged(messages.select(
+        *NODE, "parent_id", "role", "text", "score", F.monotonically_increasing_id().alias("number")), "named")
+    named_rows = numbered.withColumn("name", F.struct(*NODE))
+    # Names alone are counted first; what else a message holds is compared for repeated ones only.
+    repeated = named_rows.where("msg_id is not null").groupBy("name").agg(
+        F.count("*").alias("n")).where("n > 1").select("name")
+    first = even_join(named_rows, repeated, ["name"], "inner").groupBy("name").agg(
+        F.min(F.struct("parent_id", "role", "text", "score", "number"))["number"].alias("first"))
+    known = even_join(named_rows, first, ["name"])
+    own = F.col("msg_id").isNull() | (F.col("first") != F.col("number"))
+    return staged(known.select(
         F.struct("conv_id").alias("conv_id"),
-        F.struct("msg_id", F.when(F.col("msg_id").isNull(), F.monotonically_increasing_id()).otherwise(nobody).alias(
-            "number")).alias("msg_id"),
+        F.struct("msg_id", F.when(own, F.col("number")).otherwise(nobody).alias("number")).alias("msg_id"),
         F.when(F.col("parent_id").isNotNull(), F.struct(
             F.col("parent_id").alias("msg_id"), nobody.alias("number"))).alias("parent_id"),
         "role", "text", "score"), "named")
@@ -142,8 +159,12 @@ def format_trees(messages: DataFrame, most_branches: int | None = None) -> DataF
     """Format the paths of ``conv_id, msg_id, parent_id, role, text, score``.
 
     (conv_id, msg_id) names a message; those without ``conv_id`` are one
-    conversation, and each without ``msg_id`` is a message of its own. Null roles
-    and texts are empty, null scores 0. An empty table gives no rows.
+    conversation, and each without ``msg_id`` is a message of its own. Of several
+    rows with one name the first by parent, role, text and score is replied to,
+    the others are leaves of their own. A circle of parents is broken at its
+    smallest message. Null roles and texts are empty, null scores 0. Branches of
+    equal score are ranked by leaf. An empty table gives no rows, and columns
+    beyond these are not read.
     """
     whole = formatted(paths(named(messages), most_branches))
     return whole.withColumns({"conv_id": F.col("conv_id.conv_id"), "leaf": F.col("leaf.msg_id")})

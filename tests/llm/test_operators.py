@@ -332,7 +332,7 @@ def test_reply_trees(spark):
     messages = spark.createDataFrame(
         TREE, "conv_id bigint, msg_id bigint, parent_id bigint, role string, text string, score double")
     got = {(r.conv_id, r.branch): r for r in chat.format_trees(messages).collect()}
-    assert set(got) == {(1, 1), (1, 2), (2, 1), (4, 1)}
+    assert set(got) == {(1, 1), (1, 2), (2, 1), (3, 1), (4, 1)}
     first, second = got[1, 1], got[1, 2]
     assert (first.leaf, second.leaf) == (5, 4)
     assert chat.read_turns(first.formatted) == [("user", "root"), ("assistant", "bad"), ("", "")]
@@ -340,7 +340,29 @@ def test_reply_trees(spark):
     loss = [second.formatted[s.start:s.end] for s in second.loss_spans]
     assert [chat.unescaped(x) for x in loss] == ["good </s>"]
     best = chat.format_trees(messages, most_branches=1)
-    assert {(r.conv_id, r.leaf) for r in best.collect()} == {(1, 5), (2, 1), (4, 9)}
+    assert {(r.conv_id, r.leaf) for r in best.collect()} == {(1, 5), (2, 1), (3, 2), (4, 9)}
+
+
+def test_circles_repeats_and_ties(spark):
+    rows = [(1, i, i - 1 if i else 5, "user", f"r{i}", 1.0) for i in range(6)]    # a ring of six
+    rows += [(1, 9, 3, "assistant", "hangs", 1.0), (1, -7, 9, "user", "below", 1.0)]
+    rows += [(2, 4, 4, "user", "itself", 0.0)]
+    rows += [(3, i, i - 1 if i else None, "user", f"c{i}", 0.0) for i in range(5)]
+    rows += [(3, 2, 1, "user", "c2", 0.0), (3, 2, 0, "user", "first", 0.0)]       # one name, three rows
+    rows += [(4, 1, None, "user", "a", 0.0), (4, 3, 1, "user", "x", 1.0), (4, 2, 1, "user", "y", 1.0)]
+    messages = spark.createDataFrame(
+        [(*r, 0, "clash") for r in rows],
+        "conv_id bigint, msg_id bigint, parent_id bigint, role string, text string, score double, branch int, up string")
+    got = Counter(
+        (r.conv_id, r.leaf, " ".join(text for _, text in chat.read_turns(r.formatted)))
+        for r in chat.format_trees(messages).collect())
+    assert got == Counter([
+        (1, 5, "r0 r1 r2 r3 r4 r5"), (1, -7, "r0 r1 r2 r3 hangs below"), (2, 4, "itself"),
+        # The first of the three by parent is replied to, the others are leaves.
+        (3, 4, "c0 first c3 c4"), (3, 2, "c0 c1 c2"), (3, 2, "c0 c1 c2"),
+        (4, 2, "a y"), (4, 3, "a x")])
+    best = chat.format_trees(messages.where("conv_id = 4"), most_branches=1).collect()
+    assert [r.leaf for r in best] == [2]    # equal scores: the smaller leaf
 
 
 def test_messages_without_ids_are_kept(spark):
