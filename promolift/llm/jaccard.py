@@ -18,7 +18,9 @@ leader, a similar pair must share a certain number of differences. That is a
 join of small sets again, found through the first few of their differences,
 those that the fewest sets of the leader have first: hardly any two share these.
 Sets that are connected already need no further link, and lists of differences
-are led before their sets are paired. No two similar sets stay unconnected.
+are led before their sets are paired. Most differences are those of one set: its
+lists are left out once, before any round. Sketches tell most pairs apart before
+their differences are read. No two similar sets stay unconnected.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ import math
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -44,6 +45,8 @@ WIDTH, PERCENT = 3, 90
 BLOCK = 512
 #: Differences of a block that are counted for the profile of its leader.
 PROFILED = 2_000_000
+#: Bits of the sketch of a set of differences.
+SKETCH_BITS = 1024
 CLASS_GROWTH = 1.3
 #: Rows that the subsets of a light set may have for each list it would have as a heavy one.
 MOST_ROWS = 12
@@ -197,7 +200,7 @@ GROUPS = pa.list_(pa.struct([("class", pa.int32()), ("need", pa.int32()), ("sign
 ARROW_SETS = pa.schema([*((name, pa.int64()) for name in ("doc_id", "n", "h1", "h2")), ("groups", GROUPS)])
 ARROW_STARS = pa.schema([
     *((name, pa.int64()) for name in ("leader", "member", "leader_n", "member_n")),
-    ("linked", pa.bool_()), ("differences", LONGS)])
+    ("linked", pa.bool_()), ("differences", LONGS), ("sketch", LONGS)])
 
 
 def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -324,7 +327,17 @@ def star_pairs(sets: DataFrame, classes: DataFrame) -> DataFrame:
 
 STAR_SCHEMA = (
     "leader bigint, member bigint, leader_n bigint, member_n bigint, linked boolean, "
-    "differences array<bigint>")
+    "differences array<bigint>, sketch array<bigint>")
+
+
+def sketch_of(values: np.ndarray) -> np.ndarray:
+    """For each bit, whether an odd number of the values falls on it.
+
+    Where the sketches of two sets differ, the sets differ in at least one value
+    of that bit: never in fewer values than their sketches in bits.
+    """
+    counts = np.bincount((values.view(U) % U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
 def linked_sizes(n1, n2, apart, percent: int):
@@ -336,7 +349,7 @@ def profile_row(leader: int, counted: list[np.ndarray]) -> tuple:
     """The differences that at least two members and one in 64 of them have, the rarest first."""
     elements, times = np.unique(np.concatenate(counted), return_counts=True)
     often = times >= max(2, len(counted) / 64)
-    return leader, None, 0, 0, False, elements[often][np.argsort(times[often], kind="stable")]
+    return leader, None, 0, 0, False, elements[often][np.argsort(times[often], kind="stable")], []
 
 
 def compared(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -381,7 +394,7 @@ def compared(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int,
                 less = np.setdiff1d(head_set, values, assume_unique=True)
                 linked = linked_sizes(len(head_set), len(values), len(more) + len(less), percent)
                 apart = np.concatenate([more, less]).view(np.int64)
-                add(out, (leader, doc, len(head_set), len(values), linked, apart))
+                add(out, (leader, doc, len(head_set), len(values), linked, apart, sketch_of(apart)))
                 if block == 0 and len(apart) <= room:
                     counted.append(apart)
                     room -= len(apart)
@@ -443,16 +456,52 @@ def within(total: Column, percent: int) -> Column:
     return F.floor(total * (100 - percent) / (100 + percent))
 
 
-def pairs_with_heads(posts: DataFrame) -> DataFrame:
-    """``leader, x, y``: the first far set of each list with the list's sets of other components."""
+def in_company(posts: DataFrame) -> DataFrame:
+    """The rows of lists with at least two sets, staged. ``x`` is the latest head, none yet.
+
+    Rows are dealt by ranges, so a long list is spread over tasks. The two ends
+    of a task stay: their lists may go on in another.
+    """
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, stays_anyway = None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            if held is not None:
+                rows = pa.concat_tables([held, rows])
+            leaders, elements = (rows[c].to_numpy() for c in ("leader", "element"))
+            same = (leaders[1:] == leaders[:-1]) & (elements[1:] == elements[:-1])
+            stays = np.append(stays_anyway, same) | np.append(same, False)
+            held, stays_anyway = rows.slice(rows.num_rows - 1), bool(stays[-1])
+            yield from rows.slice(0, rows.num_rows - 1).filter(pa.array(stays[:-1])).to_batches()
+        if held is not None:
+            yield from held.to_batches()
+
+    order = ["leader", "element", "member"]
+    dealt = posts.repartitionByRange(*order).sortWithinPartitions(*order)
+    return staged(dealt.mapInArrow(scan, dealt.schema).withColumn("x", F.lit(None).cast("bigint")), "posts")
+
+
+def live_lists(posts: DataFrame) -> DataFrame:
+    """The lists that hold a far set and several components, staged.
+
+    Each has its first far set as ``x``, and ``fresh`` where that was not its head before.
+    """
     key = ["leader", "element"]
     heads = posts.groupBy(*key).agg(
         F.min(F.when(F.col("far"), F.struct("component", "member"))).alias("head"),
-        F.min("component").alias("first"), F.max("component").alias("last"),
+        F.min("component").alias("first"), F.max("component").alias("last"), F.min("x").alias("earlier"),
     ).where("head is not null and first <> last").select(
-        *key, F.col("head.component").alias("head_component"), F.col("head.member").alias("x"))
-    met = even_join(posts.select(*key, "member", "component"), heads, key, "inner")
-    return met.where("component <> head_component").select("leader", "x", F.col("member").alias("y")).distinct()
+        *key, F.col("head.component").alias("head_component"), F.col("head.member").alias("x"),
+        (~F.col("head.member").eqNullSafe(F.col("earlier"))).alias("fresh"))
+    return staged(even_join(posts.drop("x", "head_component", "fresh"), heads, key, "inner"), "posts")
+
+
+def pairs_with_heads(lists: DataFrame) -> DataFrame:
+    """``leader, x, y``: the new head of each live list with the list's sets of other components."""
+    return lists.where("fresh and component <> head_component").select(
+        "leader", "x", F.col("member").alias("y")).distinct()
 
 
 def pairs_across(posts: DataFrame, percent: int) -> DataFrame:
@@ -475,11 +524,25 @@ def pairs_across(posts: DataFrame, percent: int) -> DataFrame:
 
 
 def similar(pairs: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
-    """``leader, member``: those of the pairs that are similar, by their differences from one leader."""
-    side = lambda name: stars.select(
-        "leader", F.col("member").alias(name), F.col("member_n").alias(f"{name}_n"),
-        F.col("differences").alias(f"{name}_differences"))
-    both = pairs.join(side("x"), ["leader", "x"]).join(side("y"), ["leader", "y"])
+    """``leader, member``: those of the pairs that are similar, by their differences from one leader.
+
+    Pairs whose sketches already differ in too many bits are left out first, so
+    only the differences of the others are moved.
+    """
+    def side(name: str, what: str) -> DataFrame:
+        return stars.select(
+            "leader", F.col("member").alias(name), F.col("member_n").alias(f"{name}_n"),
+            F.col(what).alias(f"{name}_{what}"))
+
+    sketched = pairs.join(side("x", "sketch"), ["leader", "x"]).join(side("y", "sketch"), ["leader", "y"])
+    unlike = F.aggregate(
+        F.zip_with("x_sketch", "y_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    possible = staged(sketched.where(linked_sizes(F.col("x_n"), F.col("y_n"), unlike, percent)).select(
+        "leader", "x", "y"), "pairs")
+    wanted = possible.select("leader", F.explode(F.array("x", "y")).alias("member")).distinct()
+    stars = staged(stars.select("leader", "member", "member_n", "differences").join(
+        wanted, ["leader", "member"], "left_semi"), "wanted")
+    both = possible.join(side("x", "differences"), ["leader", "x"]).join(side("y", "differences"), ["leader", "y"])
     shared = F.size(F.array_intersect("x_differences", "y_differences"))
     apart = F.size("x_differences") + F.size("y_differences") - 2 * shared
     return both.where(linked_sizes(F.col("x_n"), F.col("y_n"), apart, percent)).select(
@@ -490,6 +553,12 @@ def similar(pairs: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
 HEAD_ROUNDS = 3
 
 
+def relabelled(posts: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists with the components that the links now connect."""
+    joined = even_join(posts.drop("component"), labels.withColumnRenamed("rep", "member"), ["member"], "left")
+    return joined.withColumn("component", F.coalesce("component", "member"))
+
+
 def connected(stars: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links that connect all similar sets, and the component of each linked set.
 
@@ -497,20 +566,33 @@ def connected(stars: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     no link connects them yet, so the rows of a group of near copies fall out as
     soon as their group holds together. Lists of differences are led like the
     lists before: their first far set is compared with the sets of other
-    components. Only what several such rounds leave apart is paired.
+    components, unless it was in the round before. Only what several such rounds
+    leave apart is paired.
     """
+    spark = stars.sparkSession
     links = staged(stars.where("linked").select("leader", "member").distinct(), "links")
     labels = components(links)
-    rounds = [pairs_with_heads] * HEAD_ROUNDS + [partial(pairs_across, percent=percent)]
-    while rounds:
-        pairs = rounds.pop(0)(postings(stars, labels, percent))
+    posts = in_company(postings(stars, labels, percent))
+
+    def joined_by(pairs: DataFrame) -> bool:
+        nonlocal links, labels
         found = staged(similar(pairs, stars, percent).distinct(), "links")
-        if not found.isEmpty():
-            links = staged(links.unionByName(found).distinct(), "links")
-            labels = components(links)
-        else:
-            # With the same components the heads would be the same again.
-            del rounds[:-1]
+        if found.isEmpty():
+            return False
+        links = staged(links.unionByName(found).distinct(), "links")
+        labels = components(links)
+        return True
+
+    for _ in range(HEAD_ROUNDS):
+        lists = live_lists(posts)
+        discard(spark, posts)
+        posts = lists
+        if not joined_by(pairs_with_heads(posts)):
+            break
+        lists = staged(relabelled(posts, labels), "posts")
+        discard(spark, posts)
+        posts = lists
+    joined_by(pairs_across(posts, percent))
     return links, labels
 
 

@@ -454,3 +454,13 @@ def test_wavelet_file_is_read_without_unpacking(docs):
         docs_in, lengths, matrix = token_files.open_file(bytes(row.file))
         assert matrix.count(2) >= len(docs_in) == row.n_docs and lengths.sum() == row.n_tokens == matrix.size
         assert matrix.access(int(lengths[0]) - 1) == 2
+
+
+def test_lists_of_one_set_leave_before_the_rounds(spark):
+    alone = [(1, 1000 + i, i) for i in range(2000)]
+    lists = [(1, 7, i) for i in range(50)] + [(2, 7, 3), (2, 8, 3), (2, 8, 4)]
+    posts = spark.createDataFrame(alone + lists, "leader long, element long, member long")
+    left = {(r.leader, r.element, r.member) for r in jaccard.in_company(posts).collect()}
+    assert {row for row in lists if row[:2] != (2, 7)} <= left
+    # Only the ends of tasks may stay alone.
+    assert len(left) <= 52 + 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))

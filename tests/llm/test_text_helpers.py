@@ -223,3 +223,12 @@ def test_importance_overrules_names():
     paths, texts = [p for p, _ in found], [t for _, t in found]
     assert html.main_text(paths, texts, set()) == "a b c d"
     assert html.main_text(paths, texts, set(), {paths[0]}) == "One two\na b c d"
+
+
+def test_sketches_never_differ_in_more_bits_than_their_sets():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 40, 400, 4000):
+        common = rng.integers(-2**63, 2**63, 300)
+        one, two = (np.concatenate([common, rng.integers(-2**63, 2**63, n)]) for _ in range(2))
+        bits = np.bitwise_count((jaccard.sketch_of(one) ^ jaccard.sketch_of(two)).view(np.uint64)).sum()
+        assert bits <= 2 * n and (bits >= n / 2 or n > 400)
