@@ -15,6 +15,7 @@ scores by rank; the search maximises their sum, which is not the same as merging
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -41,6 +42,13 @@ class Vocabulary:
         self.longest = max(map(len, pieces))
         self.prefixes = {piece[:n] for piece in pieces for n in range(1, len(piece) + 1)}
         self.unknown = min(score for _, score in pieces.values()) - PENALTY
+        self.branches: dict[str, list] = {}
+        for piece, (i, score) in pieces.items():
+            branches = self.branches
+            for character in piece:
+                node = branches.setdefault(character, [{}, UNKNOWN, 0.0])
+                branches = node[0]
+            node[1:] = i, score
         self.splits_words = not any(MARK in piece.lstrip(MARK) for piece in pieces)
         self.words: dict[str, bytes] = {}
         size = max([i for i, _ in pieces.values()] + byte_ids) + 1
@@ -125,7 +133,43 @@ class Vocabulary:
             at += 1
         yield path(at)
 
+    def _searched(self, text: str) -> bytes:
+        """As :meth:`search` for a text that is short enough to be kept whole.
+
+        ``branches`` leads from a character to the pieces that go on with it, the
+        id of the piece that ends there (or UNKNOWN) and its score.
+        """
+        n, unknown = len(text), self.unknown
+        score, back, piece = [0.0] + [float("-inf")] * n, [0] * (n + 1), [0] * (n + 1)
+        for at in range(n):
+            here, stop, branches, single = score[at], at, self.branches, False
+            for character in text[at:at + self.longest]:
+                node = branches.get(character)
+                if node is None:
+                    break
+                stop += 1
+                branches, found, gain = node
+                if found != UNKNOWN:
+                    if stop == at + 1:
+                        single = True
+                    if here + gain > score[stop]:
+                        score[stop], back[stop], piece[stop] = here + gain, at, found
+            if not single and here + unknown > score[at + 1]:
+                score[at + 1], back[at + 1], piece[at + 1] = here + unknown, at, UNKNOWN
+        ids: list[int] = []
+        while n:
+            start = back[n]
+            if piece[n] == UNKNOWN:
+                ids.extend(reversed(self._bytes_for(text[start:n])))
+            else:
+                ids.append(piece[n])
+            n = start
+        ids.reverse()
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _encoded(self, text: str) -> bytes:
+        if len(text) <= PART:
+            return self._searched(text)
         parts = (text[at:at + PART] for at in range(0, len(text), PART))
         return b"".join(np.array(ids, "<u4").tobytes() for ids in self.search(parts))
 

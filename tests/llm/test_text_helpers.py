@@ -232,3 +232,10 @@ def test_sketches_never_differ_in_more_bits_than_their_sets():
         one, two = (np.concatenate([common, rng.integers(-2**63, 2**63, n)]) for _ in range(2))
         bits = np.bitwise_count((jaccard.sketch_of(one) ^ jaccard.sketch_of(two)).view(np.uint64)).sum()
         assert bits <= 2 * n and (bits >= n / 2 or n > 400)
+
+
+def test_a_short_text_is_searched_as_a_long_one():
+    tool = pieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    for text in ("▁", "▁word", "▁ünïcode☃x", "▁" + "ab" * 200, "x\U0001f600y"):
+        long = b"".join(np.array(ids, "<u4").tobytes() for ids in tool.search([text]))
+        assert tool._searched(text) == long
