@@ -18,17 +18,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promolift.functions.joins import even_join
-from promolift.llm.common import WHITE_CLASS, staged, whole_text
+from promolift.llm.common import WHITE_BYTES, staged, whole_text
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 BATCHES, FAN_IN = 8, 4
 KEY = ["h1", "h2"]
 
 
-def key_of(line: Column) -> Column:
-    """The line without white space at its ends, A to Z in lower case."""
-    trimmed = F.regexp_replace(line, rf"^{WHITE_CLASS}+|{WHITE_CLASS}+$", "")
-    return F.translate(trimmed, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def trimmed_lines(text: Column) -> Column:
+    """The lines of a text without white space at their ends."""
+    return F.transform(F.split(text, "\n", -1), lambda line: F.btrim(line, F.lit(WHITE_BYTES.decode())))
+
+
+def lowered(line: Column) -> Column:
+    """A to Z in lower case. Where no other letters are, the general way does that and is faster."""
+    plain = F.octet_length(line) == F.length(line)
+    return F.when(plain, F.lower(line)).otherwise(
+        F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def line_keys(rows: DataFrame) -> DataFrame:
@@ -38,9 +44,10 @@ def line_keys(rows: DataFrame) -> DataFrame:
     """
     lines = rows.select(
         "doc_id", F.xxhash64("text").alias("mark"),
-        F.posexplode(F.split(whole_text(), "\n", -1)).alias("place", "line"))
-    keyed = lines.select("doc_id", "mark", (F.col("place") + 1).alias("place"), key_of(F.col("line")).alias("key"))
-    return keyed.where(F.length("key") >= LEAST_CHARS).select(
+        F.posexplode(trimmed_lines(whole_text())).alias("place", "line"))
+    keyed = lines.where(F.length("line") >= LEAST_CHARS).select(
+        "doc_id", "mark", (F.col("place") + 1).alias("place"), lowered(F.col("line")).alias("key"))
+    return keyed.select(
         "doc_id", "mark", "place",
         F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
@@ -102,9 +109,8 @@ def batched_runs(docs: DataFrame, batches: int) -> list[DataFrame]:
     batch = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(number)
     # A key counts once for each document.
     keys = docs.select("doc_id", "text").withColumn(
-        "keys", F.array_distinct(F.filter(
-            F.transform(F.split(whole_text(), "\n", -1), key_of),
-            lambda key: F.length(key) >= LEAST_CHARS)))
+        "keys", F.array_distinct(F.transform(
+            F.filter(trimmed_lines(whole_text()), lambda line: F.length(line) >= LEAST_CHARS), lowered)))
     rows = keys.select("doc_id", batch.alias("batch"), F.explode("keys").alias("key")).select(
         "batch", "doc_id", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     runs = rows.groupBy("batch", *KEY).agg(

@@ -464,3 +464,13 @@ def test_lists_of_one_set_leave_before_the_rounds(spark):
     assert {row for row in lists if row[:2] != (2, 7)} <= left
     # Only the ends of tasks may stay alone.
     assert len(left) <= 52 + 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_keys_of_lines_before_a_separator_of_other_kind(spark):
+    from promolift.llm.line_dedup import LEAST_CHARS, line_dedup
+    line = "ÀB line that is long enough to count" + "x" * LEAST_CHARS
+    # A line separator is no white space here: what stands before it belongs to the key.
+    rows = [(1, line + " \u2028"), (2, line + " \u2028"), (3, line + "\u2028"), (4, " " + line.replace("AB", "ab") + " \u2028\t")]
+    got = {r.doc_id: r.n_dropped for r in line_dedup(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0}
