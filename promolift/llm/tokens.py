@@ -5,11 +5,18 @@ of a text are the ids of its words in order. Words come back often and encoding
 costs far more than a lookup: each Python worker keeps the ids of the words it
 has met. A text whose white space is not of the plain kind, or that holds a string
 with an id of its own such as ``<|endoftext|>``, is encoded as a whole.
+
+Most new words are Latin letters with ASCII marks behind them. What the library does
+to such a word before its merges is known, and takes most of its time. So a second
+instance of it, without these steps, gets the letters and the marks as they are then.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +27,34 @@ LONGEST_KEPT = 64
 TOGETHER = 64
 
 
+#: Letters that every step treats alike whatever stands beside them, then marks.
+LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
+PLAIN_WORD = re.compile(f" ?{LETTERS}+{MARKS}*")
+BEFORE_MARKS = re.compile(f"(?<={LETTERS})(?={MARKS})")
+#: The steps before the merges under which plain words can be prepared here.
+KNOWN_STEPS = {
+    "kept": (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+    "dropped": (
+        {"type": "Sequence", "normalizers": [
+            {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+            {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+             "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}),
+}
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [byte for byte in range(256) if byte not in own]
+    return {byte: chr(byte) for byte in own} | {byte: chr(256 + i) for i, byte in enumerate(others)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
 class Encoder:
     """``spaces``: "kept" for byte-level vocabularies, where a word owns the space before
     it; "dropped" for word vocabularies, where white space has no ids."""
@@ -37,6 +72,18 @@ class Encoder:
         # A separator is one id that no word holds.
         self.separator = "\n" if self.kept else " \x01 "
         self.separator_id = self._library(self.separator.strip(" "))[0]
+        # The library without the steps before the merges, where those are known.
+        self.merges = None
+        steps = json.loads(self.tokenizer.to_str())
+        if (steps["normalizer"], steps["pre_tokenizer"]) == KNOWN_STEPS[spaces]:
+            from tokenizers.pre_tokenizers import WhitespaceSplit
+
+            self.merges = Tokenizer.from_file(path)
+            self.merges.normalizer = None
+            self.merges.pre_tokenizer = WhitespaceSplit()
+            # Line feeds are put between plain words, vertical tabs before their marks.
+            self.prepared = BYTE_LETTERS | {
+                0x0A: f" {BYTE_LETTERS[ord(self.separator.strip(' '))]} ", 0x0B: " "}
 
     def _library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -55,29 +102,52 @@ class Encoder:
             return None
         return ("\n" + text).replace("\n", " \n").split(" ")[1:]
 
+    def _whole(self, texts: list[str]) -> str:
+        return self.separator.join(texts)
+
+    def _as_before_merges(self, texts: list[str]) -> str:
+        """Plain words as all steps before the merges leave them, white space where they split."""
+        text = BEFORE_MARKS.sub("\x0b", "\n".join(texts))
+        if not self.kept:
+            text = text.lower()
+        return text.encode().decode("latin-1").translate(self.prepared)
+
+    def _separately(self, tokenizer, joined: Callable[[list[str]], str], texts: list[str]) -> list[bytes]:
+        """The ids of each text: several in one call, cut at the ids of the separators."""
+        groups = [texts[i:i + TOGETHER] for i in range(0, len(texts), TOGETHER)]
+        encoded = tokenizer.encode_batch_fast(list(map(joined, groups)), add_special_tokens=False)
+        width, out = self.dtype.itemsize, []
+        for group, one in zip(groups, encoded, strict=True):
+            ids = np.array(one.ids, self.dtype)
+            ends = (np.flatnonzero(ids == self.separator_id) * width).tolist()
+            if len(ends) != len(group) - 1:
+                raise RuntimeError("a text holds the separator")
+            data = ids.tobytes()
+            starts, ends = [0, *[end + width for end in ends]], [*ends, len(data)]
+            out += [data[start:end] for start, end in zip(starts, ends, strict=True)]
+        return out
+
     def _learn(self, keys: list) -> dict:
-        """Encode new words, several in one call, and cut the ids at the separators."""
+        """Encode new words, plain ones by the merges alone."""
         if self.kept:
             texts = [key[1:] if key[0] == "\n" else " " + key for key in keys]
             prefix = [self._bytes([self.separator_id]) if key[0] == "\n" else b"" for key in keys]
         else:
             texts, prefix = [key.decode() for key in keys], [b""] * len(keys)
         own = self.separator.strip(" ")
-        plain = [i for i, text in enumerate(texts) if text and own not in text]
-        found = {keys[i]: prefix[i] + self._bytes(self._library(texts[i]))
-                 for i, text in enumerate(texts) if not text or own in text}
-        groups = [plain[i:i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
-        encoded = self.tokenizer.encode_batch_fast(
-            [self.separator.join(texts[i] for i in group) for group in groups],
-            add_special_tokens=False)
-        width = self.dtype.itemsize
-        for group, one in zip(groups, encoded, strict=True):
-            ids = np.array(one.ids, self.dtype)
-            ends = (np.flatnonzero(ids == self.separator_id) * width).tolist()
-            data = ids.tobytes()
-            starts, ends = [0, *[end + width for end in ends]], [*ends, len(data)]
-            for i, start, end in zip(group, starts, ends, strict=True):
-                found[keys[i]] = prefix[i] + data[start:end]
+        plain, others, found = [], [], {}
+        for i, text in enumerate(texts):
+            if self.merges is not None and PLAIN_WORD.fullmatch(text):
+                plain.append(i)
+            elif text and own not in text:
+                others.append(i)
+            else:
+                found[keys[i]] = prefix[i] + self._bytes(self._library(text))
+        for places, tokenizer, joined in (
+                (plain, self.merges, self._as_before_merges), (others, self.tokenizer, self._whole)):
+            if places:
+                cut = self._separately(tokenizer, joined, [texts[i] for i in places])
+                found.update((keys[i], prefix[i] + data) for i, data in zip(places, cut, strict=True))
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -239,3 +239,25 @@ def test_a_short_text_is_searched_as_a_long_one():
     for text in ("▁", "▁word", "▁ünïcode☃x", "▁" + "ab" * 200, "x\U0001f600y"):
         long = b"".join(np.array(ids, "<u4").tobytes() for ids in tool.search([text]))
         assert tool._searched(text) == long
+
+
+@pytest.mark.parametrize(("name", "spaces"), [("word_bpe_49k.json", "dropped"), ("byte_bpe_50k.json", "kept")])
+def test_plain_words_need_the_merges_alone(name, spaces):
+    tool = tokens.Encoder(public_tokenizers.path(name), spaces)
+    texts = ["Naïve çà, ÀÉ!! Straße?! a--b <x> d' e''s 'tis foo_bar ÿ~ x²", "Only ASCII words, here; and HERE.\nNew line"]
+    expected = [tool._bytes(tool._library(text)) for text in texts]
+    assert tool.encode(texts) == expected
+    words = ["Lyat,", "çà!!", "HERE"] if spaces == "dropped" else [" Lyat,", " çà!!", " HERE"]
+    whole = [tool._bytes(tool._library(word)) for word in words]
+    assert tool._separately(tool.merges, tool._as_before_merges, words) == whole
+
+
+def test_other_steps_before_the_merges_are_left_to_the_library(tmp_path):
+    import json
+    steps = json.loads(open(public_tokenizers.path("byte_bpe_50k.json")).read())
+    steps["normalizer"] = {"type": "Lowercase"}
+    path = tmp_path / "lower.json"
+    path.write_text(json.dumps(steps))
+    tool = tokens.Encoder(str(path), "kept")
+    assert tool.merges is None
+    assert tool.encode(["Some Words, HERE"]) == [tool._bytes(tool._library("some words, here"))]
