@@ -19,14 +19,17 @@ join of small sets again, found through the first few of their differences,
 those that the fewest sets of the leader have first: hardly any two share these.
 Sets that are connected already need no further link, and lists of differences
 are led before their sets are paired. Most differences are those of one set: its
-lists are left out once, before any round. Sketches tell most pairs apart before
-their differences are read. No two similar sets stay unconnected.
+lists are left out once, before any round. So is a set in a list whose place there
+already shows that it differs too much from all others of the list. Sketches tell
+most pairs apart before their differences are read. No two similar sets stay
+unconnected.
 """
 
 from __future__ import annotations
 
 import math
 import os
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -432,7 +435,9 @@ def postings(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     them shares one among the first |D| - s + 1 of either, at places after which
     s are still possible. ``far`` rows belong to sets that are not similar to
     their leader; every pair that is looked for has one of those. ``component``
-    is what the links found so far connect.
+    is what the links found so far connect. ``reach`` is the most differences
+    that a similar set can have whose first shared difference is this one: no
+    more than d - place are shared then.
     """
     d = F.size("differences")
     most = within(F.col("member_n") + F.least("leader_n", F.floor(F.col("member_n") * 100 / percent)), percent)
@@ -441,14 +446,16 @@ def postings(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     rows = even_join(stars, labels.withColumnRenamed("rep", "member"), ["member"]).select(
         "leader", "member", "member_n", (~F.col("linked")).alias("far"), d.alias("d"), "differences",
         F.coalesce("component", "member").alias("component"), least_far.alias("least_far"),
-        F.when(F.col("linked"), half).otherwise(F.greatest(half, least_far)).alias("least_near"))
+        F.when(F.col("linked"), half).otherwise(F.greatest(half, least_far)).alias("least_near"),
+        (d + most).alias("reach_of_first"))
     share = F.when(F.col("far"), F.least("least_far", "least_near")).otherwise(F.col("least_near"))
     cut = rows.select("*", F.posexplode(
         F.slice("differences", F.lit(1), (F.col("d") - share + 1).cast("int"))).alias("place", "element"))
     return cut.select(
         "leader", "element", "member", "member_n", "far", "d", "place", "component",
         (F.col("far") & (F.col("place") <= F.col("d") - F.col("least_far"))).alias("asks"),
-        (F.col("place") <= F.col("d") - F.col("least_near")).alias("answers"))
+        (F.col("place") <= F.col("d") - F.col("least_near")).alias("answers"),
+        (F.col("reach_of_first") - 2 * F.col("place")).alias("reach"))
 
 
 def within(total: Column, percent: int) -> Column:
@@ -456,11 +463,70 @@ def within(total: Column, percent: int) -> Column:
     return F.floor(total * (100 - percent) / (100 + percent))
 
 
-def in_company(posts: DataFrame) -> DataFrame:
+def with_partner(rows: list[tuple]) -> list[bool]:
+    """Which (d, reach, component, asks, answers) rows of one list have another there to be paired with.
+
+    Of two rows one asks and one answers, their components differ, and neither
+    has more differences than the other reaches. For each row the rows within its
+    reach are the first by d; of these only the two components that reach furthest matter.
+    """
+    has = [False] * len(rows)
+    by_d = sorted(range(len(rows)), key=lambda i: rows[i][0])
+    for role, other in ((3, 4), (4, 3)):
+        sizes, furthest = [], []
+        most, owner, next_most = -1, None, -1
+        for i in by_d:
+            d, reach, component = rows[i][:3]
+            if not rows[i][other]:
+                continue
+            if component == owner:
+                most = max(most, reach)
+            elif reach > most:
+                most, owner, next_most = reach, component, most
+            else:
+                next_most = max(next_most, reach)
+            sizes.append(d)
+            furthest.append((most, owner, next_most))
+        for i, row in enumerate(rows):
+            within_reach = bisect_right(sizes, row[1]) if row[role] else 0
+            if within_reach:
+                most, owner, next_most = furthest[within_reach - 1]
+                has[i] |= (next_most if owner == row[2] else most) >= row[0]
+    return has
+
+
+def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of whole lists that have a partner; all of the first and the last list."""
+    held, last, first = [], None, True
+    for batch in batches:
+        leaders, elements = (batch.column(c).to_numpy() for c in ("leader", "element"))
+        changes = (leaders[1:] != leaders[:-1]) | (elements[1:] != elements[:-1])
+        begins = np.flatnonzero(np.append(last not in (None, (leaders[0], elements[0])), changes))
+        last = leaders[-1], elements[-1]
+        if len(begins):
+            rows = pa.Table.from_batches([*held, batch.slice(0, begins[-1])], batch.schema)
+            columns = [rows[c].to_pylist() for c in ("d", "reach", "component", "asks", "answers")]
+            ends = begins + (rows.num_rows - begins[-1])
+            stays: list[bool] = []
+            for start, end in zip([0, *ends[:-1]], ends, strict=True):
+                stays += [True] * (end - start) if first else with_partner(
+                    list(zip(*(column[start:end] for column in columns), strict=True)))
+                first = False
+            yield from rows.filter(pa.array(stays, pa.bool_())).to_batches()
+            held, batch = [], batch.slice(begins[-1])
+        if first:
+            yield batch
+        else:
+            held.append(batch)
+    yield from held
+
+
+def in_company(posts: DataFrame, pairable: bool = False) -> DataFrame:
     """The rows of lists with at least two sets, staged. ``x`` is the latest head, none yet.
 
     Rows are dealt by ranges, so a long list is spread over tasks. The two ends
-    of a task stay: their lists may go on in another.
+    of a task stay: their lists may go on in another. With ``pairable`` a row
+    also leaves a list in which no other can be similar to it.
     """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, stays_anyway = None, True
@@ -480,7 +546,8 @@ def in_company(posts: DataFrame) -> DataFrame:
 
     order = ["leader", "element", "member"]
     dealt = posts.repartitionByRange(*order).sortWithinPartitions(*order)
-    return staged(dealt.mapInArrow(scan, dealt.schema).withColumn("x", F.lit(None).cast("bigint")), "posts")
+    kept = dealt.mapInArrow((lambda batches: partnered(scan(batches))) if pairable else scan, dealt.schema)
+    return staged(kept.withColumn("x", F.lit(None).cast("bigint")), "posts")
 
 
 def live_lists(posts: DataFrame) -> DataFrame:
@@ -572,7 +639,7 @@ def connected(stars: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     spark = stars.sparkSession
     links = staged(stars.where("linked").select("leader", "member").distinct(), "links")
     labels = components(links)
-    posts = in_company(postings(stars, labels, percent))
+    posts = in_company(postings(stars, labels, percent), pairable=True)
 
     def joined_by(pairs: DataFrame) -> bool:
         nonlocal links, labels

@@ -474,3 +474,63 @@ def test_keys_of_lines_before_a_separator_of_other_kind(spark):
     got = {r.doc_id: r.n_dropped for r in line_dedup(
         spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
+def test_sets_without_a_partner_leave_their_lists(spark):
+    """Also where lists go on over batches and tasks: whoever has a partner stays."""
+    def pairable(one, two):
+        return (one.component != two.component and (one.asks and two.answers or one.answers and two.asks)
+                and one.d <= two.reach and two.d <= one.reach)
+
+    rng = random.Random(5)
+    names = "leader long, element long, member long, d int, reach long, component long, asks boolean, answers boolean"
+    rows = []
+    for element, size in enumerate([*(rng.randint(1, 9) for _ in range(600)), 700]):
+        for member in range(size):
+            d = rng.randint(1, 60)
+            rows.append((element % 2, element, member, d, d + rng.randint(-25, 4), rng.randint(1, 3),
+                         rng.random() < 0.5, rng.random() < 0.5))
+    posts = spark.createDataFrame(rows, names)
+    lists = {}
+    for row in posts.collect():
+        lists.setdefault((row.leader, row.element), []).append(row)
+    wanted = {(r.leader, r.element, r.member) for rows in lists.values() for r in rows if any(pairable(r, s) for s in rows)}
+    assert 0 < len(wanted) < len(rows) / 2
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        left = [(r.leader, r.element, r.member) for r in jaccard.in_company(posts, pairable=True).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert wanted <= set(left) and len(left) == len(set(left))
+    small = {row for row in left if row[1] < 600}
+    # Only the lists at the ends of tasks stay whole.
+    assert len(small - wanted) <= 9 * 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one_task = jaccard.in_company(posts.where("leader = 0").coalesce(1), pairable=True)
+    assert wanted & {(0, e, m) for _, e, m in left} <= {(r.leader, r.element, r.member) for r in one_task.collect()}
+
+
+def test_few_rows_of_lists_go_through_the_rounds(spark):
+    """Sets that share much with one leader, mostly too little with each other: all similar pairs are found."""
+    rng = random.Random(3)
+    whole, sets = frozenset(range(100)), []
+    for _ in range(60):
+        # Some of the leader's shingles give way to those of another set or to new ones.
+        gone = rng.sample(range(100), rng.randint(8, 30))
+        new = {1000 * rng.randrange(3) + x if rng.random() < 0.7 else rng.randrange(10**4, 10**9) for x in gone}
+        sets.append(whole - set(gone) | new)
+    sets += [s - {min(s)} | {10**9 + i} for i, s in enumerate(sets[:20])]
+
+    def alike(one, two):
+        return 100 * len(one & two) >= 80 * len(one | two)
+
+    stars = [(0, i + 1, len(s), 100, alike(s, whole), sorted(s ^ whole)) for i, s in enumerate(sets)]
+    posts = jaccard.postings(
+        spark.createDataFrame(stars, "leader long, member long, member_n long, leader_n long, linked boolean, "
+                                     "differences array<long>"),
+        spark.createDataFrame([], "rep long, component long"), 80).localCheckpoint()
+    kept = jaccard.in_company(posts, pairable=True)
+    similar = {(x, y) for x in range(1, 81) for y in range(x + 1, 81)
+               if not (stars[x - 1][4] and stars[y - 1][4]) and alike(sets[x - 1], sets[y - 1])}
+    found = {(min(r.x, r.y), max(r.x, r.y)) for r in jaccard.pairs_across(kept, 80).collect()}
+    assert len(similar) >= 10 and similar <= found
+    assert 4 * kept.count() < 3 * jaccard.in_company(posts).count()
