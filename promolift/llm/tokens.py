@@ -27,6 +27,8 @@ LONGEST_KEPT = 64
 TOGETHER = 64
 
 
+#: White space other than spaces and line feeds.
+OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 #: Letters that every step treats alike whatever stands beside them, then marks.
 LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
 PLAIN_WORD = re.compile(f" ?{LETTERS}+{MARKS}*")
@@ -98,9 +100,11 @@ class Encoder:
         """
         if not self.kept:
             return text.encode().split()
-        if " ".join(text.split()) != text.replace("\n", " "):
+        if any(space in text for space in OTHER_SPACES):
             return None
-        return ("\n" + text).replace("\n", " \n").split(" ")[1:]
+        keys = ("\n" + text).replace("\n", " \n").split(" ")[1:]
+        # White space beside white space or at an end leaves a key without a word.
+        return None if "" in keys or "\n" in keys else keys
 
     def _whole(self, texts: list[str]) -> str:
         return self.separator.join(texts)
@@ -154,24 +158,27 @@ class Encoder:
         """The ids of each text as little-endian numbers of type ``dtype``."""
         plans = [self._parts(text) if text and not any(own in text for own in self.own_ids)
                  else None if text else [] for text in texts]
-        needed = set().union(*(plan for plan in plans if plan))
-        new = [key for key in needed if key not in self.words]
+        known = self.words.get
+        found = [list(map(known, plan)) if plan else [] for plan in plans]
+        # Places of words not met before.
+        gaps = [[i for i, data in enumerate(parts) if data is None] if None in parts else [] for parts in found]
+        new = list({plan[i] for plan, places in zip(plans, gaps, strict=True) for i in places})
+        learned = self._learn(new) if new else {}
+        for plan, parts, places in zip(plans, found, gaps, strict=True):
+            for i in places:
+                parts[i] = learned[plan[i]]
         if len(self.words) + len(new) > MOST_WORDS:
             self.words.clear()
-            new = list(needed)
-        words = self.words
-        learned = self._learn(new) if new else {}
-        if len(new) <= MOST_WORDS and not any(len(key) > LONGEST_KEPT for key in new):
-            words.update(learned)
+        if len(new) <= MOST_WORDS and max(map(len, new), default=0) <= LONGEST_KEPT:
+            self.words.update(learned)
         else:
-            words.update((k, v) for k, v in learned.items() if len(k) <= LONGEST_KEPT)
-            words = words | learned
+            self.words.update((k, v) for k, v in learned.items() if len(k) <= LONGEST_KEPT)
         first = self.dtype.itemsize if self.kept else 0
         return [
             b"" if not text
             else self._bytes(self._library(text)) if plan is None
-            else b"".join(map(words.__getitem__, plan))[first:]
-            for text, plan in zip(texts, plans, strict=True)
+            else b"".join(parts)[first:]
+            for text, plan, parts in zip(texts, plans, found, strict=True)
         ]
 
 

@@ -261,3 +261,40 @@ def test_other_steps_before_the_merges_are_left_to_the_library(tmp_path):
     tool = tokens.Encoder(str(path), "kept")
     assert tool.merges is None
     assert tool.encode(["Some Words, HERE"]) == [tool._bytes(tool._library("some words, here"))]
+
+
+@pytest.mark.parametrize("path,spaces", [("byte_bpe_50k.json", "kept"), ("word_bpe_49k.json", "dropped")])
+def test_words_are_looked_up_once(path, spaces):
+    class Counted(dict):
+        lookups = 0
+
+        def get(self, key):
+            self.lookups += 1
+            return super().get(key)
+
+        def __contains__(self, key):
+            self.lookups += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            self.lookups += 1
+            return super().__getitem__(key)
+
+    encoder = tokens.Encoder(public_tokenizers.path(path), spaces)
+    encoder.words = Counted()
+    texts = ["some words and some more\nwords again", "and again, words"]
+    first = encoder.encode(texts)
+    assert encoder.words.lookups == sum(len(text.split()) for text in texts)
+    assert encoder.encode(texts) == first and encoder.words.lookups == 2 * sum(len(text.split()) for text in texts)
+
+
+def test_texts_with_white_space_of_other_kinds_are_encoded_as_a_whole():
+    every = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    assert sorted([*tokens.OTHER_SPACES, " ", "\n"]) == every
+    encoder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), "kept")
+    texts = [f"{a}one{b}{c}two{d}" for a in ("", " ", "\n") for b in every for c in ("", " ", "\n", "\t") for d in ("", " ", "\n")]
+    for text in texts:
+        plain = " ".join(text.split()) == text.replace("\n", " ")
+        assert (encoder._parts(text) is not None) == plain
+    whole = [np.array(encoder._library(text), encoder.dtype).tobytes() for text in texts]
+    assert encoder.encode(texts) == whole
