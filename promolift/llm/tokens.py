@@ -133,25 +133,29 @@ class Encoder:
 
     def _learn(self, keys: list) -> dict:
         """Encode new words, plain ones by the merges alone."""
-        if self.kept:
-            texts = [key[1:] if key[0] == "\n" else " " + key for key in keys]
-            prefix = [self._bytes([self.separator_id]) if key[0] == "\n" else b"" for key in keys]
-        else:
-            texts, prefix = [key.decode() for key in keys], [b""] * len(keys)
         own = self.separator.strip(" ")
-        plain, others, found = [], [], {}
-        for i, text in enumerate(texts):
-            if self.merges is not None and PLAIN_WORD.fullmatch(text):
-                plain.append(i)
+        # A line feed before a word is encoded apart from it.
+        line = self._bytes([self.separator_id]) if self.kept else b""
+        plain: tuple[list, list] = [], []
+        others: tuple[list, list] = [], []
+        found = {}
+        is_plain = PLAIN_WORD.fullmatch if self.merges is not None else lambda text: None
+        for key in keys:
+            text = key.decode() if not self.kept else key[1:] if key[0] == "\n" else " " + key
+            if is_plain(text):
+                plain[0].append(key)
+                plain[1].append(text)
             elif text and own not in text:
-                others.append(i)
+                others[0].append(key)
+                others[1].append(text)
             else:
-                found[keys[i]] = prefix[i] + self._bytes(self._library(text))
-        for places, tokenizer, joined in (
+                found[key] = self._bytes(self._library(text))
+        for (those, texts), tokenizer, joined in (
                 (plain, self.merges, self._as_before_merges), (others, self.tokenizer, self._whole)):
-            if places:
-                cut = self._separately(tokenizer, joined, [texts[i] for i in places])
-                found.update((keys[i], prefix[i] + data) for i, data in zip(places, cut, strict=True))
+            if those:
+                found.update(zip(those, self._separately(tokenizer, joined, texts), strict=True))
+        if self.kept:
+            found.update([(key, line + found[key]) for key in keys if key[0] == "\n"])
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
