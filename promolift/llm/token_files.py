@@ -45,7 +45,8 @@ class WaveletMatrix:
             planes.append(plane)
             ranks.append(np.concatenate([[0], np.cumsum(counts)]).astype("<u4"))
             zeros.append(int(len(values) - ranks[-1][-1]))
-            values = np.concatenate([values[~ones], values[ones]])
+            # By places: where ones and zeros mix, masks mislead the processor at every other one.
+            values = np.concatenate([values.take(np.flatnonzero(~ones)), values.take(np.flatnonzero(ones))])
         return cls(int(values.size), planes, zeros, ranks)
 
     def to_bytes(self) -> bytes:

@@ -9,6 +9,10 @@ with an id of its own such as ``<|endoftext|>``, is encoded as a whole.
 Most new words are Latin letters with ASCII marks behind them. What the library does
 to such a word before its merges is known, and takes most of its time. So a second
 instance of it, without these steps, gets the letters and the marks as they are then.
+
+Where white space has no ids, words are also cut before their marks and share the ids of
+their lower-case form, and the words of many texts are numbered by Arrow at once: only
+different ones are looked up.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words a worker keeps; it starts anew when they are exceeded.
 MOST_WORDS = 1_000_000
@@ -32,6 +38,7 @@ OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in "
 #: Letters that every step treats alike whatever stands beside them, then marks.
 LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
 PLAIN_WORD = re.compile(f" ?{LETTERS}+{MARKS}*")
+LETTERS_ALONE = re.compile(f"{LETTERS}+")
 BEFORE_MARKS = re.compile(f"(?<={LETTERS})(?={MARKS})")
 #: The steps before the merges under which plain words can be prepared here.
 KNOWN_STEPS = {
@@ -57,10 +64,23 @@ def byte_letters() -> dict[int, str]:
 BYTE_LETTERS = byte_letters()
 
 
+def bytes_of(pattern: str) -> np.ndarray:
+    """For each byte whether the pattern takes it as an ASCII character."""
+    return np.array([byte < 128 and bool(re.fullmatch(pattern, chr(byte))) for byte in range(256)])
+
+
+LETTER_BYTES, MARK_BYTES = bytes_of(LETTERS), bytes_of(MARKS)
+#: Second bytes, after 0xC3, of the letters that are not ASCII.
+SECOND_BYTES = np.array([128 <= byte < 192 and byte not in (0x97, 0xB7) for byte in range(256)])
+
+
 class Encoder:
     """``spaces``: "kept" for byte-level vocabularies, where a word owns the space before
     it; "dropped" for word vocabularies, where white space has no ids."""
 
+    #: Characters to encode at once.
+    most_chars = 1 << 21
+
     def __init__(self, path: str, spaces: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -158,6 +178,14 @@ class Encoder:
             found.update([(key, line + found[key]) for key in keys if key[0] == "\n"])
         return found
 
+    def _keep(self, learned: dict) -> None:
+        if len(self.words) + len(learned) > MOST_WORDS:
+            self.words.clear()
+        if len(learned) <= MOST_WORDS and max(map(len, learned), default=0) <= LONGEST_KEPT:
+            self.words.update(learned)
+        else:
+            self.words.update((k, v) for k, v in learned.items() if len(k) <= LONGEST_KEPT)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian numbers of type ``dtype``."""
         plans = [self._parts(text) if text and not any(own in text for own in self.own_ids)
@@ -171,12 +199,7 @@ class Encoder:
         for plan, parts, places in zip(plans, found, gaps, strict=True):
             for i in places:
                 parts[i] = learned[plan[i]]
-        if len(self.words) + len(new) > MOST_WORDS:
-            self.words.clear()
-        if len(new) <= MOST_WORDS and max(map(len, new), default=0) <= LONGEST_KEPT:
-            self.words.update(learned)
-        else:
-            self.words.update((k, v) for k, v in learned.items() if len(k) <= LONGEST_KEPT)
+        self._keep(learned)
         first = self.dtype.itemsize if self.kept else 0
         return [
             b"" if not text
@@ -186,12 +209,94 @@ class Encoder:
         ]
 
 
+class NumberedEncoder(Encoder):
+    """For word vocabularies: Arrow numbers the words of all texts, each different one is
+    looked up once, and the ids are taken by number.
+
+    Words are cut before marks that follow a letter, where the library cuts them too, and
+    ASCII letters are lowered first, as the library does after composing characters.
+    """
+
+    most_chars = 1 << 22
+
+    def __init__(self, path: str):
+        super().__init__(path, "dropped")
+        self.lower_own_ids = [own.encode().lower() for own in self.own_ids]
+        self.model = self.merges.model if self.merges is not None else None
+
+    def _prepared(self, text: str) -> bytes | None:
+        """The text with ASCII letters lowered, or None where it must be encoded as a whole."""
+        data = text.encode()
+        lower = data.lower()
+        if any(own in lower for own in self.lower_own_ids):
+            return None
+        # The combining characters that ASCII letters compose with start with one of these
+        # bytes: a capital letter may have no composed form where the small one has it.
+        return data if b"\xcc" in data or b"\xcd" in data else lower
+
+    @staticmethod
+    def _cut(texts: list[bytes]) -> pa.Array:
+        """The texts with a space between letters and the marks behind them."""
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        letters = LETTER_BYTES[data]
+        letters[1:] |= (data[:-1] == 0xC3) & SECOND_BYTES[data[1:]]
+        cuts = np.flatnonzero(letters[:-1] & MARK_BYTES[data[1:]]) + 1
+        ends = np.cumsum([0, *map(len, texts)])
+        ends += np.searchsorted(cuts, ends)
+        return pa.LargeStringArray.from_buffers(
+            len(texts), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.insert(data, cuts, 0x20)))
+
+    def _learn_cut(self, keys: list) -> dict:
+        """Encode new words, letters by the merges alone."""
+        tokenize, letters, others, ids, ends = self.model.tokenize, [], [], [], [0]
+        for key in keys:
+            if key.isalpha():
+                word = key.decode().lower()
+            else:
+                text = key.decode()
+                if not LETTERS_ALONE.fullmatch(text):
+                    others.append(key)
+                    continue
+                word = text.lower().encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids += [token.id for token in tokenize(word)]
+            letters.append(key)
+            ends.append(len(ids))
+        data, width = self._bytes(ids), self.dtype.itemsize
+        found = {key: data[start * width:end * width]
+                 for key, start, end in zip(letters, ends, ends[1:], strict=False)}
+        return found | self._learn(others)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if self.model is None:
+            return super().encode(texts)
+        plans = list(map(self._prepared, texts))
+        words = pc.ascii_split_whitespace(self._cut([plan or b"" for plan in plans]))
+        numbered = words.values.dictionary_encode()
+        keys = numbered.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.words.get, keys))
+        gaps = [i for i, data in enumerate(found) if data is None]
+        if gaps:
+            learned = self._learn_cut([keys[i] for i in gaps])
+            for i in gaps:
+                found[i] = learned[keys[i]]
+            self._keep(learned)
+        taken = pa.array(found, pa.large_binary()).take(numbered.indices)
+        places = np.concatenate([[0], np.cumsum(pc.binary_length(taken).to_numpy())])
+        ends = places[words.offsets.to_numpy()].tolist()
+        data = taken.buffers()[2]
+        data = data.to_pybytes() if data is not None else b""
+        return [
+            self._bytes(self._library(text)) if plan is None else data[start:end]
+            for text, plan, start, end in zip(texts, plans, ends, ends[1:], strict=False)
+        ]
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, spaces: str) -> Encoder:
-    return Encoder(path, spaces)
+    return NumberedEncoder(path) if spaces == "dropped" else Encoder(path, spaces)
 
 
-def slices(texts: list[str], most_chars: int = 1 << 21):
+def slices(texts: list[str], most_chars: int = Encoder.most_chars):
     """Consecutive slices of about ``most_chars`` characters; a long text is one by itself."""
     start = total = 0
     for i, text in enumerate(texts):
@@ -209,6 +314,6 @@ def encode_all(path: str, spaces: str, texts: list[str | None], end_id: int) ->
     tool = encoder(path, spaces)
     end = np.array([end_id], tool.dtype).tobytes()
     out = []
-    for part in slices(texts):
+    for part in slices(texts, tool.most_chars):
         out += [np.frombuffer(data + end, tool.dtype) for data in tool.encode(texts[part])]
     return out

@@ -298,3 +298,65 @@ def test_texts_with_white_space_of_other_kinds_are_encoded_as_a_whole():
         assert (encoder._parts(text) is not None) == plain
     whole = [np.array(encoder._library(text), encoder.dtype).tobytes() for text in texts]
     assert encoder.encode(texts) == whole
+
+
+WORD_PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_different_words_of_all_texts_are_looked_up_once():
+    class Counted(dict):
+        lookups = 0
+
+        def get(self, key):
+            self.lookups += 1
+            return super().get(key)
+
+    encoder = tokens.encoder.__wrapped__(WORD_PATH, "dropped")
+    encoder.words = Counted()
+    texts = ["Some words, and some more\nwords again!", "AND again, words."] * 50
+    expected = [encoder._bytes(encoder._library(text)) for text in texts]
+    assert encoder.encode(texts) == expected
+    # some words , and more again ! .
+    assert encoder.words.lookups == 8 == len(encoder.words)
+    assert encoder.encode(texts) == expected and encoder.words.lookups == 16
+
+
+def test_numbered_words_have_the_ids_of_whole_texts():
+    own = tokens.NumberedEncoder(WORD_PATH).own_ids
+    odd = [
+        # Capital letters without a composed form whose small letters have one, and the reverse.
+        *(f"{a}{mark}, {a.lower()}{mark}." for a in "JHTWYIKEA" for mark in ("\u030c", "\u0331", "\u0308", "\u030a", "\u0307")),
+        *own, *map(str.upper, own), *(f"a{x}b" for x in own), *(f"A{x.upper()},b" for x in own),
+        "=\u0338 x=\u0338 <\u0338", "É×, é÷. Ð! ß? ÿ) Ā, ſ. \u212a, \u212b.", "ÀÉ,ç;Ö:", "it's'S'tX, DON'T.", "x,\u0301 y",
+        "a,b.c!d 1,2 ,a ..a.. \u00a0a,\u2003b", "w" * 200 + "," + "Ü" * 99, "\x01, \x00.", "\x1ca,\x85b",
+    ]
+    for tool in (tokens.NumberedEncoder(WORD_PATH) for _ in range(2)):
+        for texts in ([], [""], ["", ",", "", "a", ","], [*ODD, *odd], ["".join(odd)], ["!".join([*odd, *ODD])], odd[::-1]):
+            assert tool.encode(texts) == [tool._bytes(tool._library(text)) for text in texts]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aJzÉß×é,.!'`~s1 \n\t\x0b\u030c\u0301\u0331\u00a0\x01İΣ中"), max_size=40), max_size=5))
+def test_numbered_words_of_any_text(texts):
+    tool = tokens.encoder(WORD_PATH, "dropped")
+    assert tool.encode(texts) == [tool._bytes(tool._library(text)) for text in texts]
+
+
+def test_numbered_words_leave_when_too_many_or_too_long(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_WORDS", 3)
+    tool = tokens.NumberedEncoder(WORD_PATH)
+    for text in ["one two three", "four", "five six seven eight", "one " + "nine" * 30]:
+        assert tool.encode([text]) == [tool._bytes(tool._library(text))]
+        assert max(map(len, tool.words)) <= tokens.LONGEST_KEPT
+        assert len(tool.words) <= 4
+
+
+def test_numbered_words_need_known_steps(tmp_path):
+    import json
+    steps = json.loads(open(WORD_PATH).read())
+    steps["normalizer"] = {"type": "NFC"}
+    path = tmp_path / "capitals.json"
+    path.write_text(json.dumps(steps))
+    tool = tokens.encoder.__wrapped__(str(path), "dropped")
+    texts = ["Some Words, HERE", "J\u030c"]
+    assert tool.encode(texts) == [tool._bytes(tool._library(text)) for text in texts]
