@@ -10,9 +10,10 @@ Most new words are Latin letters with ASCII marks behind them. What the library
 to such a word before its merges is known, and takes most of its time. So a second
 instance of it, without these steps, gets the letters and the marks as they are then.
 
-Where white space has no ids, words are also cut before their marks and share the ids of
-their lower-case form, and the words of many texts are numbered by Arrow at once: only
-different ones are looked up.
+Words are also cut before their marks, and those of many texts are numbered by Arrow at
+once: only different ones are looked up. Where white space has no ids, they share the ids
+of their lower-case form. ``Encoder`` alone, which cuts at white space only, is for
+vocabularies with other steps before the merges.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import os
 import re
 from collections.abc import Callable
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ OTHER_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in "
 LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
 PLAIN_WORD = re.compile(f" ?{LETTERS}+{MARKS}*")
 LETTERS_ALONE = re.compile(f"{LETTERS}+")
+#: The same in UTF-8, with the space before them.
+SPACED_LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 BEFORE_MARKS = re.compile(f"(?<={LETTERS})(?={MARKS})")
 #: The steps before the merges under which plain words can be prepared here.
 KNOWN_STEPS = {
@@ -69,9 +73,11 @@ def bytes_of(pattern: str) -> np.ndarray:
     return np.array([byte < 128 and bool(re.fullmatch(pattern, chr(byte))) for byte in range(256)])
 
 
-LETTER_BYTES, MARK_BYTES = bytes_of(LETTERS), bytes_of(MARKS)
+LETTER_BYTES, MARK_BYTES, WHITE_BYTES = bytes_of(LETTERS), bytes_of(MARKS), bytes_of(r"[\x20\x09-\x0D]")
 #: Second bytes, after 0xC3, of the letters that are not ASCII.
 SECOND_BYTES = np.array([128 <= byte < 192 and byte not in (0x97, 0xB7) for byte in range(256)])
+#: The letters of all bytes, but line feeds as they are.
+LETTERS_OF_BYTES = np.array([ord(BYTE_LETTERS[byte]) if byte != 0x0A else byte for byte in range(256)], "<u2")
 
 
 class Encoder:
@@ -209,6 +215,13 @@ class Encoder:
         ]
 
 
+def marks_after_letters(data: np.ndarray) -> np.ndarray:
+    """The places in UTF-8 text of marks that follow a letter."""
+    letters = LETTER_BYTES[data]
+    letters[1:] |= (data[:-1] == 0xC3) & SECOND_BYTES[data[1:]]
+    return np.flatnonzero(letters[:-1] & MARK_BYTES[data[1:]]) + 1
+
+
 class NumberedEncoder(Encoder):
     """For word vocabularies: Arrow numbers the words of all texts, each different one is
     looked up once, and the ids are taken by number.
@@ -218,9 +231,10 @@ class NumberedEncoder(Encoder):
     """
 
     most_chars = 1 << 22
+    spaces = "dropped"
 
     def __init__(self, path: str):
-        super().__init__(path, "dropped")
+        super().__init__(path, self.spaces)
         self.lower_own_ids = [own.encode().lower() for own in self.own_ids]
         self.model = self.merges.model if self.merges is not None else None
 
@@ -234,21 +248,30 @@ class NumberedEncoder(Encoder):
         # bytes: a capital letter may have no composed form where the small one has it.
         return data if b"\xcc" in data or b"\xcd" in data else lower
 
-    @staticmethod
-    def _cut(texts: list[bytes]) -> pa.Array:
-        """The texts with a space between letters and the marks behind them."""
+    def _cut(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts, and the number of words before each text and after the last."""
         data = np.frombuffer(b"".join(texts), np.uint8)
-        letters = LETTER_BYTES[data]
-        letters[1:] |= (data[:-1] == 0xC3) & SECOND_BYTES[data[1:]]
-        cuts = np.flatnonzero(letters[:-1] & MARK_BYTES[data[1:]]) + 1
+        cuts = marks_after_letters(data)
         ends = np.cumsum([0, *map(len, texts)])
         ends += np.searchsorted(cuts, ends)
-        return pa.LargeStringArray.from_buffers(
+        spaced = pa.LargeStringArray.from_buffers(
             len(texts), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.insert(data, cuts, 0x20)))
+        words = pc.ascii_split_whitespace(spaced)
+        return words.values, words.offsets.to_numpy()
+
+    def _by_merges(self, keys: list, words: list[str]) -> dict:
+        """The ids of letters whose bytes are replaced, by the merges alone."""
+        tokenize, id_of, ids, ends = self.model.tokenize, attrgetter("id"), [], [0]
+        for word in words:
+            ids += map(id_of, tokenize(word))
+            ends.append(len(ids))
+        data, width = self._bytes(ids), self.dtype.itemsize
+        return {key: data[start * width:end * width]
+                for key, start, end in zip(keys, ends, ends[1:], strict=False)}
 
     def _learn_cut(self, keys: list) -> dict:
         """Encode new words, letters by the merges alone."""
-        tokenize, letters, others, ids, ends = self.model.tokenize, [], [], [], [0]
+        letters, words, others = [], [], []
         for key in keys:
             if key.isalpha():
                 word = key.decode().lower()
@@ -258,20 +281,16 @@ class NumberedEncoder(Encoder):
                     others.append(key)
                     continue
                 word = text.lower().encode().decode("latin-1").translate(BYTE_LETTERS)
-            ids += [token.id for token in tokenize(word)]
             letters.append(key)
-            ends.append(len(ids))
-        data, width = self._bytes(ids), self.dtype.itemsize
-        found = {key: data[start * width:end * width]
-                 for key, start, end in zip(letters, ends, ends[1:], strict=False)}
-        return found | self._learn(others)
+            words.append(word)
+        return self._by_merges(letters, words) | self._learn(others)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.model is None:
             return super().encode(texts)
         plans = list(map(self._prepared, texts))
-        words = pc.ascii_split_whitespace(self._cut([plan or b"" for plan in plans]))
-        numbered = words.values.dictionary_encode()
+        words, starts = self._cut([plan or b"" for plan in plans])
+        numbered = words.dictionary_encode()
         keys = numbered.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.words.get, keys))
         gaps = [i for i, data in enumerate(found) if data is None]
@@ -282,7 +301,7 @@ class NumberedEncoder(Encoder):
             self._keep(learned)
         taken = pa.array(found, pa.large_binary()).take(numbered.indices)
         places = np.concatenate([[0], np.cumsum(pc.binary_length(taken).to_numpy())])
-        ends = places[words.offsets.to_numpy()].tolist()
+        ends = places[starts].tolist()
         data = taken.buffers()[2]
         data = data.to_pybytes() if data is not None else b""
         return [
@@ -291,9 +310,61 @@ class NumberedEncoder(Encoder):
         ]
 
 
+class SpacedEncoder(NumberedEncoder):
+    """The same for byte-level vocabularies, where a word owns the space before it.
+
+    White space is cut as the library cuts it: of several in a row before a word the last
+    stands apart, and goes with the word if it is a space; those at an end stay together.
+    """
+
+    spaces = "kept"
+    #: White space that is not looked for among the bytes.
+    other_spaces = [c for c in OTHER_SPACES if c not in "\t\x0b\x0c\r"]
+
+    def _prepared(self, text: str) -> bytes | None:
+        if any(own in text for own in self.own_ids) or any(space in text for space in self.other_spaces):
+            return None
+        return text.encode()
+
+    def _cut(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        ends = np.cumsum([0, *map(len, texts)])
+        cut = np.zeros(len(data) + 1, bool)
+        cut[ends] = True
+        at_end = cut.copy()
+        cut[marks_after_letters(data)] = True
+        white = WHITE_BYTES[data]
+        turns = np.flatnonzero(white[:-1] != white[1:]) + 1
+        # Words end where white space starts, which ends where words start.
+        cut[turns[white[turns]]] = True
+        # At the end of a text no word follows.
+        last = turns[~white[turns] & ~at_end[turns]] - 1
+        cut[last] = True
+        cut[last[data[last] != 0x20] + 1] = True
+        places = np.flatnonzero(cut)
+        words = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(data)])
+        return words, np.searchsorted(places, ends)
+
+    def _learn_cut(self, keys: list) -> dict:
+        letters, others, found = [], [], {}
+        for key in keys:
+            if SPACED_LETTERS.fullmatch(key):
+                letters.append(key)
+            elif key.isspace():
+                found[key] = self._bytes(self._library(key.decode()))
+            else:
+                others.append(key)
+        data = LETTERS_OF_BYTES[np.frombuffer(b"\n".join(letters), np.uint8)]
+        found |= self._by_merges(letters, data.tobytes().decode("utf-16-le").split("\n") if letters else [])
+        texts = [key.decode() for key in others]
+        found.update(zip(others, self._separately(self.tokenizer, self._whole, texts), strict=True))
+        return found
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, spaces: str) -> Encoder:
-    return NumberedEncoder(path) if spaces == "dropped" else Encoder(path, spaces)
+    return {"dropped": NumberedEncoder, "kept": SpacedEncoder}[spaces](path)
 
 
 def slices(texts: list[str], most_chars: int = Encoder.most_chars):

@@ -360,3 +360,64 @@ def test_numbered_words_need_known_steps(tmp_path):
     tool = tokens.encoder.__wrapped__(str(path), "dropped")
     texts = ["Some Words, HERE", "J\u030c"]
     assert tool.encode(texts) == [tool._bytes(tool._library(text)) for text in texts]
+
+
+BYTE_PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_different_spaced_words_of_all_texts_are_looked_up_once():
+    class Counted(dict):
+        lookups = 0
+
+        def get(self, key):
+            self.lookups += 1
+            return super().get(key)
+
+    encoder = tokens.encoder.__wrapped__(BYTE_PATH, "kept")
+    encoder.words = Counted()
+    texts = ["Some words, and some  more\nwords\tagain!", "and again, words."] * 50
+    expected = [encoder._bytes(encoder._library(text)) for text in texts]
+    assert encoder.encode(texts) == expected
+    words = ["Some", " words", ",", " and", " some", " ", " more", "\n", "words", "\t", "again", "!", "and", " again", "."]
+    assert sorted(encoder.words) == sorted(word.encode() for word in words)
+    assert encoder.words.lookups == len(words)
+    assert encoder.encode(texts) == expected and encoder.words.lookups == 2 * len(words)
+
+
+def test_spaced_words_have_the_ids_of_whole_texts():
+    spaces = [" ", "  ", "\n", "\n ", " \n", "\t", " \t ", "\r\n", "\x0b\x0c", "\x1c", "\x85", "\u00a0", "\u2003 "]
+    odd = [
+        *(f"{a}one{b}two,{c}" for a in ["", *spaces] for b in spaces for c in ["", *spaces]),
+        "É×, é÷. Ð! ß? ÿ) Ā, ſ.", "ÀÉ,ç;Ö:", "it's'S'tX, DON'T,'s x''ll,", "x,\u0301 é,", "a,b.c!d 1,2 ,a ..a..", "w" * 200 + ",",
+        "a<|endoftext|>b", "<|endoftext|", "\x01, \x00.", "x²½,",
+    ]
+    for tool in (tokens.encoder.__wrapped__(BYTE_PATH, "kept") for _ in range(2)):
+        for texts in ([], [""], ["", ",", "", "a", ","], [*ODD, *odd], ["".join(odd)], ["!".join([*odd, *ODD])], odd[::-1]):
+            assert tool.encode(texts) == [tool._bytes(tool._library(text)) for text in texts]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aJstléß×é,.!'`~1 \n\t\r\x0b\u0301\u00a0\x1c\x01İΣ中"), max_size=40), max_size=5))
+def test_spaced_words_of_any_text(texts):
+    tool = tokens.encoder(BYTE_PATH, "kept")
+    assert tool.encode(texts) == [tool._bytes(tool._library(text)) for text in texts]
+
+
+def test_spaced_words_leave_when_too_many_or_too_long(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_WORDS", 3)
+    tool = tokens.encoder.__wrapped__(BYTE_PATH, "kept")
+    for text in ["one two three", "four", "five six seven eight", "one " + "nine" * 30]:
+        assert tool.encode([text]) == [tool._bytes(tool._library(text))]
+        assert max(map(len, tool.words)) <= tokens.LONGEST_KEPT
+        assert len(tool.words) <= 4
+
+
+def test_spaced_words_need_known_steps(tmp_path):
+    import json
+    steps = json.loads(open(BYTE_PATH).read())
+    steps["normalizer"] = {"type": "Lowercase"}
+    path = tmp_path / "lower.json"
+    path.write_text(json.dumps(steps))
+    tool = tokens.encoder.__wrapped__(str(path), "kept")
+    texts = ["Some Words, HERE", "two  spaces"]
+    assert tool.encode(texts) == [tool._bytes(tool._library(text)) for text in texts]
