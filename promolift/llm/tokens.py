@@ -317,6 +317,7 @@ class SpacedEncoder(NumberedEncoder):
     stands apart, and goes with the word if it is a space; those at an end stay together.
     """
 
+    most_chars = 1 << 20
     spaces = "kept"
     #: White space that is not looked for among the bytes.
     other_spaces = [c for c in OTHER_SPACES if c not in "\t\x0b\x0c\r"]
@@ -387,4 +388,6 @@ def encode_all(path: str, spaces: str, texts: list[str | None], end_id: int) ->
     out = []
     for part in slices(texts, tool.most_chars):
         out += [np.frombuffer(data + end, tool.dtype) for data in tool.encode(texts[part])]
+    # A worker that waits keeps its words, not the room in which they were numbered.
+    pa.default_memory_pool().release_unused()
     return out
