@@ -23,7 +23,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from promolift.llm.common import staged
@@ -35,8 +36,8 @@ DEGREE = 8
 #: Rows a leaf should have at least, rows of a block at most, about.
 LEAF_ROWS, BLOCK_ROWS = 1024, 4096
 MOST_LEAVES = 512
-#: Queries that are compared with a block at a time.
-TOGETHER = 256
+#: Anchors that are compared with a block at a time, and that are routed at a time.
+TOGETHER, ROUTED = 64, 1024
 #: Components of this size or more do not become exact whole numbers; their rows are left out.
 MOST_COMPONENT = float(1 << 20)
 #: Distances are roots of whole numbers; this is far above their rounding.
@@ -218,17 +219,35 @@ class Index:
     blocks: DataFrame
     router: Router | None
     length: int
+    #: Of each leaf with rows, one more than its last block.
+    n_blocks: dict[int, int] = field(default_factory=dict)
 
 
 def unpacked(values, length: int) -> np.ndarray:
     return np.frombuffer(b"".join(values), VECTOR).reshape(-1, length)
 
 
+def smallest_hashes(rows: DataFrame, count: int) -> list[Row]:
+    """The ``SAMPLE`` of ``count`` rows with the smallest hashes.
+
+    Every task sends the driver as many rows as are asked for, so rows with larger
+    hashes than twice as many should have are left out before that.
+    """
+    hashed = rows.select("vector", F.xxhash64("id").alias("h"), "id")
+    share = 2 * SAMPLE / max(1, count)
+    while True:
+        few = hashed if share >= 1 else hashed.where(F.col("h") < int(share * 2.0 ** 64) - (1 << 63))
+        sample = few.orderBy("h", "id").limit(SAMPLE).collect()
+        if share >= 1 or len(sample) == SAMPLE:
+            return sample
+        share *= 2
+
+
 def build_index(rows: DataFrame, length: int) -> Index:
     """Index every row of :func:`whole_vectors`. The split points come from ``SAMPLE`` rows with the smallest hashes."""
     count = rows.count()
     leaves = max(1, min(MOST_LEAVES, count // LEAF_ROWS))
-    sample = rows.select("vector", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE).collect()
+    sample = smallest_hashes(rows, count)
     if not sample:
         return Index(rows.select(F.lit(0).alias("leaf"), F.lit(0).alias("block")), None, 0)
     tree = fit_tree(unpacked([r["vector"] for r in sample], length), leaves)
@@ -260,6 +279,7 @@ def build_index(rows: DataFrame, length: int) -> Index:
     # Bounded by the leaves of the tree, whatever the number of rows.
     ends = table.select("leaf", "shortest", "longest", F.posexplode(F.arrays_zip("low", "high")).alias("at", "r"))
     found: dict[int, Ranges] = {}
+    dealt_into = {r["leaf"]: r["n"] for r in table.groupBy("leaf").agg((F.max("block") + 1).alias("n")).collect()}
     for leaf in ends.groupBy("leaf", "at").agg(
             F.min("r.low").alias("low"), F.max("r.high").alias("high"), F.min("shortest").alias("shortest"),
             F.max("longest").alias("longest")).groupBy("leaf").agg(
@@ -268,12 +288,13 @@ def build_index(rows: DataFrame, length: int) -> Index:
         found[leaf["leaf"]] = Ranges(
             np.array([x["low"] for x in r]), np.array([x["high"] for x in r]),
             min(x["shortest"] for x in r), max(x["longest"] for x in r))
-    return Index(table, Router(tree, found), length)
+    return Index(table, Router(tree, found), length, dealt_into)
 
 
-QUERY = "id bigint, label bigint, vector binary, slot int, low bigint, high bigint"
+#: An anchor with its windows and the leaves they may meet, each with the number of its blocks.
 ASKED = (
-    "leaf bigint, ids binary, labels binary, vectors binary, slots binary, lows binary, highs binary")
+    "id bigint, label bigint, vector binary, slots array<int>, lows array<bigint>, highs array<bigint>, "
+    "targets array<struct<leaf:bigint,n_blocks:int>>")
 HIT = "id bigint, slot int, other bigint, score bigint"
 
 
@@ -288,72 +309,95 @@ def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def search(index: Index, queries: DataFrame, top: int, same_label: bool, own_leaf: bool) -> DataFrame:
     """``id, slot, other, score``: the first ``top`` rows of every query's window, score falling, id rising.
 
-    A query has ``id, label, vector, slot, low, high``. Rows of its own id are
-    left out, and those of the other kind of label. With ``own_leaf`` only the
-    leaf where the query itself belongs is looked at.
+    A query has ``id, label, vector, slot, low, high``; label and vector are those
+    of its id. Rows of its own id are left out, and those of the other kind of
+    label. With ``own_leaf`` only the leaf where the query itself belongs is looked at.
     """
-    router, length = index.router, index.length
+    router, length, n_blocks = index.router, index.length, index.n_blocks
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROUTED):
+                batch = whole.slice(start, ROUTED)
+                vectors = unpacked(batch.column("vector").to_pylist(), length)
+                if own_leaf:
+                    at, leaves = np.arange(len(vectors)), leaf_of(router.tree, vectors)
+                else:
+                    who = np.repeat(np.arange(len(vectors)), pc.list_value_length(batch.column("slots")).to_numpy())
+                    low, high = (batch.column(name).flatten().to_numpy().astype(float) for name in ("lows", "highs"))
+                    found = router.leaves_for(vectors[who], low, high)
+                    met = [(np.unique(who[rows]), leaf) for leaf, rows in found.items()]
+                    at = np.concatenate([rows for rows, _ in met] or [np.zeros(0, np.int64)])
+                    leaves = np.repeat([leaf for _, leaf in met], [len(rows) for rows, _ in met]).astype(np.int64)
+                kept = np.array([leaf in n_blocks for leaf in leaves.tolist()], bool)
+                at, leaves = at[kept], leaves[kept]
+                order = np.argsort(at, kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(vectors)))])
+                targets = pa.StructArray.from_arrays([
+                    pa.array(leaves[order], pa.int64()),
+                    pa.array([n_blocks[leaf] for leaf in leaves[order].tolist()], pa.int32())], ["leaf", "n_blocks"])
+                columns = ["id", "label", "vector", "slots", "lows", "highs"]
+                yield pa.RecordBatch.from_arrays(
+                    [*map(batch.column, columns), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), targets)],
+                    [*columns, "targets"])
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            vectors = unpacked(batch["vector"], length)
-            if own_leaf:
-                own = leaf_of(router.tree, vectors)
-                found = {int(leaf): np.flatnonzero(own == leaf) for leaf in np.unique(own)}
-            else:
-                found = router.leaves_for(vectors, batch["low"].to_numpy(float), batch["high"].to_numpy(float))
-            rows = []
-            for leaf, at in found.items():
-                some = batch.iloc[at]
-                rows.append({
-                    "leaf": leaf, "ids": packed(some["id"], "<i8"), "labels": packed(some["label"], "<i8"),
-                    "vectors": packed(vectors[at], VECTOR), "slots": packed(some["slot"], "<i4"),
-                    "lows": packed(some["low"], "<i8"), "highs": packed(some["high"], "<i8")})
-            if rows:
-                yield pd.DataFrame(rows)
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A block comes before the queries that were sent to it."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block comes before the anchors that were sent to it."""
         here, ids, labels, vectors = None, None, None, None
         for batch in batches:
-            hits = []
-            for row in batch.itertuples(index=False):
-                if row.kind == 0:
-                    here = (row.leaf, row.block)
-                    ids, labels = np.frombuffer(row.ids, "<i8"), np.frombuffer(row.labels, "<i8")
-                    vectors = np.frombuffer(row.vectors, VECTOR).reshape(-1, length)
+            leaf, block, kind = (batch.column(name).to_numpy() for name in ("leaf", "block", "kind"))
+            edges = np.flatnonzero((np.diff(leaf) != 0) | (np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
+            runs = [0, *edges.tolist(), batch.num_rows]
+            for begin, end in zip(runs, runs[1:]):
+                if begin == end:
+                    continue
+                if kind[begin] == 0:
+                    here = (leaf[begin], block[begin])
+                    ids, labels = (np.frombuffer(batch.column(name)[begin].as_py(), "<i8") for name in ("ids", "labels"))
+                    vectors = unpacked([batch.column("vector")[begin].as_py()], length)
                     continue
-                if here != (row.leaf, row.block):
-                    continue  # a leaf without rows
-                asked = np.frombuffer(row.vectors, VECTOR).reshape(-1, length)
-                columns = [np.frombuffer(getattr(row, name), kind) for name, kind in (
-                    ("ids", "<i8"), ("labels", "<i8"), ("slots", "<i4"), ("lows", "<i8"), ("highs", "<i8"))]
-                for start in range(0, len(asked), TOGETHER):
-                    part = slice(start, start + TOGETHER)
-                    own, own_label, slot, low, high = (column[part] for column in columns)
-                    scores = inner_products(asked[part], vectors)
-                    fits = (scores >= low[:, None]) & (scores <= high[:, None]) & (ids[None, :] != own[:, None])
-                    fits &= (labels[None, :] == own_label[:, None]) == same_label
-                    q, x = np.nonzero(fits)
-                    order = np.lexsort((ids[x], -scores[q, x], q))
-                    q, x = q[order], x[order]
-                    starts = np.searchsorted(q, np.arange(len(own)))
-                    first = np.arange(len(q)) - starts[q] < top
-                    q, x = q[first], x[first]
-                    hits.append(pd.DataFrame({
-                        "id": own[q], "slot": slot[q], "other": ids[x], "score": scores[q, x]}))
-            if hits:
-                yield pd.concat(hits)
-
-    asked = queries.selectExpr("id", "label", "vector", "slot", "low", "high").mapInPandas(route, ASKED)
-    places = index.blocks.select("leaf", "block")
-    empty = [F.lit(None).cast("binary").alias(name) for name in ("slots", "lows", "highs")]
-    sent = asked.join(places, "leaf").withColumn("kind", F.lit(1))
-    held = index.blocks.select("leaf", "ids", "labels", "vectors", *empty, "block", F.lit(0).alias("kind"))
-    meeting = held.unionByName(sent).repartition("leaf", "block").sortWithinPartitions("leaf", "block", "kind")
-    hits = meeting.mapInPandas(compare, HIT)
+                if here != (leaf[begin], block[begin]):
+                    continue  # no row was dealt into the block
+                for start in range(begin, end, TOGETHER):
+                    part = batch.slice(start, min(TOGETHER, end - start))
+                    hits = _hits(part, ids, labels, vectors)
+                    if hits.num_rows:
+                        yield hits
+
+    def _hits(part: pa.RecordBatch, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+        """The first rows of the block for every window of some anchors."""
+        own, own_label = (part.column(name).to_numpy() for name in ("id", "label"))
+        who = np.repeat(np.arange(len(own)), pc.list_value_length(part.column("slots")).to_numpy())
+        slot, low, high = (part.column(name).flatten().to_numpy() for name in ("slots", "lows", "highs"))
+        scores = inner_products(unpacked(part.column("vector").to_pylist(), length), vectors)
+        allowed = (ids[None, :] != own[:, None]) & ((labels[None, :] == own_label[:, None]) == same_label)
+        q, x = np.nonzero(allowed[who] & (scores[who] >= low[:, None]) & (scores[who] <= high[:, None]))
+        reached = scores[who[q], x]
+        order = np.lexsort((ids[x], -reached, q))
+        q, x, reached = q[order], x[order], reached[order]
+        first = np.arange(len(q)) - np.searchsorted(q, np.arange(len(who)))[q] < top
+        q, x, reached = q[first], x[first], reached[first]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(own[who[q]], pa.int64()), pa.array(slot[q], pa.int32()), pa.array(ids[x], pa.int64()),
+             pa.array(reached, pa.int64())], ["id", "slot", "other", "score"])
+
+    # An anchor's windows share its vector, which is sent to a block and compared with its rows once.
+    by_anchor = queries.groupBy("id").agg(
+        F.min("label").alias("label"), F.min("vector").alias("vector"),
+        F.collect_list(F.struct("slot", "low", "high")).alias("windows")).select(
+            "id", "label", "vector", F.col("windows.slot").alias("slots"), F.col("windows.low").alias("lows"),
+            F.col("windows.high").alias("highs"))
+    # Anchors are copied for each block by rows, never joined: a copy for every leaf is
+    # far larger than Spark takes it for, and would be broadcast through the driver.
+    asked = by_anchor.mapInArrow(route, ASKED).withColumn("target", F.explode("targets")).drop("targets")
+    sent = asked.select(
+        F.col("target.leaf").alias("leaf"), F.explode(F.sequence(F.lit(0), F.col("target.n_blocks") - 1)).alias("block"),
+        F.lit(1).alias("kind"), "id", "label", "vector", "slots", "lows", "highs")
+    held = index.blocks.select(
+        "leaf", "block", F.lit(0).alias("kind"), F.col("vectors").alias("vector"), "ids", "labels")
+    meeting = held.unionByName(sent, allowMissingColumns=True).repartition("leaf", "block").sortWithinPartitions(
+        "leaf", "block", "kind")
+    hits = meeting.mapInArrow(compare, HIT)
     falling = Window.partitionBy("id", "slot").orderBy(F.desc("score"), "other")
     return hits.withColumn("rank", F.row_number().over(falling)).where(F.col("rank") <= top)
 

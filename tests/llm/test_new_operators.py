@@ -220,6 +220,22 @@ def test_negatives_of_tables_without_rows_or_pairs(spark):
     assert hard_negatives(vectors(spark, alone), F.col("id") % 10 == 0).collect() == []
 
 
+def test_anchors_are_never_broadcast_and_the_sample_is_cut_before_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEAF_ROWS", 8)
+    monkeypatch.setattr(N, "SAMPLE", 20)
+    rng = np.random.default_rng(5)
+    given = vectors(spark, [(i, [float(x) for x in rng.standard_normal(4)], i % 3) for i in range(200)])
+    rows, length = N.whole_vectors(given.repartition(20), 256, "vec_id", "label", "embedding")
+    queries = rows.select("*", F.lit(0).alias("slot"), F.lit(N.LEAST).alias("low"), F.lit(N.MOST).alias("high"))
+    plan = N.search(N.build_index(rows, length), queries, 3, True, False)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "Broadcast" not in plan
+    hashed = rows.select("vector", F.xxhash64("id").alias("h"), "id")
+    everything = hashed.orderBy("h", "id").limit(20).collect()
+    # Also where fewer rows than expected have small hashes.
+    for count in (200, 10 ** 6):
+        assert N.smallest_hashes(rows, count) == everything
+
+
 # --- token ids ----------------------------------------------------------------
 
 @pytest.mark.parametrize(("name", "spaces"), [("word_bpe_49k.json", "dropped"), ("byte_bpe_50k.json", "kept")])
