@@ -54,9 +54,11 @@ def impact_measures(
         """Exposures with the outcomes of their coupon, if a requested measure needs them."""
         if not {*OUTCOME_OF, CATEGORY} & set(names):
             return exposed
-        outcomes = coupon_outcomes(
-            frames.once(purchases_of), frames.once(exposed_pairs), frames.offer_product,
-            frames.products if CATEGORY in names else None)
+        outcomes = frames.outcomes
+        if outcomes is None:
+            outcomes = coupon_outcomes(
+                frames.once(purchases_of), frames.once(exposed_pairs), frames.offer_product,
+                frames.products if CATEGORY in names else None)
         return even_join(exposed, outcomes, ["id", "offer_code"])
 
     @cache

@@ -15,9 +15,9 @@ class CampaignFrames:
     """Everything the measures read.
 
     ``items`` and ``baskets`` carry ``in_pre``, ``in_dur`` and ``in_post``.
-    Only ``base`` is needed by every module. ``purchases``, ``coupons``, ``visits``
-    and ``shared_visits`` hold facts where they were written once for several
-    reports; elsewhere they are worked out from the other frames.
+    Only ``base`` is needed by every module. ``purchases``, ``coupons``, ``visits``,
+    ``shared_visits`` and ``outcomes`` hold facts where they were written once for
+    several reports; elsewhere they are worked out from the other frames.
     """
 
     base: DataFrame
@@ -32,6 +32,7 @@ class CampaignFrames:
     coupons: DataFrame | None = None
     visits: DataFrame | None = None
     shared_visits: DataFrame | None = None
+    outcomes: DataFrame | None = None
     _made: dict = field(default_factory=dict, init=False, repr=False, compare=False)
 
     def once(self, make: Callable[[CampaignFrames], DataFrame]) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from promolift.functions import levels as L
 from promolift.functions.columns import any_of
-
+from promolift.sources.sinks import stage
 
 
 @dataclass(frozen=True, eq=False)
@@ -241,8 +241,12 @@ def _passes(parts: list[Part]) -> list[list[Part]]:
     return list(shared.values())
 
 
-def report(measures: Sequence[Measure], levels: Sequence) -> DataFrame:
-    """One row per level and group: key columns, ``grouping_level``, one column per measure."""
+def report(measures: Sequence[Measure], levels: Sequence, folder: str | None = None) -> DataFrame:
+    """One row per level and group: key columns, ``grouping_level``, one column per measure.
+
+    With ``folder`` the groups of each pass are written there when this is called,
+    one pass after the other, so the shuffle files of only one pass exist at a time.
+    """
     if not measures:
         raise ValueError("a report needs at least one measure")
     levels = L.parse_levels(levels)
@@ -260,6 +264,11 @@ def report(measures: Sequence[Measure], levels: Sequence) -> DataFrame:
     for number, batch in enumerate(_passes(parts)):
         wanted = ([], {overall: ()}) if batch[0].rows.overall else (keys, sets)
         step, flags = _first_step(batch, *wanted, number)
+        if folder is not None:
+            groups = [name for name in step.columns if name == "_mask" or name.startswith("_key_")]
+            step = stage(step.groupBy(*groups).agg(
+                *[F.sum(part.name).alias(part.name) for part in batch],
+                *[fold.alias(name) for name, fold in flags.folds().items()]), f"{folder}/pass-{number}")
         steps.append(step)
         every_flag.append((batch, flags))
     if overall in sets:

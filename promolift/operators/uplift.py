@@ -15,6 +15,7 @@ from promolift.operators.cost import cost_measures
 from promolift.operators.facts import customer_outcomes, uplift_panel
 from promolift.operators.modules import CampaignFrames
 from promolift.operators.rollup import group_by_levels, key_name, level_names, report
+from promolift.sources.sinks import stage
 
 METRICS = ("units", "spend", "visits")
 
@@ -95,7 +96,9 @@ def uplift_report(
     names: Iterable[str] | None = None,
     method: str = "ancova",
     source: str = "basket",
+    folder: str | None = None,
 ) -> DataFrame:
+    """The named measures per group; with ``folder`` what they are made from is written there when this is called."""
     names = list(dict.fromkeys(NAMES if names is None else names))
     unknown = [name for name in names if name not in MEASURES]
     if unknown:
@@ -107,10 +110,15 @@ def uplift_report(
 
     metrics = list(dict.fromkeys(MEASURES[name][0] for name in names))
     keys = L.key_columns(L.parse_levels(levels))
-    statistics = arm_statistics(frames.base, panel_outcomes(frames, source), levels, metrics)
+    outcomes = panel_outcomes(frames, source)
+    if folder is not None:
+        outcomes = stage(outcomes, f"{folder}/outcomes")
+    statistics = arm_statistics(frames.base, outcomes, levels, metrics)
+    if folder is not None:
+        statistics = stage(statistics, f"{folder}/statistics")
     group = [*keys, "grouping_level"]
     if "scr" in names:
-        costs = report(cost_measures(frames, ["campaign_cost"]), levels)
+        costs = report(cost_measures(frames, ["campaign_cost"]), levels, folder and f"{folder}/costs")
         statistics = statistics.join(costs, group, "left")
 
     columns = []

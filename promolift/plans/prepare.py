@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from promolift.operators.enrich import enrich
 from promolift.operators.facts import (
     coupon_facts,
+    coupon_outcomes,
+    exposed_pairs,
     held_transactions,
     purchase_counts,
     shared_transactions,
@@ -36,13 +38,15 @@ class Campaign:
 
 
 def prepare(
-    raw: Mapping[str, DataFrame], campaign: Campaign, with_products: bool = False
+    raw: Mapping[str, DataFrame], campaign: Campaign, with_products: bool = False, folder: str | None = None
 ) -> CampaignFrames:
     """Lazy frames of one campaign; nothing runs until a report is written or read.
 
     ``raw`` maps contact_header, contact_detail, offer_product, offer_dim,
     seg_lifestyle, seg_loyalty, seg_pricesense, cards, members, products,
-    calendar, items, baskets and, for uplift, panel.
+    calendar, items, baskets and, for uplift, panel. With ``folder`` the contacts in
+    scope are written there first, so what they are derived by and what they are
+    enriched by are not on disk at a time.
     """
     calendar = tables.calendar_dim(raw["calendar"])
     cards = tables.card_dim(raw["cards"])
@@ -51,8 +55,11 @@ def prepare(
         tables.segment_snapshot(raw[name], campaign.seg_week)
         for name in ("seg_lifestyle", "seg_loyalty", "seg_pricesense")
     ]
+    detail = tables.event_scope(raw["contact_detail"], campaign.event_codes)
+    if folder is not None:
+        detail = sinks.stage(detail, folder)
     base = enrich(
-        detail=tables.event_scope(raw["contact_detail"], campaign.event_codes),
+        detail=detail,
         header=tables.event_scope(raw["contact_header"], campaign.event_codes),
         segments=segments,
         cards=cards,
@@ -80,7 +87,8 @@ def stage_frames(frames: CampaignFrames, folder: str | None = None) -> CampaignF
     lazy ``base`` repeats its joins. The written table is partitioned by stage,
     so each measure only reads its own stages and columns. Coupon facts are what
     redemptions are looked up in. Purchase counts and visits are what is left of
-    the transaction lines for all measures but the basket with an offer.
+    the transaction lines for all measures but the basket with an offer. Coupon
+    outcomes are what customer impact looks up of purchases.
     """
     folder = folder or sinks.shared_folder(frames.base.sparkSession)
     staged = replace(
@@ -94,4 +102,8 @@ def stage_frames(frames: CampaignFrames, folder: str | None = None) -> CampaignF
         staged = replace(
             staged, purchases=sinks.stage(counts, f"{folder}/purchases"), shared_visits=shared,
             visits=sinks.stage(visit_facts(held, shared), f"{folder}/visits"))
+        if frames.offer_product is not None and frames.products is not None:
+            pairs = sinks.stage(exposed_pairs(staged), f"{folder}/exposed")
+            outcomes = coupon_outcomes(staged.purchases, pairs, frames.offer_product, frames.products)
+            staged = replace(staged, outcomes=sinks.stage(outcomes, f"{folder}/outcomes"))
     return staged

@@ -44,16 +44,17 @@ def module_report(
 
 
 def combined_report(
-    frames: CampaignFrames, levels: Sequence, modules: Iterable[str] = tuple(MODULES)
+    frames: CampaignFrames, levels: Sequence, modules: Iterable[str] = tuple(MODULES), folder: str | None = None
 ) -> DataFrame:
     """All measures of several modules at the same levels, as one report.
 
     The modules' measures over one frame share its pass, and what several modules
     look up (buyers, coupons, exposures) is planned once. Equals the module
-    reports joined on every key.
+    reports joined on every key. With ``folder`` the groups of each pass are written
+    there when this is called, which bounds the shuffle files by those of one pass.
     """
     keys = L.key_columns(L.parse_levels(levels))
-    return report([m for module in modules for m in MODULES[module](frames, None, keys)], levels)
+    return report([m for module in modules for m in MODULES[module](frames, None, keys)], levels, folder)
 
 
 def final_report(reports: Sequence[DataFrame] | Mapping[str, DataFrame]) -> DataFrame:

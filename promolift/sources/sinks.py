@@ -37,14 +37,30 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/promolift-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a staged table that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Lets Spark delete the shuffle files of a command when it has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(frame: DataFrame, folder: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write a frame that several passes read, and read it back.
 
     Unlike a cache the written table is columnar, prunes columns and partitions,
-    and outlives the executors that made it.
+    and outlives the executors that made it. The shuffle files it was made from go
+    at once; Spark else keeps them until the driver happens to collect its garbage.
     """
-    writer = frame.write.mode("errorifexists")
+    writer, conf = frame.write.mode("errorifexists"), frame.sparkSession.conf
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(folder)
+    before = conf.get(CLEAN_UP, "false")
+    conf.set(CLEAN_UP, "true")
+    try:
+        writer.parquet(folder)
+    finally:
+        conf.set(CLEAN_UP, before)
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)

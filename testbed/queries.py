@@ -779,9 +779,11 @@ for report_key, options in {
 
 def _final(spark: SparkSession, folder: str) -> DataFrame:
     # What the modules read is written once.
-    frames = stage_frames(T.frames(spark, folder))
-    uplift_part = module_report("uplift", frames, UPLIFT_LEVELS, UPLIFT_NAMES)
-    return rounded(final_report([combined_report(frames, LEVELS), uplift_part]))
+    target = sinks.shared_folder(spark)
+    frames = stage_frames(T.frames(spark, folder, detail=f"{target}/detail"))
+    sinks.discard(spark, f"{target}/detail")  # only the enriched contacts are read from now on
+    uplift_part = module_report("uplift", frames, UPLIFT_LEVELS, UPLIFT_NAMES, folder=f"{target}/uplift")
+    return rounded(final_report([combined_report(frames, LEVELS, folder=f"{target}/combined"), uplift_part]))
 
 
 def _final_sql() -> str:

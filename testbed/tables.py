@@ -38,8 +38,9 @@ def _reader(spark: SparkSession, folder: str):
 
 
 def _lines(read) -> DataFrame:
-    lines = read("lineitem").join(read("orders"), F.expr("l_orderkey = o_orderkey"))
-    return lines.join(read("customer").select("c_custkey"), F.expr("c_custkey = o_custkey"))
+    # Orders meet customers first, so the lines are shuffled once.
+    orders = read("orders").join(read("customer").select("c_custkey"), F.expr("c_custkey = o_custkey"))
+    return read("lineitem").join(orders, F.expr("l_orderkey = o_orderkey"))
 
 
 def contact_detail(read) -> DataFrame:
@@ -247,5 +248,7 @@ def written_tables(spark: SparkSession, folder: str, target: str) -> dict[str, D
     return written
 
 
-def frames(spark: SparkSession, folder: str, with_products: bool = False) -> CampaignFrames:
-    return prepare(raw_tables(spark, folder), CAMPAIGN, with_products)
+def frames(
+    spark: SparkSession, folder: str, with_products: bool = False, detail: str | None = None
+) -> CampaignFrames:
+    return prepare(raw_tables(spark, folder), CAMPAIGN, with_products, detail)

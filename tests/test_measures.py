@@ -15,6 +15,7 @@ from promolift.operators.modules import CampaignFrames
 from promolift.operators.uplift import uplift_report
 from promolift.plans.prepare import stage_frames
 from promolift.plans.reports import MODULES, combined_report, final_report, module_report
+from testbed import tables as T
 
 BASE = (
     "id string, contact_stage_code string, offer_code string, prod_code string, channel_code string,"
@@ -345,3 +346,14 @@ def test_combined_report_equals_the_module_reports(spark):
     several = final_report([module_report(name, f, levels) for name in modules])
     order = several.columns
     assert sorted(map(str, one.select(*order).collect())) == sorted(map(str, several.collect()))
+
+
+def test_written_passes_equal_one_plan(spark, tmp_path):
+    levels, modules = ["()", "loyalty_level"], ["redemption", "fraud", "customer_impact"]
+    f = T.frames(spark, "/root/testdata/sf0.001", detail=str(tmp_path / "detail"))
+    lazy = combined_report(T.frames(spark, "/root/testdata/sf0.001"), levels, modules)
+    written = combined_report(f, levels, modules, folder=str(tmp_path / "passes"))
+    # The groups are there before the report is read.
+    assert len(list((tmp_path / "passes").iterdir())) > 3
+    rows = lambda df: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect())
+    assert written.columns == lazy.columns and rows(written) == rows(lazy)

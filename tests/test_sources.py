@@ -72,3 +72,19 @@ def test_shared_folder_follows_the_session(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     first, second = sinks.shared_folder(spark), sinks.shared_folder(spark)
     assert first.startswith(root) and second.startswith(root) and first != second
+
+
+def test_a_staged_table_leaves_no_shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f.getName() for f in files_of(manager) if f.getName().startswith("shuffle_")}
+    before, setting = shuffles(), spark.conf.get(sinks.CLEAN_UP, None)
+    sums = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s"))
+    staged = sinks.stage(sums, sinks.shared_folder(spark))
+    assert shuffles() <= before
+    assert spark.conf.get(sinks.CLEAN_UP, None) in (setting, "false")
+    assert sorted(map(tuple, staged.collect())) == sorted(map(tuple, sums.collect()))
+
+
+def files_of(manager):
+    files = manager.getAllFiles()
+    return [files.apply(i) for i in range(files.size())]
