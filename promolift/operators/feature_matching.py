@@ -11,9 +11,14 @@ number of rows a customer, so no two arms are ever paired as a whole.
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promolift.functions import vocabulary as V
 from promolift.functions.joins import even_join
@@ -25,6 +30,8 @@ from promolift.sources.sinks import shared_folder, stage
 LINES, BLOCK = 4, 4096
 #: Steps a unit of a scaled feature is cut into where customers are placed by it.
 STEPS = 1000
+FEATURE = np.dtype("<f8")
+KEPT = ["cluster", "id", "is_control"]
 
 
 def with_features(candidates: DataFrame, pivot: DataFrame) -> DataFrame:
@@ -32,7 +39,8 @@ def with_features(candidates: DataFrame, pivot: DataFrame) -> DataFrame:
 
     One row per cluster and customer. Customers without ``id``, cluster or arm,
     and those in both arms of a cluster, take no part. A missing or NaN feature
-    is 0 before it is scaled, one that never differs is 0 throughout.
+    is 0 before it is scaled, one that never differs is 0 throughout. Runs a job
+    that writes the unscaled features when called, so they are worked out once.
     """
     names = [name for name in pivot.columns if name != "id"]
     raw = pivot.select("id", F.array(*[
@@ -46,15 +54,49 @@ def with_features(candidates: DataFrame, pivot: DataFrame) -> DataFrame:
         *[F.min(name).alias(name) for name in rest])
     once = once.filter("_other = event_control_flag and id is not null and cluster is not null").drop("_other")
     joined = once.join(raw, "id", "left")
-    moments = joined.agg(
-        F.array(*[F.avg(value(i)) for i in range(len(names))]).alias("_mean"),
-        F.array(*[F.stddev_pop(value(i)) for i in range(len(names))]).alias("_deviation"))
-    scaled = [
-        F.coalesce((value(i) - F.col("_mean")[i]) / F.nullif(F.col("_deviation")[i], F.lit(0.0)), F.lit(0.0))
-        for i in range(len(names))]
-    # One row of moments, whatever the number of customers.
-    return joined.crossJoin(F.broadcast(moments)).withColumn("features", F.array(*scaled)).drop(
-        "_raw", "_mean", "_deviation")
+    if not names:
+        return joined.withColumn("features", F.array().cast("array<double>")).drop("_raw")
+    joined = stage(joined, f"{shared_folder(joined.sparkSession)}/features")
+    # A row for each task.
+    parts = [(row.n, np.array(row.mean), np.array(row.squares)) for row in joined.select("_raw").mapInArrow(
+        _moments(len(names)), "n bigint, mean array<double>, squares array<double>").collect()]
+    if parts:
+        customers, mean, squares = reduce(_merged, parts)
+        deviation = np.sqrt(squares / customers).tolist()
+        scaled = [
+            (value(i) - F.lit(m)) / F.lit(d) if d else F.lit(0.0)
+            for i, (m, d) in enumerate(zip(mean.tolist(), deviation, strict=True))]
+    else:
+        scaled = [F.lit(0.0)] * len(names)
+    return joined.withColumn("features", F.array(*scaled)).drop("_raw")
+
+
+def _merged(one: tuple, other: tuple) -> tuple:
+    """Count, mean and squared distances from the mean of two sets of rows together."""
+    (n, mean, squares), (m, their_mean, their_squares) = one, other
+    apart = their_mean - mean
+    return n + m, mean + apart * (m / (n + m)), squares + their_squares + apart * apart * (n * m / (n + m))
+
+
+def _moments(size: int):
+    """A task's count, means and squared distances; a value that all rows share is met exactly."""
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            if batch.num_rows:
+                lists = batch.column(0)
+                rows = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                rows = np.vstack([rows, np.zeros((lists.null_count, size))])
+                from_first = rows - rows[0]
+                shift = from_first.mean(axis=0)
+                part = len(rows), rows[0] + shift, ((from_first - shift) ** 2).sum(axis=0)
+                parts = [_merged(parts[0], part) if parts else part]
+        for n, mean, squares in parts:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([n], pa.int64()), pa.array([mean.tolist()], pa.list_(pa.float64())),
+                 pa.array([squares.tolist()], pa.list_(pa.float64()))], ["n", "mean", "squares"])
+
+    return build
 
 
 def bounded_clusters(described: DataFrame, most: int) -> DataFrame:
@@ -102,20 +144,44 @@ def cluster_cost(described: DataFrame, by: list[str]) -> DataFrame:
         F.max("customers").alias("customers"), F.sum(F.col("customers") * F.col("_spread")).alias("cost"))
 
 
-def _place(line: list[float]) -> Column:
-    """Whole-number place of a customer on a line."""
-    weighted = F.zip_with("features", F.array(*[F.lit(x) for x in line]), lambda a, b: a * b)
-    return F.round(STEPS * F.aggregate(weighted, F.lit(0.0), lambda a, b: a + b)).cast("bigint")
-
-
 def _lines(chance: random.Random, dimensions: int) -> list[list[float]]:
     return [[chance.gauss(0, 1) for _ in range(dimensions)] for _ in range(LINES)]
 
 
-def _offers(open_: DataFrame, lines: list[list[float]], shift: int) -> DataFrame:
-    """Pairs of neighbours of different arms on some line, at most four a customer and line."""
+def _on_lines(described: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """``cluster, id, is_control``, the features as binary ``vector``, and ``places``.
+
+    ``places`` are whole numbers on the lines of all rounds and of the pairing
+    after them. Sums go feature by feature, as a sum in the engine would.
+    """
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            features = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            chance = random.Random(seed)
+            lines = np.array([_lines(chance, features.shape[1]) for _ in range(rounds + 1)])
+            lines = lines.reshape(-1, features.shape[1])
+            on = np.zeros((len(features), len(lines)))
+            for feature, weight in zip(features.T, lines.T):
+                on += feature[:, None] * weight[None, :]
+            ends = pa.array(np.arange(len(features) + 1) * len(lines), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([row.tobytes() for row in features.astype(FEATURE)], pa.binary()),
+                 pa.ListArray.from_arrays(ends, pa.array(on.ravel()))], [*KEPT, "vector", "_on"])
+
+    rows = described.select(
+        "cluster", "id", (F.col("event_control_flag") == V.CONTROL_FLAG).alias("is_control"), "features")
+    kinds = T.StructType([*rows.schema.fields[:3], T.StructField("vector", T.BinaryType()),
+                          T.StructField("_on", T.ArrayType(T.DoubleType()))])
+    return rows.mapInArrow(build, kinds).select(*KEPT, "vector", F.array(*[
+        F.round(STEPS * F.col("_on")[i]).cast("bigint") for i in range(LINES * (rounds + 1))]).alias("places"))
+
+
+def _offers(open_: DataFrame, number: int, shift: int) -> DataFrame:
+    """Pairs of neighbours of different arms on some line of a round, at most four a customer and line."""
     on_lines = open_.select("cluster", "id", "is_control", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("line"), _place(line).alias("value")) for i, line in enumerate(lines)
+        F.struct(F.lit(i).alias("line"), F.col("places")[LINES * (number - 1) + i].alias("value")) for i in range(LINES)
     ])).alias("_on")).select("cluster", "id", "is_control", "_on.*")
     placed = with_position(on_lines, ["cluster", "line"], "value", "id")
     # Customers that a border of blocks keeps apart meet in the next round, when borders are elsewhere.
@@ -135,12 +201,28 @@ def _offers(open_: DataFrame, lines: list[list[float]], shift: int) -> DataFrame
 
 
 def _with_distance(pairs: DataFrame, customers: DataFrame) -> DataFrame:
-    for arm in ("test", "control"):
-        theirs = customers.select("cluster", F.col("id").alias(f"{arm}_id"), F.col("features").alias(f"_{arm}"))
+    in_control = F.coalesce("is_control", F.lit(False))
+    for arm, of_arm in (("test", ~in_control), ("control", in_control)):
+        theirs = customers.filter(of_arm).select(
+            "cluster", F.col("id").alias(f"{arm}_id"), F.col("vector").alias(f"_{arm}"))
         pairs = even_join(pairs, theirs, ["cluster", f"{arm}_id"], "inner")
-    squares = F.zip_with("_test", "_control", lambda a, b: (a - b) * (a - b))
-    return pairs.withColumn(
-        "distance", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, b: a + b))).drop("_test", "_control")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            test, control = (
+                np.frombuffer(b"".join(batch.column(name).to_pylist()), FEATURE).reshape(batch.num_rows, -1)
+                for name in ("_test", "_control"))
+            total = np.zeros(batch.num_rows)
+            for apart in np.ascontiguousarray((test - control).T):
+                total += apart * apart
+            yield pa.RecordBatch.from_arrays(
+                [*map(batch.column, names), pa.array(np.sqrt(total))], [*names, "distance"])
+
+    names = [name for name in pairs.columns if name not in ("_test", "_control")]
+    kinds = T.StructType([*pairs.select(*names).schema.fields, T.StructField("distance", T.DoubleType())])
+    return pairs.mapInArrow(build, kinds)
 
 
 def _mutual(offers: DataFrame) -> DataFrame:
@@ -148,13 +230,16 @@ def _mutual(offers: DataFrame) -> DataFrame:
 
     All offers have one common order, equal distances by a hash of the pair, so
     the first of them is always mutual and a tie of many does not pick one customer.
+    An offer stands once for each side, and is mutual if it is the best of two.
     """
     order = F.struct("distance", F.xxhash64("test_id", "control_id").alias("tie"), "test_id", "control_id")
-    best = {
-        arm: offers.groupBy("cluster", f"{arm}_id").agg(F.min(order).alias("_best")).select("cluster", "_best.*")
-        for arm in ("test", "control")}
-    return best["test"].join(
-        best["control"].select("cluster", "test_id", "control_id"), ["cluster", "test_id", "control_id"]).drop("tie")
+    sides = F.array(*[
+        F.struct(F.lit(arm).alias("arm"), F.col(f"{arm}_id").alias("id")) for arm in ("test", "control")])
+    best = offers.select("cluster", order.alias("_offer"), F.explode(sides).alias("_side")).groupBy(
+        "cluster", "_side.arm", "_side.id").agg(F.min("_offer").alias("_best"))
+    return best.select("cluster", "_best.*").groupBy("cluster", "test_id", "control_id").agg(
+        F.min("distance").alias("distance"), F.count("*").alias("_sides")).filter("_sides = 2").select(
+            "cluster", "distance", "test_id", "control_id")
 
 
 def feature_match(described: DataFrame, rounds: int = 8, seed: int = 1) -> DataFrame:
@@ -167,15 +252,12 @@ def feature_match(described: DataFrame, rounds: int = 8, seed: int = 1) -> DataF
     called; rounds end early when one makes no pair.
     """
     spark = described.sparkSession
-    folder, chance = shared_folder(spark), random.Random(seed)
-    customers = stage(described.select(
-        "cluster", "id", (F.col("event_control_flag") == V.CONTROL_FLAG).alias("is_control"), "features"),
-        f"{folder}/customers")
-    first = customers.select(F.size("features").alias("n")).head()
-    dimensions = first.n if first else 1
-    open_, made = customers, []
+    folder = shared_folder(spark)
+    customers = stage(_on_lines(described, rounds, seed), f"{folder}/customers")
+    open_, made, drawn = customers, [], 0
     for number in range(1, rounds + 1):
-        offers = _offers(open_, _lines(chance, dimensions), number % 2 * BLOCK // 2)
+        drawn = number
+        offers = _offers(open_, number, number % 2 * BLOCK // 2)
         pairs = stage(_mutual(_with_distance(offers, open_)), f"{folder}/pairs-{number}")
         if pairs.isEmpty():
             break
@@ -184,7 +266,7 @@ def feature_match(described: DataFrame, rounds: int = 8, seed: int = 1) -> DataF
         open_ = stage(even_join(open_, used, ["cluster", "id"], "left_anti"), f"{folder}/open-{number}")
     rest = open_.select(
         "cluster", "id", F.when(F.col("is_control"), V.CONTROL_FLAG).otherwise("N").alias("event_control_flag"),
-        _place(_lines(chance, dimensions)[0]).alias("score"))
+        F.col("places")[LINES * drawn].alias("score"))
     by_place = one_to_one_match(rest).select("cluster", "test_id", "control_id")
     result = _with_distance(by_place, open_).withColumn("round", F.lit(0))
     for pairs in made:

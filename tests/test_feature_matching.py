@@ -88,3 +88,39 @@ def test_panel_from_prepared_frames(spark, how):
     assert len({r.id for r in panel}) == len(panel)
     with pytest.raises(ValueError, match="unknown panel"):
         campaign_panel(frames, T.PRE_WEEKS, "nothing")
+
+
+def test_features_and_distances_are_worked_out_once(spark):
+    rows = [(f"a{i}", "Y" if i % 2 else "N", i % 3, 1.0) for i in range(200)]
+    weeks = [(f"a{i}", 0.1, 7.3 * (i % 11), None) for i in range(150)] + [(f"a{i}", 0.1, 0.7, None) for i in range(150, 200)]
+    described = fm.with_features(
+        spark.createDataFrame(rows, CANDIDATE).repartition(7), spark.createDataFrame(weeks, WEEKS))
+    # The features are read back, not made again by every reader.
+    assert "Aggregate" not in described._jdf.queryExecution().optimizedPlan().toString()
+    found = [r.features for r in described.collect()]
+    # A feature that is the same for all is exactly 0, in whichever tasks its rows are.
+    assert {(f[0], f[2]) for f in found} == {(0.0, 0.0)}
+    second = [f[1] for f in found]
+    assert math.isclose(sum(second), 0, abs_tol=1e-9) and math.isclose(sum(x * x for x in second), 200, rel_tol=1e-9)
+    customers = fm.stage(fm._on_lines(described, 1, 1), fm.shared_folder(spark))
+    best = fm._mutual(fm._with_distance(fm._offers(customers, 1, 0), customers))
+    # The distances are in the plan once, for both sides.
+    assert best._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert best.count() == len({r.test_id for r in best.collect()}) > 0
+
+
+def test_places_are_sums_in_the_order_of_the_features(spark):
+    features = [[0.1 * i + j / 3 for j in range(6)] for i in range(20)]
+    described = spark.createDataFrame(
+        [(1, f"c{i}", "NY"[i % 2], f) for i, f in enumerate(features)],
+        "cluster int, id string, event_control_flag string, features array<double>")
+    chance = random.Random(5)
+    lines = [line for _ in range(3) for line in fm._lines(chance, 6)]
+    for row in fm._on_lines(described, 2, 5).collect():
+        sums = []
+        for line in lines:
+            total = 0.0
+            for x, weight in zip(features[int(row.id[1:])], line):
+                total += x * weight
+            sums.append(total)
+        assert row.places == [math.floor(abs(1000 * x) + 0.5) * (1 if x >= 0 else -1) for x in sums]
